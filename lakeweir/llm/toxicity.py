@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from lakeweir.llm.common import blocks, mix, span_hashes, utf8
 
 SAMPLE, FEATURES, PREFIXES = 8_000, 4_096, (4, 5, 6)
-SPARSITY, FAIRNESS, ROUNDS = 0.0005, 1.0, 300
+SPARSITY, FAIRNESS, ROUNDS = 0.0003, 1.0, 300
 #: Identity terms by language and group; a term is swapped for the next of its group. Fixed values.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             texts += [(x or "").encode() for x in batch.column("_text").to_pylist()]
             marks += batch.column("_y").to_pylist()
         names, weight, bias = fit(texts, np.array(marks, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(names, 0).view(np.int64)), pa.array(np.append(weight, bias))], names=["name", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(names, np.uint64(0)).view(np.int64)), pa.array(np.append(weight, bias))], names=["name", "weight"])
 
     # one task for a sample of bounded size
     found = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(learn, "name bigint, weight double").collect()
