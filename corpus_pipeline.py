@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lakeweir.llm import lines, packing, simhash, suffix, toxicity
 from lakeweir.llm.common import read, with_ordinal
@@ -46,11 +47,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return cut.select(*columns.values())
 
 
-@F.arrow_udf("string")
-def _decoded(kept: pa.Array) -> pa.Array:
+def _decode(kept: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
 
 
+_decoded = F.arrow_udf(_decode, StringType())
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of all that is left, in windows."""
     return packing.pack(docs, public_tokenizers.path(WORD_VOCABULARY))
