@@ -30,8 +30,8 @@ def simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix.remove_repeats(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ ids are ordered by text, and an exact repeated row is a copy of the first; extra
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from lakeweir.llm.common import blocks, checkpointed, mix, shuffle_partitions, utf8, with_ordinal
 
-LENGTH, GRAM = 100, 32
-FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 400_000, 64 << 20, 8
+LENGTH, GRAM = 100, 24
+FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 100_000, 64 << 20, 8
 
 
 # --- anchors ------------------------------------------------------------------------------------------------------
@@ -41,11 +42,12 @@ FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 400_000, 64 << 20, 8
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A scrambled hash of the GRAM bytes from each position (len - GRAM + 1 of them)."""
     h = mix(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    step = 1
-    while step < GRAM:
+    have = 1
+    while have < GRAM:
+        step = min(have, GRAM - have)
         h = h[:-step] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
         h ^= h >> np.uint64(32)
-        step *= 2
+        have += step
     return mix(h)
 
 
@@ -218,65 +220,53 @@ class _Column:
         return np.fromfile(self.file, np.uint8)
 
 
-def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform's symbols (0: end of a text), common prefixes of neighbouring rows, and each text's row of its whole self.
+def collection(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The transform's symbols (0: end of a text, else byte + 1) and the common prefixes of neighbouring rows.
 
-    Texts hold up to 255 bytes. Row i < len(texts) is the empty suffix of text i; symbols are bytes + 1, as 16 bits.
+    Texts hold up to 255 bytes of UTF-8, so no byte is 255. Row i < len(texts) is the empty suffix of text i.
     """
     m = len(texts)
     size = np.array([len(x) for x in texts], np.int64)
     width = int(size.max())
-    columns = np.zeros((width, m), np.uint8)  # column r: the r-th symbol from each text's end
+    columns = np.zeros((width + 1, m), np.uint8)  # row r: the symbol before each text's suffix of length r, 0 where it ends
     for i, x in enumerate(texts):
         columns[: len(x), i] = np.frombuffer(x, np.uint8)[::-1]
+        columns[: len(x), i] += 1
     symbols, prefix = _Column(np.zeros(m, np.uint8)), _Column(np.zeros(m, np.uint8))
-    ended = np.zeros(m, bool)  # rows whose symbol is the end of a text
-    at, who = np.arange(m), np.arange(m)  # rows of the newest suffixes, and their texts
-    final = np.zeros(m, np.int64)
-    for r in range(width + 1):
+    at, who, ended = np.arange(m), np.arange(m), 0  # rows of the newest suffixes, and their texts
+    for column in columns:
         b, lcp = symbols.get(), prefix.get()
-        more = size[who] > r
-        final[who[~more]] = at[~more]
-        ended[at[~more]] = True
-        b[at[more]] = columns[min(r, width - 1), who[more]]
-        at, who = at[more], who[more]
+        b[at] = column[who]
+        go = column[who] > 0
+        if not go.all():
+            ended += int((~go).sum())
+            at, who = at[go], who[go]
         if not len(at):
             symbols.put(b)
-            prefix.put(lcp)
             break
-        full = np.flatnonzero(~ended) if ended.any() else None
-        own = b if full is None else b[full]
-        order = np.argsort(own, kind="stable")
-        sorted_symbols = own[order]
-        if full is not None:
-            order = full[order]
+        # occurrences of each symbol, in row order: occurrence k is the row m + k of the grown transform
+        order = np.argsort(b, kind="stable")[ended:]
         new = np.zeros(len(b), bool)
         new[at] = True
         fresh = new[order]
-        # old rows keep their order; each new one goes where its symbol's occurrence puts it
         mask = np.concatenate((np.zeros(m, bool), fresh))
-        grown = np.zeros(len(mask), np.uint8)
-        grown[~mask] = b
-        grown_end = np.zeros(len(mask), bool)
-        grown_end[~mask] = ended
-        grown_lcp = np.zeros(len(mask), np.uint8)
-        grown_lcp[~mask] = lcp
+        old = ~mask
+        grown, grown_lcp = np.zeros(len(mask), np.uint8), np.zeros(len(mask), np.uint8)
+        grown[old] = b
+        grown_lcp[old] = lcp
         # the prefix of c + suffix with the row above is 1 + the least prefix between the two occurrences of c
+        k = np.flatnonzero(fresh)
         near = fresh.copy()
         near[1:] |= fresh[:-1]
-        k = np.flatnonzero(near)
-        k = k[k > 0]
-        k = k[sorted_symbols[k] == sorted_symbols[k - 1]]
-        grown_lcp[m + np.flatnonzero(near)] = 0
-        grown_lcp[m + k] = 1 + _least(lcp, order[k - 1] + 1, order[k] + 1)
-        rows = np.flatnonzero(mask)
-        at, who = rows, who[np.searchsorted(at, order[fresh])]
-        ended = grown_end
+        near = np.flatnonzero(near)
+        grown_lcp[m + near] = 0
+        near = near[near > 0]
+        near = near[b[order[near]] == b[order[near - 1]]]
+        grown_lcp[m + near] = 1 + _least(lcp, order[near - 1] + 1, order[near] + 1)
+        at, who = m + k, who[np.searchsorted(at, order[k])]
         symbols.put(grown)
         prefix.put(grown_lcp)
-    b = symbols.get().astype(np.uint16) + 1
-    b[ended] = 0
-    return b, prefix.get(), final
+    return symbols.get(), prefix.get()
 
 
 def _least(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -284,20 +274,27 @@ def _least(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     if not len(starts):
         return np.zeros(0, np.uint8)
     level = np.frexp((ends - starts).astype(np.float64))[1] - 1
+    order = np.argsort(level, kind="stable")
+    starts, ends, cut = starts[order], ends[order], np.searchsorted(level[order], np.arange(int(level.max()) + 2)).tolist()
     out = np.empty(len(starts), np.uint8)
     table = values
-    for k in range(int(level.max()) + 1):
+    for k in range(len(cut) - 1):
         if k:
             half = 1 << (k - 1)
             table = np.minimum(table[:-half], table[half:])
-        own = np.flatnonzero(level == k)
-        out[own] = np.minimum(table[starts[own]], table[ends[own] - (1 << k)])
-    return out
+        if cut[k] < cut[k + 1]:
+            own = slice(cut[k], cut[k + 1])
+            out[own] = np.minimum(table[starts[own]], table[ends[own] - (1 << k)])
+    back = np.empty(len(out), np.uint8)
+    back[order] = out
+    return back
 
 
 def windows_not_first(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of each window of the given length that an earlier text of the list holds too, by its transform."""
-    b, lcp, _ = collection(texts)
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    b, lcp = collection(texts)
     m, n = len(texts), len(b)
     size = np.array([len(x) for x in texts], np.int64)
     shared = np.cumsum(lcp < length)  # a number for each run of rows with a common prefix of length or more
@@ -332,8 +329,10 @@ def _judged(length: int):
             key = (h, context)
             if key not in best or tuple(owner) < best[key]:
                 best[key] = tuple(owner)
-        ranked = sorted(best.items(), key=lambda x: x[1])
-        text, start = windows_not_first([c for (_, c), _ in ranked], length)
+        many = Counter(h for h, _ in best)  # a hash with one context has nothing to share windows with
+        ranked = sorted(best.items(), key=lambda x: (many[x[0][0]] == 1, x[1]))
+        shared = sum(many[h] > 1 for h, _ in best)
+        text, start = windows_not_first([c for (_, c), _ in ranked[:shared]], length)
         order = np.lexsort((start, text))
         text, start = text[order], start[order]
         cut = np.searchsorted(text, np.arange(len(ranked) + 1))
@@ -377,11 +376,11 @@ def removed_bytes(n: int, places: list[int] | None, owned: list | None, length:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, rest (a struct of all columns of docs), kept (binary), n_bytes, n_removed and n_spans of every row of docs."""
+    """doc_id, rest (a struct of the other columns of docs), kept (binary; null for a null text), n_bytes, n_removed and n_spans of every row of docs."""
     if not GRAM < length < 128 + GRAM // 2:
-        raise ValueError(f"length must be between {GRAM + 1} and {127 + GRAM // 2}")
+        raise ValueError(f"length must be from {GRAM + 1} to {127 + GRAM // 2}")
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("rest"))
+    own = docs.select(docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest"))
     keyed = with_ordinal(own, "_id", "text").select(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_ord").cast("int").alias("_ord"), "text", F.col("_id").isNull().alias("_none"), "rest")
     partitions = shuffle_partitions(spark)
     met = keyed.select("doc_id", "_ord", "text").mapInArrow(_anchor_records(length, partitions * SPLIT), "bucket int, kind int, hashes binary, ids binary, ords binary, places binary")
@@ -400,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = (text or "").encode()
                 sizes.append(len(data))
                 if not places:
-                    kept.append(data)
+                    kept.append(None if text is None else data)
                     removed.append(0)
                     spans.append(0)
                     continue
