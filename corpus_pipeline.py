@@ -41,10 +41,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document, or an earlier part of them, holds."""
     cut = suffix.remove_repeats(docs)
-    text = F.when(F.col("rest.text").isNotNull(), _decoded(F.col("kept")))  # a cut may split a character
-    columns = {c: F.col(f"rest.{c}").alias(c) for c in docs.columns}
+    text = _decoded(F.col("kept"))  # a cut may split a character
+    columns = {c: F.col(f"rest.{c}").alias(c) for c in docs.columns if c != "text"}
     columns |= {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return cut.select(*columns.values())
+    return cut.select(*(columns[c] for c in docs.columns))
 
 
 def _decode(kept: pa.Array) -> pa.Array:
