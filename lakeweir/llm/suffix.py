@@ -21,7 +21,6 @@ ids are ordered by text, and an exact repeated row is a copy of the first; extra
 from __future__ import annotations
 
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import types as T
 from lakeweir.llm.common import blocks, checkpointed, mix, shuffle_partitions, utf8, with_ordinal
 
 LENGTH, GRAM = 100, 24
-FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 100_000, 64 << 20, 8
+FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 200_000, 64 << 20, 8
 
 
 # --- anchors ------------------------------------------------------------------------------------------------------
@@ -170,8 +169,8 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def _contexts(length: int):
     """Documents with their repeated anchors -> distinct contexts of this batch with their earliest owner."""
-    names = ["hash", "context", "back", "doc_id", "_ord", "place"]
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+    names = ["hash", "context", "doc_id", "_ord", "place"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +189,7 @@ def _contexts(length: int):
                 grams = np.frombuffer(b"".join(c[(p >> 8 & 255) : (p >> 8 & 255) + GRAM] for c, (_, _, p) in best.items()), np.uint8).reshape(-1, GRAM)
                 h = gram_hashes(grams.ravel())[::GRAM].view(np.int64)
                 owners = list(best.values())
-                columns = [h, list(best), [p >> 8 & 255 for _, _, p in owners], *zip(*owners, strict=True)]
+                columns = [h, list(best), *zip(*owners, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
@@ -323,35 +322,47 @@ def windows_not_first(texts: list[bytes], length: int) -> tuple[np.ndarray, np.n
 def _judged(length: int):
     """Contexts, sorted by hash -> for the earliest owner of each, the window starts (in the context) to be covered."""
 
-    def judge(rows: list[tuple]) -> pa.RecordBatch | None:
-        best: dict[tuple[int, bytes], tuple] = {}
-        for h, context, _, *owner in rows:
-            key = (h, context)
-            if key not in best or tuple(owner) < best[key]:
-                best[key] = tuple(owner)
-        many = Counter(h for h, _ in best)  # a hash with one context has nothing to share windows with
-        ranked = sorted(best.items(), key=lambda x: (many[x[0][0]] == 1, x[1]))
-        shared = sum(many[h] > 1 for h, _ in best)
-        text, start = windows_not_first([c for (_, c), _ in ranked[:shared]], length)
-        order = np.lexsort((start, text))
-        text, start = text[order], start[order]
-        cut = np.searchsorted(text, np.arange(len(ranked) + 1))
-        owners = [o for _, o in ranked]
-        starts = [start[a:b].astype(np.uint8).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    def found(owners: list[tuple], starts: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in owners], pa.int64()), pa.array([o[1] for o in owners], pa.int32()), pa.array([o[2] for o in owners], pa.int64()), pa.array(starts, pa.binary())], names=["doc_id", "_ord", "place", "late"])
 
+    def judge(best: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
+        best.sort(key=lambda x: x[1])
+        text, start = windows_not_first([c for c, _ in best], length)
+        order = np.lexsort((start, text))
+        text, start = text[order], start[order].astype(np.uint8)
+        cut = np.searchsorted(text, np.arange(len(best) + 1)).tolist()
+        return found([o for _, o in best], [start[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held, last = [], 0, None
+        last, group, alone, many, held = None, {}, [], [], 0
+
+        def close() -> None:
+            nonlocal held
+            if len(group) == 1:  # a hash with one context has nothing to share windows with
+                alone.extend(group.values())
+            else:
+                many.extend(group.items())
+                held += sum(map(len, group))
+
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held >= BATCH_BYTES and row[0] != last:
-                    yield judge(rows)
-                    rows, held = [], 0
-                last = row[0]
-                rows.append(row)
-                held += len(row[1])
-        if rows:
-            yield judge(rows)
+            hashes, ids, ords, places = (batch.column(x).to_numpy(zero_copy_only=False).tolist() for x in ("hash", "doc_id", "_ord", "place"))
+            for h, context, owner in zip(hashes, batch.column("context").to_pylist(), zip(ids, ords, places, strict=True), strict=True):
+                if h != last:
+                    close()
+                    last, group = h, {}
+                    if held >= BATCH_BYTES:
+                        yield judge(many)
+                        many, held = [], 0
+                if (known := group.get(context)) is None or owner < known:
+                    group[context] = owner
+            if alone:
+                yield found(alone, [b""] * len(alone))
+                alone = []
+        close()
+        if alone:
+            yield found(alone, [b""] * len(alone))
+        if many:
+            yield judge(many)
 
     return run
 
@@ -387,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = met.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_anchors, "doc_id bigint, _ord int, place bigint")
     places = checkpointed(again.groupBy("doc_id", "_ord").agg(F.collect_list("place").alias("places")))
     marked = keyed.join(places, ["doc_id", "_ord"], "left")
-    contexts = marked.mapInArrow(_contexts(length), "hash bigint, context binary, back int, doc_id bigint, _ord int, place bigint")
+    contexts = marked.mapInArrow(_contexts(length), "hash bigint, context binary, doc_id bigint, _ord int, place bigint")
     first = contexts.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(_judged(length), "doc_id bigint, _ord int, place bigint, late binary")
     owned = first.groupBy("doc_id", "_ord").agg(F.collect_list(F.struct("place", "late")).alias("owned"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), keyed.schema["rest"], T.StructField("kept", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans"))])
