@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.llm.common import checkpointed
+from lakeweir.llm.common import checkpointed, map_batches
 
 
 def find(parent: dict, x):
@@ -41,7 +41,7 @@ def components(links: DataFrame) -> DataFrame:
     """links (two bigint columns) -> node, component: the smallest node reachable, for every node that has a link."""
     a, b = links.columns[:2]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
-    edges = checkpointed(edges.mapInArrow(_forest, "u bigint, v bigint").filter("u <> v").distinct())
+    edges = checkpointed(map_batches(edges, _forest, "u bigint, v bigint").filter("u <> v").distinct())
     before = None
     while True:
         # large star: each larger neighbour of a node points to the smallest of its neighbourhood

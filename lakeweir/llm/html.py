@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeweir.llm.common import map_batches
+
 SAMPLE, BUCKETS, ROUNDS, RIDGE = 300, 1 << 14, 60, 1e-4
 #: Tags that don't end a block, tags whose content is never text, and tags without content. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -258,7 +260,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
         weight, near = fit([x or "" for batch in batches for x in batch.column("_html").to_pylist()])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(weight, near.ravel()))], names=["weight"])
 
-    found = np.array([r.weight for r in chosen.repartition(1).sortWithinPartitions("_id").mapInArrow(learn, "weight double").collect()])
+    found = np.array([r.weight for r in map_batches(chosen.repartition(1).sortWithinPartitions("_id"), learn, "weight double").collect()])
     return (found[:-4], found[-4:].reshape(2, 2)) if len(found) else fit([])
 
 
@@ -274,4 +276,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
             texts = [main_text(x, weights, near) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.llm.common import checkpointed, shuffle_partitions, with_ordinal
+from lakeweir.llm.common import checkpointed, map_batches, shuffle_partitions, with_ordinal
 from lakeweir.llm.components import components
 
 THRESHOLD, FLOOR, LIST = 0.98, 0.90, 32
@@ -69,7 +69,7 @@ def _first_lists(vectors: DataFrame, tables: range) -> DataFrame:
                     key = ((side[:, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array([width] * len(rows), pa.int32()), own.column("label"), pa.array(key), pa.array(side[:, 0]), own.column("k"), own.column("v")], names=["t", "w", "label", "key", "p", "k", "v"])
 
-    dealt = vectors.join(sizes, "label").select("k", "label", "v", "_n").mapInArrow(deal, "t int, w int, label string, key bigint, p double, k bigint, v binary")
+    dealt = map_batches(vectors.join(sizes, "label").select("k", "label", "v", "_n"), deal, "t int, w int, label string, key bigint, p double, k bigint, v binary")
     dealt = dealt.withColumn("bucket", F.xxhash64("t", "w", "label", "key")).select("bucket", "p", "w", "k", "v", "label")
     dealt = dealt.repartition(shuffle_partitions(vectors.sparkSession), "bucket").sortWithinPartitions("bucket", "w", "label", "p")
 
@@ -100,7 +100,7 @@ def _first_lists(vectors: DataFrame, tables: range) -> DataFrame:
         if len(keys) > 1:
             yield close(keys, rows)
 
-    return dealt.mapInArrow(lists, "u bigint, v bigint, s double")
+    return map_batches(dealt, lists, "u bigint, v bigint, s double")
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def _measured(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
     left = vectors.select(F.col("k").alias("u"), F.col("v").alias("x"), F.col("label").alias("_a"))
     right = vectors.select(F.col("k").alias("v"), F.col("v").alias("y"), F.col("label").alias("_b"))
-    return pairs.join(left, "u").join(right, "v").filter("_a = _b").select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint, s double")
+    return map_batches(pairs.join(left, "u").join(right, "v").filter("_a = _b").select("u", "v", "x", "y"), run, "u bigint, v bigint, s double")
 
 
 def _refined(edges: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _enlarged(edges: DataFrame, vectors: DataFrame, threshold: float) -> tuple[D
         if keys:
             yield close(pair[1:], own, keys, rows)
 
-    counted = checkpointed(dealt.mapInArrow(compare, "k bigint, n bigint, to bigint"))
+    counted = checkpointed(map_batches(dealt, compare, "k bigint, n bigint, to bigint"))
     return counted.groupBy("k").agg(F.sum("n").alias("n_links")), counted.filter("k <> to").select(F.col("k").alias("u"), F.col("to").alias("v"))
 
 
@@ -197,7 +197,7 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
                     out.append((k, int((np.frombuffer(b"".join(values[i] for i in same), np.float64).reshape(len(same), -1) @ x >= threshold).sum())))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["k", "n"])
 
-    true = vectors.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 0")
+    true = map_batches(vectors, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 0")
     row = true.join(counts, "k", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("n_links", F.lit(0)), "n"))).first()
     return 1.0 if not row[0] else row[1] / row[0]
 
@@ -208,7 +208,7 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     rows = with_ordinal(own, "vec_id", "v").withColumn("k", F.when(F.col("_ord") == 0, F.col("vec_id")).otherwise(F.xxhash64("vec_id", "_ord")))
     rows = checkpointed(rows)
     valid = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    vectors = checkpointed(valid.select("k", "label", "v").mapInArrow(_normal, "k bigint, label string, v binary"))
+    vectors = checkpointed(map_batches(valid.select("k", "label", "v"), _normal, "k bigint, label string, v binary"))
     edges = None
     for turn in range(PASSES):
         first = _first_lists(vectors, range(turn * TABLES, (turn + 1) * TABLES))

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lakeweir.llm.common import map_batches
+
 from lakeweir.llm.tokens import encode_spliced, slices
 
 TIERS, STEP_TOKENS, END_ID = (256, 512, 1024, 2048), 16_384, 1
@@ -123,4 +125,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         if rows:
             yield out()
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_batches(source, run, T.StructType(fields))

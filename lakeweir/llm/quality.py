@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import BLOCK_BYTES, blocks, mix, span_hashes, utf8, word_spans
+from lakeweir.llm.common import BLOCK_BYTES, blocks, map_batches, mix, span_hashes, utf8, word_spans
 
 #: Largest share of a text's word characters inside repeated n-grams, by n (the limits that Rae et al., 2021, publish).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -123,4 +123,4 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     bad |= share[f"share_{n}"] > most
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(m[x].astype(np.int64)) for x in longs), *(pa.array(share[x].astype(np.float64)) for x in shares), pa.array(failed), pa.array(~failed & ~bad)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import SPACE, blocks, checkpointed, mix, powers, shuffle_partitions, utf8
+from lakeweir.llm.common import SPACE, blocks, checkpointed, map_batches, mix, powers, shuffle_partitions, utf8
 from lakeweir.llm.components import components, find
 
 SHARD_ROWS = 20_000
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
                     columns += [pa.array(sketched, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return map_batches(source, run, T.StructType(fields))
 
 
 # --- BK-tree ------------------------------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, mark
         if len(held[0]) > 1:
             yield close()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint")
 
 
 def block_keys(fp, radius: int):

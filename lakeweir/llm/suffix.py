@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, checkpointed, mix, shuffle_partitions, utf8, with_ordinal
+from lakeweir.llm.common import blocks, checkpointed, map_batches, mix, shuffle_partitions, utf8, with_ordinal
 
 LENGTH, GRAM = 100, 24
-FLUSH_ANCHORS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 200_000, 64 << 20, 8
+FLUSH_ANCHORS, FLUSH_CONTEXTS, BATCH_BYTES, FILE_BYTES, SPLIT = 400_000, 100_000, 200_000, 64 << 20, 8
 
 
 # --- anchors ------------------------------------------------------------------------------------------------------
@@ -168,13 +168,20 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _contexts(length: int):
-    """Documents with their repeated anchors -> distinct contexts of this batch with their earliest owner."""
+    """Documents with their repeated anchors -> distinct contexts of a task with their earliest owner."""
     names = ["hash", "context", "doc_id", "_ord", "place"]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
+    def flush(best: dict[bytes, tuple]) -> pa.RecordBatch:
+        owners = list(best.values())
+        grams = np.frombuffer(b"".join(c[(p >> 8 & 255) : (p >> 8 & 255) + GRAM] for c, (_, _, p) in best.items()), np.uint8).reshape(-1, GRAM)
+        h = np.concatenate([gram_hashes(grams[i : i + 20_000].ravel())[::GRAM] for i in range(0, len(grams), 20_000)]).view(np.int64)
+        columns = [h, list(best), *zip(*owners, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple] = {}
         for batch in batches:
-            best: dict[bytes, tuple] = {}
             for i, o, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("_ord").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 if not places:
                     continue
@@ -185,12 +192,11 @@ def _contexts(length: int):
                     owner = (i, o, place)
                     if context not in best or owner < best[context]:
                         best[context] = owner
-            if best:
-                grams = np.frombuffer(b"".join(c[(p >> 8 & 255) : (p >> 8 & 255) + GRAM] for c, (_, _, p) in best.items()), np.uint8).reshape(-1, GRAM)
-                h = gram_hashes(grams.ravel())[::GRAM].view(np.int64)
-                owners = list(best.values())
-                columns = [h, list(best), *zip(*owners, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+                if len(best) >= FLUSH_CONTEXTS:
+                    yield flush(best)
+                    best = {}
+        if best:
+            yield flush(best)
 
     return run
 
@@ -394,12 +400,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest"))
     keyed = with_ordinal(own, "_id", "text").select(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_ord").cast("int").alias("_ord"), "text", F.col("_id").isNull().alias("_none"), "rest")
     partitions = shuffle_partitions(spark)
-    met = keyed.select("doc_id", "_ord", "text").mapInArrow(_anchor_records(length, partitions * SPLIT), "bucket int, kind int, hashes binary, ids binary, ords binary, places binary")
-    again = met.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_anchors, "doc_id bigint, _ord int, place bigint")
+    met = map_batches(keyed.select("doc_id", "_ord", "text"), _anchor_records(length, partitions * SPLIT), "bucket int, kind int, hashes binary, ids binary, ords binary, places binary")
+    again = map_batches(met.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _repeated_anchors, "doc_id bigint, _ord int, place bigint")
     places = checkpointed(again.groupBy("doc_id", "_ord").agg(F.collect_list("place").alias("places")))
     marked = keyed.join(places, ["doc_id", "_ord"], "left")
-    contexts = marked.mapInArrow(_contexts(length), "hash bigint, context binary, doc_id bigint, _ord int, place bigint")
-    first = contexts.repartition(partitions, "hash").sortWithinPartitions("hash").mapInArrow(_judged(length), "doc_id bigint, _ord int, place bigint, late binary")
+    contexts = map_batches(marked, _contexts(length), "hash bigint, context binary, doc_id bigint, _ord int, place bigint")
+    first = map_batches(contexts.repartition(partitions, "hash").sortWithinPartitions("hash"), _judged(length), "doc_id bigint, _ord int, place bigint, late binary")
     owned = first.groupBy("doc_id", "_ord").agg(F.collect_list(F.struct("place", "late")).alias("owned"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), keyed.schema["rest"], T.StructField("kept", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans"))])
 
@@ -421,4 +427,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = pa.array([None if x else i for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("_none").to_pylist(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([ids, batch.column("rest"), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans))], names=schema.names)
 
-    return marked.join(owned, ["doc_id", "_ord"], "left").mapInArrow(cut, schema)
+    return map_batches(marked.join(owned, ["doc_id", "_ord"], "left"), cut, schema)

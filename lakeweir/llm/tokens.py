@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, span_hashes
+from lakeweir.llm.common import blocks, map_batches, span_hashes
 
 #: Entries of a worker's table of encoded pre-tokens; it is emptied when full, so its memory is bounded.
 TABLE_ENTRIES = 600_000
@@ -231,14 +231,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """id, ids (array of int) and decoded (text) of every row."""
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return source.mapInArrow(lambda batches: _encoded(batches, vocabulary, leaf_chars, False), schema)
+    return map_batches(source, lambda batches: _encoded(batches, vocabulary, leaf_chars, False), schema)
 
 
 def encode_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """id, n_tokens and SHA-256 digests of the ids and of the decoded text of every row."""
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return source.mapInArrow(lambda batches: _encoded(batches, vocabulary, leaf_chars, True), schema)
+    return map_batches(source, lambda batches: _encoded(batches, vocabulary, leaf_chars, True), schema)
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -317,4 +317,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 found = encode_spliced(texts, vocabulary, chunk, overlap)
                 yield pa.RecordBatch.from_arrays([keys, pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array([sum(map(len, x)) for x in found], pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, mix, span_hashes, utf8
+from lakeweir.llm.common import blocks, map_batches, mix, span_hashes, utf8
 
 SAMPLE, FEATURES, PREFIXES = 8_000, 4_096, (4, 5, 6)
 SPARSITY, FAIRNESS, ROUNDS = 0.0003, 1.0, 300
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(names, np.uint64(0)).view(np.int64)), pa.array(np.append(weight, bias))], names=["name", "weight"])
 
     # one task for a sample of bounded size
-    found = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(learn, "name bigint, weight double").collect()
+    found = map_batches(rows.repartition(1).sortWithinPartitions("_id"), learn, "name bigint, weight double").collect()
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0), -40.0
     return np.array([r.name for r in found[:-1]], np.int64).view(np.uint64), np.array([r.weight for r in found[:-1]]), float(found[-1].weight)
