@@ -20,7 +20,7 @@ FLUSH_SECONDS = 600
 
 
 def write_facts(facts: DataFrame, base: str, batch: str) -> None:
-    (facts.withColumn("batch", F.lit(batch)).repartition("year", "month", "day", "hour", F.pmod(F.xxhash64("resource_hash", "metric_name", "timestamp"), F.lit(4)))
+    (facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")  # one file an hour, more where an hour is large
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data"))
 
 
