@@ -1,7 +1,8 @@
 """Embedding near-dedup by NN-descent: a neighbour graph refined through neighbours of neighbours.
 
 Vectors of one label are compared by cosine in double precision. The graph keeps edges of at least FLOOR (the angle of two
-threshold edges is within it), so unrelated vectors cost nothing after the first lists.
+threshold edges is within it), so unrelated vectors cost nothing after the first lists. Equal vectors of a label are one
+node that counts its rows, so a group of copies of any size is one row in every step.
 
 1. First lists: random hyperplanes deal each label's vectors to small buckets, several times; a bucket is read in order of
    a projection, in overlapping chunks, so a bucket of any size takes bounded memory.
@@ -33,16 +34,17 @@ TABLES, BUCKET, CHUNK, BLOCK, QUERIES, TARGET, PASSES = 10, 48, 512, 1024, 200,
 
 def _normal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
-        ids, labels, out = [], [], []
-        for k, label, v in zip(batch.column("k").to_pylist(), batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True):
+        keys, ids, labels, out = [], [], [], []
+        for k, i, label, v in zip(*(batch.column(c).to_pylist() for c in ("k", "vec_id", "label", "v")), strict=True):
             x = np.array([np.nan if c is None else c for c in v], np.float64)
             if not len(x) or not np.isfinite(x).all() or not (top := np.abs(x).max()):
                 continue
             x /= top
-            ids.append(k)
+            keys.append(k)
+            ids.append(i)
             labels.append(label)
             out.append((x / np.linalg.norm(x)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["k", "label", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(out, pa.binary())], names=["k", "vec_id", "label", "v"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -136,7 +138,7 @@ def _refined(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _enlarged(edges: DataFrame, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """For components with a saturated list: (k, n_links) of every member, and a forest of its links (u, v)."""
+    """For components with a saturated list: (k, n: the rows of linked nodes) of every member, and a forest of its links (u, v)."""
     around = _both(edges)
     full = around.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= LIST).select(F.col("u").alias("node"))
     group = components(edges.select("u", "v"))
@@ -145,11 +147,11 @@ def _enlarged(edges: DataFrame, vectors: DataFrame, threshold: float) -> tuple[D
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_parts"))
     placed = members.join(sizes, "component").withColumn("_own", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int"))
     dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-    dealt = dealt.join(vectors, "k").select("component", "_i", "_j", "_own", "k", "v")
+    dealt = dealt.join(vectors, "k").select("component", "_i", "_j", "_own", "k", "v", "m")
     dealt = dealt.repartition(shuffle_partitions(vectors.sparkSession), "component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "_own", "k")
 
-    def close(pair: tuple, own: list, keys: list, rows: list) -> pa.RecordBatch:
-        k, at, x = np.array(keys), np.array(own), np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    def close(pair: tuple, own: list, keys: list, rows: list, many: list) -> pa.RecordBatch:
+        k, at, m, x = np.array(keys), np.array(own), np.array(many), np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         counted = near.copy()
@@ -162,24 +164,25 @@ def _enlarged(edges: DataFrame, vectors: DataFrame, threshold: float) -> tuple[D
             if (found == low).all():
                 break
             low = found
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(counted.sum(1), pa.int64()), pa.array(k[low], pa.int64())], names=["k", "n", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(counted @ m, pa.int64()), pa.array(k[low], pa.int64())], names=["k", "n", "to"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, own, keys, rows = None, [], [], []
+        pair, own, keys, rows, many = None, [], [], [], []
         for batch in batches:
-            for c, i, j, o, k, v in zip(*(batch.column(n).to_pylist() for n in range(6)), strict=True):
+            for c, i, j, o, k, v, m in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
                 if (c, i, j) != pair:
                     if keys:
-                        yield close(pair[1:], own, keys, rows)
-                    pair, own, keys, rows = (c, i, j), [], [], []
+                        yield close(pair[1:], own, keys, rows, many)
+                    pair, own, keys, rows, many = (c, i, j), [], [], [], []
                 own.append(o)
                 keys.append(k)
                 rows.append(v)
+                many.append(m)
         if keys:
-            yield close(pair[1:], own, keys, rows)
+            yield close(pair[1:], own, keys, rows, many)
 
     counted = checkpointed(map_batches(dealt, compare, "k bigint, n bigint, to bigint"))
-    return counted.groupBy("k").agg(F.sum("n").alias("n_links")), counted.filter("k <> to").select(F.col("k").alias("u"), F.col("to").alias("v"))
+    return counted.groupBy("k").agg(F.sum("n").alias("n")), counted.filter("k <> to").select(F.col("k").alias("u"), F.col("to").alias("v"))
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -189,16 +192,16 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, values, keys = np.array(batch.column("label").to_pylist(), object), batch.column("v").to_pylist(), batch.column("k").to_numpy()
+            names, values, keys, rows = np.array(batch.column("label").to_pylist(), object), batch.column("v").to_pylist(), batch.column("k").to_numpy(), batch.column("m").to_numpy()
             out = []
             for k, label, x in queries:
                 same = [i for i in np.flatnonzero(names == label) if len(values[i]) == x.nbytes and keys[i] != k]
                 if same:
-                    out.append((k, int((np.frombuffer(b"".join(values[i] for i in same), np.float64).reshape(len(same), -1) @ x >= threshold).sum())))
+                    out.append((k, int(rows[same][np.frombuffer(b"".join(values[i] for i in same), np.float64).reshape(len(same), -1) @ x >= threshold].sum())))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["k", "n"])
 
     true = map_batches(vectors, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 0")
-    row = true.join(counts, "k", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("n_links", F.lit(0)), "n"))).first()
+    row = true.join(counts.withColumnRenamed("n", "found"), "k", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("found", F.lit(0)), "n"))).first()
     return 1.0 if not row[0] else row[1] / row[0]
 
 
@@ -208,7 +211,8 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     rows = with_ordinal(own, "vec_id", "v").withColumn("k", F.when(F.col("_ord") == 0, F.col("vec_id")).otherwise(F.xxhash64("vec_id", "_ord")))
     rows = checkpointed(rows)
     valid = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
-    vectors = checkpointed(map_batches(valid.select("k", "label", "v"), _normal, "k bigint, label string, v binary"))
+    normal = checkpointed(map_batches(valid.select("k", "vec_id", "label", "v"), _normal, "k bigint, vec_id bigint, label string, v binary"))
+    vectors = checkpointed(normal.groupBy("label", "v").agg(F.min("k").alias("k"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m")))
     edges = None
     for turn in range(PASSES):
         first = _first_lists(vectors, range(turn * TABLES, (turn + 1) * TABLES))
@@ -216,14 +220,19 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         edges = _refined(checkpointed(first.groupBy("u", "v").agg(F.first("s").alias("s"))), vectors)
         many, forest = _enlarged(edges, vectors, threshold)
         links = edges.filter(F.col("s") >= threshold)
-        few = _both(links).groupBy("u").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("u", "k")
+        few = _both(links).join(vectors.select(F.col("k").alias("v"), "m"), "v").groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("n"))
         counts = checkpointed(few.join(many.select("k"), "k", "left_anti").union(many))
         if audit(vectors, counts, threshold) >= TARGET:
             break
-    name = rows.select(F.col("k").alias("u"), "vec_id")
+    name = vectors.select(F.col("k").alias("u"), "first")
     joined = links.select("u", "v").union(forest)
-    joined = joined.join(name, "u").withColumnRenamed("vec_id", "a").join(name.withColumnRenamed("u", "v"), "v").select("a", "vec_id")
-    group = components(joined)
-    out = rows.join(counts, "k", "left").join(group, rows.vec_id == group.node, "left")
+    joined = joined.join(name, "u").withColumnRenamed("first", "a").join(name.withColumnRenamed("u", "v"), "v").select("a", F.col("first").alias("b"))
+    repeated = normal.join(rows.filter("_ord > 0").select("vec_id").distinct(), "vec_id", "left_semi").join(vectors.select("label", "v", "first"), ["label", "v"])
+    group = components(joined.union(repeated.select("vec_id", "first")))
+    # what a node has is joined to nodes first; only one join is on vectors, where Spark splits the rows of a hot one
+    nodes = vectors.join(counts, "k", "left").join(group, vectors["first"] == group.node, "left")
+    nodes = checkpointed(nodes.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "first").alias("component")))
+    found = normal.select("k", "label", "v").join(nodes, ["label", "v"]).select("k", "n_links", "component")
     component = F.coalesce("component", "vec_id")
+    out = rows.join(found, "k", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -231,6 +231,9 @@ def test_embeddings(spark, monkeypatch):
             for _ in range(size):
                 rows.append((n, (centre + 0.02 * rng.normal(size=16)).astype(np.float32).tolist(), label))
                 n += 1
+    for i in (0, *[7] * 70):  # copies, a few and many
+        rows.append((n, rows[i][1], rows[i][2]))
+        n += 1
     rows += [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, [None, *[1.0] * 15], 0), (n + 4, rows[0][1][:8], 0), (None, rows[0][1], 0)]
     monkeypatch.setattr(nearest, "BLOCK", 40)
     docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4)
@@ -246,6 +249,14 @@ def test_embeddings(spark, monkeypatch):
     assert nearest.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.0] * 4, [0.0, 1.0, 0.0, 0.0] * 4, [0.0, 0.0, 1.0, 0.0] * 4
+    rows = [(4, a, 0), (5, a, 0), (5, b, 0), (6, b, 0), (6, b, 0), (7, c, 0), (7, c, 1)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = sorted(tuple(r) for r in nearest.near_duplicates(docs).collect())
+    assert got == [(4, 1, 4, True), (5, 1, 4, False), (5, 2, 4, False), (6, 2, 4, False), (6, 2, 4, False), (7, 0, 7, True), (7, 0, 7, True)]
+
+
 def odd_texts():
     rng = random.Random(5)
     parts = ["a", "b", " ", "\n", "\t", "'s", "é", "1", "!", ",", ".", "<|endoftext|>", "　", "word", "Σ", "é", "_"]
