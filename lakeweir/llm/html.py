@@ -5,8 +5,8 @@ words and by its text (length, marks, share inside links). The field has two lab
 features and for neighbouring labels; it is fitted by gradient ascent on labelled pages and decoded by Viterbi.
 
 Training pages are a bounded sample (SAMPLE, by hash of the id) of the pages themselves, labelled where their own
-structure says what is main text, plus variants of them with other tag names, menus, notices, forms and comments,
-so that the weights don't hang on one template. Decoding is a narrow pass over whole pages.
+structure says what is main text, plus the same pages in made-up templates (other containers and tags; menus, notices,
+adverts, forms, sidebars and comments before, inside and after the text), so that the weights don't hang on one template. Decoding is a narrow pass over whole pages.
 
 Defined results: null and empty pages, and pages without main text, give an empty text; repeated rows are extracted each;
 unclosed or truncated markup is read as far as it goes; other columns are not read.
@@ -27,14 +27,32 @@ from pyspark.sql import types as T
 
 from lakeweir.llm.common import map_batches
 
-SAMPLE, BUCKETS, ROUNDS, RIDGE = 300, 1 << 14, 60, 1e-4
+SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 300, 1 << 14, 60, 1e-4, 3
 #: Tags that don't end a block, tags whose content is never text, and tags without content. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = "script style noscript template svg iframe object canvas select textarea button title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that say what is main text and what is not. Fixed values.
 MAIN, OTHER = frozenset("article main".split()), frozenset("nav header footer aside form menu dialog".split())
-OTHER_WORDS = frozenset("ad ads advert banner breadcrumb comment comments cookie footer form header menu nav newsletter notice popup promo related reply respond share sidebar social sponsor subscribe widget".split())
+OTHER_WORDS = frozenset(
+    "ad ads advert advertisement alert banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disclaimer footer form header legal login masthead menu "
+    "nav navbar navigation newsletter notice pagination popup promo promotion reactions recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
+    "subscribe subscription toolbar topbar trending widget".split()
+)
+#: Kinds of blocks that are not main text: (semantic tag or none, class words, short texts). Fixed values.
+KINDS = (
+    ("nav", "menu nav navigation navbar breadcrumb", True),
+    ("header", "header masthead topbar banner", True),
+    ("", "cookie notice consent alert popup", False),
+    ("", "ad advert sponsored promo banner", False),
+    ("section", "comments comment replies respond reactions", False),
+    ("form", "form subscribe newsletter signup search", True),
+    ("aside", "sidebar related widget recommended trending", False),
+    ("footer", "footer copyright legal contentinfo", False),
+)
+#: Class words of containers of main text, and of containers of everything. Fixed values.
+TEXT_WORDS, PAGE_WORDS = "content entry post body story text article main".split(), "wrapper page container site layout".split()
+_TEXT_WORDS = frozenset(TEXT_WORDS)
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({HIDDEN.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<$|<(?=[a-zA-Z/!?])[^<>]*$", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -99,7 +117,19 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
 
 
 def describe(tags: tuple, names: tuple, text: str, linked: float, place: float) -> list[str]:
-    out = [f"t:{t}" for t in set(tags)] + [f"w:{w}" for own in names for w in own]
+    """Names of a block's features: its ancestors' tags and class words, whether they mark other text outside or inside a main container, and its text's."""
+    out, mark = [f"t:{t}" for t in set(tags)], "none"
+    for tag, own in zip(tags, names, strict=True):
+        if tag in ("html", "body"):  # their class words speak of the page, not of the block
+            continue
+        out += [f"w:{w}" for w in own]
+        if tag in MAIN and mark == "none":
+            mark = "main"
+        elif own & _TEXT_WORDS and mark == "none":
+            mark = "text-main"
+        elif tag in OTHER or own & OTHER_WORDS:
+            mark = f"{tag if tag == 'header' else 'other'}-in-main" if mark.endswith("main") else "other"
+    out.append(f"mark:{mark}")
     words = text.count(" ") + 1
     marks = sum(map(text.count, ".,;:!?"))
     out += [f"own:{tags[-1] if tags else ''}", f"len:{min(7, words.bit_length())}", f"marks:{min(5, marks.bit_length())}", f"link:{int(linked * 3.99)}", f"stop:{text[-1] in '.!?'}", f"place:{int(place * 3.99)}", f"lm:{min(7, words.bit_length())}:{int(linked * 1.99)}:{text[-1] in '.!?'}"]
@@ -134,52 +164,65 @@ def structure_labels(blocks: list) -> list[int] | None:
     """1 for blocks inside a main container and no other; None where the page has no such container."""
     if not any(MAIN & set(tags) for tags, *_ in blocks):
         return None
-    return [int(bool(MAIN & set(tags)) and not OTHER & set(tags) and not any(OTHER_WORDS & own for own in names)) for tags, names, *_ in blocks]
+    return [int(bool(MAIN & set(tags)) and not OTHER & set(tags) and not any(OTHER_WORDS & own for own in names[2:])) for tags, names, *_ in blocks]
 
 
-def variants(blocks: list, labels: list[int], pool: list[str], seed: int) -> list[tuple[list, list[int]]]:
-    """The page in its own form and in another template, with further blocks that are not main text."""
-    rng = random.Random(seed)
+def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random) -> tuple[list, list[int]]:
+    """The page's text in a made-up template, with blocks of several kinds that are not main text."""
     none = frozenset()
-    out = [(blocks, labels)]
-    wrap = rng.choice(["content", "entry", "post", "body", "story", "text", "article", "main"])
+    top = [("html", none), ("body", none)]
+    if rng.random() < 0.4:
+        top.append(("div", frozenset({rng.choice(PAGE_WORDS)})))
+    holder = rng.choice(["main", "article", "div", "div", "section", "none"])
+    inside = top + [(holder, none if holder in MAIN and rng.random() < 0.7 else frozenset({rng.choice(TEXT_WORDS)}))] * (holder != "none")
     made, marks = [], []
 
-    def other(tags: tuple, word: str, texts: list[str], linked: float = 0.0) -> None:
-        for text in texts:
-            made.append((("html", "body", *tags), (none,) * (len(tags) + 1) + (frozenset({word}),), text, linked))
-            marks.append(0)
-
-    some = lambda n: [rng.choice(pool) for _ in range(n)] if pool else []
-    short = lambda n: [" ".join(x.split()[: rng.randint(1, 4)]).strip(".,") or x for x in some(n)]
-    other(("div", "ul", "li"), rng.choice(["menu", "nav", "navigation"]), short(4), 1.0)
-    other(("header", "div"), "header", short(1))
-    other(("div", "p"), rng.choice(["cookie", "notice", "banner", "consent"]), some(1))
-    for (tags, _, text, linked), y in zip(blocks, labels, strict=True):
-        if y:
-            made.append((("html", "body", "div", tags[-1] if tags[-1] not in MAIN else "p"), (none, none, frozenset({wrap}), none), text, linked))
-        else:
-            made.append((("html", "body", "div", "div"), (none, none, frozenset({rng.choice(sorted(OTHER_WORDS))}), none), text, linked))
+    def add(path: list, text: str, y: int, linked: float = 0.0) -> None:
+        made.append((tuple(t for t, _ in path), tuple(w for _, w in path), text, linked))
         marks.append(y)
-        if y and rng.random() < 0.1:
-            other(("div", "div"), rng.choice(["ad", "advert", "promo", "sponsored"]), some(1))
-    other(("section", "div", "p"), rng.choice(["comments", "comment", "replies"]), some(rng.randint(1, 4)))
-    other(("form", "div"), rng.choice(["form", "subscribe", "newsletter"]), short(2))
-    other(("aside", "ul", "li"), rng.choice(["sidebar", "related", "widget"]), some(2), rng.choice([0.0, 1.0]))
-    other(("footer", "p"), "footer", some(1))
-    out.append((made, marks))
-    return out
+
+    def other(kind: int, base: list) -> None:
+        tag, words, short = KINDS[kind]
+        semantic = tag and rng.random() < 0.5
+        box = (tag if semantic else rng.choice(["div", "section"]), none if semantic and rng.random() < 0.5 else frozenset(rng.sample(words.split(), rng.randint(1, 2))))
+        linked = rng.choice([0.0, 1.0]) if kind in (0, 6) else 0.0
+        for _ in range(rng.randint(1, 6 if kind in (0, 4, 6) else 2)):
+            text = rng.choice(pool)
+            text = " ".join(text.split()[: rng.randint(1, 4)]).strip(".,") or text if short or rng.random() < 0.3 else text
+            inner = rng.choice([[], ["p"], ["p"], ["div"], ["ul", "li"], ["h3"], ["div", "p"]])
+            add([*base, box, *((t, none) for t in inner)], text, 0, linked)
+
+    for kind in (0, 1, 2, 3, 6):
+        if rng.random() < (0.8 if kind < 2 else 0.3):
+            other(kind, top)
+    first = True
+    for (_, _, text, linked), y in zip(blocks, labels, strict=True):
+        if not y:
+            continue
+        tag = "h1" if first else rng.choice(["p"] * 8 + ["li", "blockquote", "td", "figcaption", "dd", "h2", "pre", "div"])
+        upper = {"li": ["ul"], "td": ["table", "tr"], "figcaption": ["figure"], "dd": ["dl"]}.get(tag, ["header"] if first and holder in MAIN and rng.random() < 0.2 else [])
+        add([*inside, *((t, none) for t in upper), (tag, none)], text, 1, linked)
+        if rng.random() < 0.2:
+            text = rng.choice(pool)
+            add([*inside, (rng.choice(["h2", "h3", "p"]), none)], " ".join(text.split()[: rng.randint(1, 5)]), 1)
+        if not first and rng.random() < 0.2:
+            other(rng.choice([3, 5, 6]), inside)
+        first = False
+    for kind in (4, 3, 2, 5, 6, 7):
+        if rng.random() < (0.7 if kind in (4, 7) else 0.3):
+            other(kind, inside if holder != "none" and rng.random() < 0.3 else top)
+    return made, marks
 
 
 def fit(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features for label 1, and the 2 x 2 weights of neighbouring labels (label 0 has feature weight 0)."""
     known = [(b, y) for b in map(leaf_blocks, pages) if b and (y := structure_labels(b)) is not None]
     pool = [text for b, _ in known for *_, text, _ in b][:5_000]
-    rows = [x for i, (b, y) in enumerate(known) for x in variants(b, y, pool, i)]
+    rows = [x for i, own in enumerate(known) for x in (own, *(retold(*own, pool, random.Random(TEMPLATES * i + k)) for k in range(TEMPLATES if any(own[1]) else 0)))]
     weight, near = np.zeros(BUCKETS), np.zeros((2, 2))
     if not rows:
-        weight[_hashed([f"t:{t}" for t in MAIN])] = 4.0
-        weight[_hashed([f"t:{t}" for t in OTHER] + [f"w:{w}" for w in OTHER_WORDS])] = -6.0
+        weight[_hashed(["mark:main", "mark:header-in-main"])] = 4.0
+        weight[_hashed(["mark:other", "mark:other-in-main"])] = -6.0
         weight[_hashed(["len:5", "len:6", "len:7"])] = 1.0
         return weight, near
     feats = [page_features(b) for b, _ in rows]

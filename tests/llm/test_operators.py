@@ -344,3 +344,21 @@ def test_html(spark):
         assert got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == ""
     assert len(got) == len(pages)
+
+
+SAID = "The river keeps its own time, and the town beside it has learned to wait. Old boats rest on the mud until spring."
+OTHER_PAGES = [
+    f"<body><header><a href=/>Home</a></header><div class='cookie-notice'>We use cookies here. By going on you accept them.</div><main><h1>Big title here</h1><p>{SAID}</p><ul><li>First point</li></ul><blockquote>{SAID}</blockquote></main><aside class=sidebar><h3>Related</h3><a href=/1>Ten things about rivers</a></aside><section id=comments><p>I loved reading this, thanks for it.</p></section><form><label>Email</label><input></form><footer>&copy; 2024</footer>",
+    f"<div id=top-nav><a href=/a>A</a> | <a href=/b>B</a></div><div class=post-content><h1>Big title here</h1><p>{SAID}<ul><li>First point</ul><div class=advert>Buy the best shoes now, only today.</div><p>{SAID}</div><div class=comments><p>{SAID}</p></div><div id=footer><p>All rights reserved, {SAID}</p></div>",
+]
+
+
+def test_html_other_templates():
+    """Pages of templates that the training pages don't have."""
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choices("river town boat mud spring long small keeps waits rests".split(), k=rng.randint(5, 60))) + "."
+    weight, near = html.fit([PAGE.format(n=i).replace("<p>", f"<p>{say()} ") for i in range(100)])
+    for page in OTHER_PAGES:
+        assert html.main_text(page, weight.tolist(), near) == f"Big title here {SAID} First point {SAID}"
+    for n in (1, 2):  # the text of the page before training: nothing to learn from
+        assert html.main_text(PAGE.format(n=n), html.fit([])[0].tolist(), html.fit([])[1]).startswith(f"Title {n} First paragraph")
