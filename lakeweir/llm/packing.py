@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lakeweir.llm.common import map_batches
-
-from lakeweir.llm.tokens import encode_spliced, slices
+from lakeweir.llm.tokens import encode_parts, slices
 
 TIERS, STEP_TOKENS, END_ID = (256, 512, 1024, 2048), 16_384, 1
 
@@ -116,7 +115,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         packer = Packer(tiers, emit)
         for batch in batches:
             for keys, texts in slices(batch):
-                for key, parts in zip(keys.to_pylist(), encode_spliced(texts, vocabulary), strict=True):
+                for key, parts in zip(keys.to_pylist(), encode_parts(texts, vocabulary), strict=True):
                     ids = np.concatenate([*parts, np.array([end_id], np.uint32)])
                     packer.add((key, len(ids)), ids)
                 if rows:

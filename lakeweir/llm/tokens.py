@@ -3,7 +3,7 @@
 ``encode_decode`` (byte-level vocabulary) joins a long text's halves as a tree: leaves are encoded on their own, then a
 window round each join is encoded again and grows until its ids agree with both sides. ``count_tokens`` (word-end
 vocabulary) encodes overlapping chunks of a long text with offsets, splices them at a stable common boundary and widens
-the overlap where there is none. Both are narrow passes over whole texts, one text at a time in memory.
+the overlap where alignment fails. Both are narrow passes over whole texts, one text at a time in memory.
 
 Ordinary text is cut into its pre-tokens in numpy; each block's distinct pre-tokens are looked up in a per-worker table
 of bounded size, and the tokenizers library encodes those it lacks. Text with anything less ordinary (apostrophes, special
@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from lakeweir.llm.common import blocks, map_batches, span_hashes
 TABLE_ENTRIES = 600_000
 LEAF_CHARS = 8_192
 WINDOW_TOKENS, AGREE_TOKENS = 32, 8
-CHUNK_CHARS, OVERLAP_CHARS = 16_384, 64
+CHUNK_CHARS, OVERLAP_CHARS, CHUNKS_AT_ONCE = 16_384, 64, 64
 
 #: Kinds of an ordinary text's bytes: 0 white space, 1 letter (bytes of non-ASCII letters too), 2 digit, 3 mark.
 _KIND = np.full(256, 3, np.uint8)
@@ -267,41 +268,98 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, leaf_chars: int, dige
 # --- overlap resynchronisation ------------------------------------------------------------------------------------
 
 
-_BREAK = re.compile(r"[ \n]+")
+#: A space or line feed before a letter, digit or ASCII mark.
+_BREAK = re.compile(r"[ \n](?=[!-~]|[^\W_])")
 
 
-def resynchronised(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """A long text as the chunks that remain after splicing; their ids, joined, are those of the text.
+class Piece(NamedTuple):
+    """A stretch of a text with its ids and the offsets in the text at which their tokens start."""
 
-    Neighbouring chunks share an overlap round their nominal border. A run that begins at the same offset in both, after
-    a space or line feed, is a stable boundary: the vocabulary's normaliser and pre-tokenizer look at nothing across it,
-    so both chunks have the same ids from there on. Without such an offset the overlap doubles.
+    begin: int
+    end: int
+    ids: np.ndarray
+    starts: np.ndarray
+
+    def since(self, x: int) -> Piece:
+        at = int(np.searchsorted(self.starts, x))
+        return Piece(x, self.end, self.ids[at:], self.starts[at:])
+
+    def until(self, x: int) -> np.ndarray:
+        return self.ids[: int(np.searchsorted(self.starts, x))]
+
+
+def pieces(text: str, spans: list[tuple[int, int]], loaded) -> list[Piece]:
+    found = loaded.encode_batch([text[a:b] for a, b in spans], add_special_tokens=False)
+    return [Piece(a, b, np.array(x.ids, np.uint32), np.array([o for o, _ in x.offsets], np.int64) + a) for (a, b), x in zip(spans, found, strict=True)]
+
+
+def breaks(text: str, a: int, b: int) -> list[int]:
+    """Offsets x, a < x < b, that follow a break; the vocabulary's normaliser and pre-tokenizer look at nothing across them."""
+    return [m.end() for m in _BREAK.finditer(text, a, b) if m.end() < b]
+
+
+def stable_boundary(text: str, left: Piece, right: Piece) -> int | None:
+    """The first break in the overlap of two pieces at which tokens start in both, if all to the overlap's last are the same."""
+    found = breaks(text, right.begin, left.end)
+    last = left.end if left.end == len(text) else found[-1] if found else 0
+    for x in found:
+        (a, b), (c, d) = (np.searchsorted(p.starts, (x, last)) for p in (left, right))
+        if a < b and left.starts[a] == x and np.array_equal(left.ids[a:b], right.ids[c:d]) and np.array_equal(left.starts[a:b], right.starts[c:d]):
+            return x
+    return None
+
+
+def resynchronised(text: str, loaded, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[np.ndarray]:
+    """The ids of a long text, as those of overlapping chunks spliced at stable boundaries.
+
+    Where two chunks have none, their overlap doubles and both are encoded again. Once it covers a chunk they become one,
+    to be encoded when its own end is known, so that a long stretch without a break is encoded once.
     """
-    out, start = [], 0
-    while start < len(text):
-        end, width = start + chunk, overlap
-        while True:
-            a, b = max(start, end - width), min(len(text), end + width)
-            if end >= len(text):
-                border = len(text)
-                break
-            earlier = {m.end() for m in _BREAK.finditer(text, a, b)}
-            later = {m.end() for m in _BREAK.finditer(text, max(start, a - 1), b)}
-            if shared := {x for x in earlier & later if start < x < b}:
-                border = max(shared)
-                break
-            if b == len(text):
-                border = b
-                break
-            width *= 2
-        out.append(text[start:border])
-        start = border
-    return out
+    spans = [(max(0, a - overlap), min(len(text), a + chunk + overlap)) for a in range(0, len(text), chunk)]
+    left: Piece | None = None
+    joined = False  # whether left is still to be encoded
+    for i in range(0, len(spans), CHUNKS_AT_ONCE):
+        for right in pieces(text, spans[i : i + CHUNKS_AT_ONCE], loaded):
+            if left is None:
+                left = right
+                continue
+            begin, end, border, width = left.begin, right.end, right.begin + overlap, overlap
+            x = None if joined else stable_boundary(text, left, right)
+            while x is None and width <= chunk:
+                width *= 2 - joined
+                a, b = max(begin, border - width), min(end, border + width)
+                if breaks(text, a, b):
+                    left, right = pieces(text, [(begin, b), (a, end)], loaded)
+                    x = stable_boundary(text, left, right)
+                joined = False
+            joined = x is None
+            if x is None:
+                left = Piece(begin, end, left.ids[:0], left.starts[:0])
+            else:
+                yield left.until(x)
+                left = right.since(x)
+    if left is not None:
+        yield pieces(text, [(left.begin, left.end)], loaded)[0].ids if joined else left.ids
 
 
 def encode_spliced(texts: list[str], path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[list[np.ndarray]]:
-    """The ids of each text, as those of its spliced chunks in order."""
-    parts = [resynchronised(x, chunk, overlap) if len(x) > chunk else [x] for x in texts]
+    """The ids of each text, in parts; long ones by overlap resynchronisation."""
+    done = iter(encoder(path).encode([x for x in texts if len(x) <= chunk]))
+    return [[next(done)] if len(x) <= chunk else list(resynchronised(x, tokenizer(path), chunk, overlap)) for x in texts]
+
+
+def split_at_breaks(text: str, size: int = CHUNK_CHARS) -> list[str]:
+    """A text cut at the first break after each size characters; the ids of the parts, joined, are those of the text."""
+    out, start = [], 0
+    while (m := _BREAK.search(text, start + size)) and m.end() < len(text):
+        out.append(text[start : m.end()])
+        start = m.end()
+    return [*out, text[start:]]
+
+
+def encode_parts(texts: list[str], path: str) -> list[list[np.ndarray]]:
+    """The ids of each text (word-end vocabulary), in parts of bounded size."""
+    parts = [split_at_breaks(x) for x in texts]
     done = iter(encoder(path).encode([x for own in parts for x in own]))
     return [[next(done) for _ in own] for own in parts]
 

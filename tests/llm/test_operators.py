@@ -286,6 +286,18 @@ def test_counts(spark, chunk):
         assert (got[i].n_bytes, got[i].n_tokens) == (len((text or "").encode()), len(library.encode(text or "", add_special_tokens=False).ids)), text
 
 
+def test_resynchronised():
+    """Breaks that are none, stretches without one, and chunks that agree late."""
+    library = tokens.tokenizer(WORD)
+    texts = ["x" * 500 + " y" * 300, " \u0301" * 200 + "a b c", ("word " * 20 + "y" * 90) * 9, " \u3000a" * 150, "a\n\n" * 200, "\u0130 b " * 90]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        for chunk, overlap in ((16, 4), (50, 3), (100, 100)):
+            assert [int(x) for part in tokens.resynchronised(text, library, chunk, overlap) for x in part] == want
+        assert "".join(tokens.split_at_breaks(text, 30)) == text
+        assert [i for part in tokens.split_at_breaks(text, 30) for i in library.encode(part, add_special_tokens=False).ids] == want
+
+
 def test_packing(spark):
     texts = odd_texts()
     rows = packing.pack(table(spark, texts), WORD, with_ids=True).collect()
