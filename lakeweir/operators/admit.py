@@ -106,9 +106,12 @@ def admit(payloads: DataFrame, body_cap: int = BODY_CAP, inflated_cap: int = INF
     else:
         rules += [(body.rlike(r"^\{\s*\}$"), 500, "Parse error: payload cannot be empty"), (~named | listed, 500, "Parse error: missing resourceMetrics")]
     rules.append((unread, 500, "Parse error: unreadable structure or number"))
+    failed = F.lit(len(rules))
+    for n in reversed(range(len(rules))):
+        failed = F.when(F.coalesce(rules[n][0], F.lit(False)), n).otherwise(failed)
+    # through a generator, so that a later filter on the status is not moved below it, where it would parse payloads again
+    rows = rows.select("payload_id", "inflate_error", F.inline(F.array(F.struct("payload", failed.alias("_failed")))))
     status, error = F.lit(200), F.lit(None).cast("string")
-    for test, code, said in reversed(rules):
-        test = F.coalesce(test, F.lit(False))
-        status, error = F.when(test, code).otherwise(status), F.when(test, said).otherwise(error)
-    rows = rows.withColumns({"status": status, "error": error})
-    return rows.select("payload_id", F.when(F.col("status") == 200, F.col("payload")).alias("payload"), "status", "error")
+    for n, (_, code, said) in enumerate(rules):
+        status, error = F.when(F.col("_failed") == n, code).otherwise(status), F.when(F.col("_failed") == n, said).otherwise(error)
+    return rows.select("payload_id", F.when(F.col("_failed") == len(rules), F.col("payload")).alias("payload"), status.alias("status"), error.alias("error"))
