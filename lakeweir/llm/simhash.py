@@ -7,7 +7,8 @@ with the corpus, so the fingerprints are dealt to shards that hold every possibl
 * exact search (``min_similarity`` None): the 64 bits are cut into radius + 3 blocks; two fingerprints that differ in at
   most radius bits agree on three blocks at least, so a shard for each choice of three blocks misses no pair;
 * similarity search: a shard for each of 6 minima of the permuted shingle hashes (a pair at 0.8 meets in one with
-  probability 0.99994, at 0.9 with 0.999999), a wider radius, then the Jaccard similarity of the two sets of shingles from bottom-k sketches
+  probability 0.99994, at 0.9 with 0.999999), fingerprints of the distinct shingles within a radius of 26 bits (a pair at
+  0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long ones), then the Jaccard similarity of the two sets of shingles from bottom-k sketches
   (exact up to 128 shingles, else an estimate).
 
 Equal fingerprints (or sketches) are one row before dealing, so groups of copies of any size cost one row a task. A shard
@@ -102,11 +103,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
                 fps, sketched, keyed = [], [], []
                 for i in range(a, b):
                     h = shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes(), width)
-                    fps.append(fingerprint(h))
-                    if sketches:
+                    if sketches:  # the similarity is of sets, so repeats have no say
                         distinct = np.unique(mix(h))
+                        fps.append(fingerprint(distinct))
                         sketched.append((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
                         keyed.append(bands(distinct).view(np.int64))
+                    else:
+                        fps.append(fingerprint(h))
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(np.array(fps, np.uint64).view(np.int64))]
                 if sketches:
                     columns += [pa.array(sketched, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))]
@@ -220,7 +223,7 @@ def block_keys(fp, radius: int):
     return F.array(*keys)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 16, min_similarity: float | None = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 26, min_similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of docs."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, width, min_similarity is not None))
     same = ["fp"] if min_similarity is None else ["fp", "sketch"]

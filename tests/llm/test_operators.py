@@ -171,6 +171,19 @@ def test_similar(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_similar_repeats_and_radius(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(8):  # a copy that repeats a phrase of its own
+        words = [f"w{rng.randrange(10**6)}" for _ in range(110)]
+        texts += [" ".join(words), " ".join(words[:40] + words[28:40] * 30 + words[40:])]
+    for _ in range(400):  # 100 shingles, of which 89 are shared: 0.802
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        texts += [" ".join(words), " ".join(words[:93] + [f"x{rng.randrange(10**6)}" for _ in range(11)])]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
+
+
 def plain_removal(texts, length):
     seen, out = set(), []
     for t in texts:
