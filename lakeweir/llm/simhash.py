@@ -8,10 +8,12 @@ with the corpus, so the fingerprints are dealt to shards that hold every possibl
   most radius bits agree on three blocks at least, so a shard for each choice of three blocks misses no pair;
 * similarity search: a shard for each of 6 minima of the permuted shingle hashes (a pair at 0.8 meets in one with
   probability 0.99994, at 0.9 with 0.999999), fingerprints of the distinct shingles within a radius of 26 bits (a pair at
-  0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long ones), then the Jaccard similarity of the two sets of shingles from bottom-k sketches
-  (exact up to 128 shingles, else an estimate).
+  0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long ones), then
+  an estimate of the Jaccard similarity from bottom-k sketches that only discards pairs clearly below (a pair at 0.8 is
+  estimated below 0.6 with probability under 2e-6). The components of what is left hold all that is linked; inside each,
+  the exact similarity of the full sets decides, block against block.
 
-Equal fingerprints (or sketches) are one row before dealing, so groups of copies of any size cost one row a task. A shard
+Equal fingerprints (or sets of shingles) are one row before dealing, so groups of copies of any size cost one row a task. A shard
 gives its members' links to one another as a forest, never as all pairs. A shard with more than SHARD_ROWS rows is worked
 on by several tasks: each has the shard's rows as its tree and a part of them as queries.
 
@@ -36,6 +38,9 @@ from lakeweir.llm.components import components, find
 
 SHARD_ROWS = 20_000
 BANDS, SKETCH = 6, 128
+#: Estimates below this share of the least similarity are discarded; rows and bytes of shingle sets in a block of a component.
+CLEAR, SET_ROWS, SET_BYTES = 0.75, 1024, 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------
@@ -82,7 +87,7 @@ def bands(distinct: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from two bottom-k sketches (sorted, at most SKETCH hashes each)."""
+    """Jaccard similarity, estimated from two bottom-k sketches (sorted, at most SKETCH hashes each)."""
     if not len(a) and not len(b):
         return 1.0
     union = np.union1d(a, b)[:SKETCH] if max(len(a), len(b)) >= SKETCH else np.union1d(a, b)
@@ -90,17 +95,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketches: bool) -> DataFrame:
-    """doc_id, fp and, where asked for, sketch and keys of every row."""
+    """doc_id, fp and, where asked for, sketch, keys and a digest of the set of shingles of every row."""
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]
     if sketches:
-        fields += [T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+        fields += [T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in blocks(np.diff(offsets), 8_000_000):
-                fps, sketched, keyed = [], [], []
+                fps, sketched, keyed, digests = [], [], [], []
                 for i in range(a, b):
                     h = shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes(), width)
                     if sketches:  # the similarity is of sets, so repeats have no say
@@ -108,11 +113,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
                         fps.append(fingerprint(distinct))
                         sketched.append((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
                         keyed.append(bands(distinct).view(np.int64))
+                        digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                     else:
                         fps.append(fingerprint(h))
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(np.array(fps, np.uint64).view(np.int64))]
                 if sketches:
-                    columns += [pa.array(sketched, pa.binary()), pa.array(keyed, pa.list_(pa.int64()))]
+                    columns += [pa.array(sketched, pa.binary()), pa.array(keyed, pa.list_(pa.int64())), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return map_batches(source, run, T.StructType(fields))
@@ -213,6 +219,79 @@ def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, mark
     return map_batches(dealt, run, "a bigint, b bigint")
 
 
+def exact_links(linked: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
+    """linked (node, component) -> links between nodes whose sets of shingles have a similarity of at least least.
+
+    Components are compared whole, in pairs of blocks of bounded rows and bytes; of the pairs found, a forest leaves a block.
+    """
+    spark = docs.sparkSession
+    linked = checkpointed(linked.select("node", "component"))
+    linked = F.broadcast(linked) if linked.count() * 32 <= BROADCAST_BYTES else linked
+    source = docs.select(docs[id_col].cast("bigint").alias("node"), docs[text_col].alias("text")).join(linked, "node").select("node", "component", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for a, b in blocks(np.diff(offsets), 2_000_000):
+                sets = [np.unique(mix(shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes(), width))).tobytes() for i in range(a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column("component").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(sets, pa.binary())], names=["component", "node", "shingles"])
+
+    sets = checkpointed(map_batches(source, make, "component bigint, node bigint, shingles binary"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(SET_ROWS)), F.ceil(F.sum(F.length("shingles")) / F.lit(SET_BYTES)), F.lit(1)).cast("int")
+    placed = sets.join(sets.groupBy("component").agg(parts.alias("_parts")), "component").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    dealt = dealt.select("component", "_i", "_j", "_own", "node", "shingles").repartition(shuffle_partitions(spark), "component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "_own", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, ([], [], [])
+
+        def close() -> pa.RecordBatch:
+            links = set_forest(np.array(held[0]), [np.frombuffer(x, np.uint64) for x in held[2]], least)
+            return pa.RecordBatch.from_arrays([pa.array([held[1][i] for i, _ in links], pa.int64()), pa.array([held[1][j] for _, j in links], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, *row in zip(*(batch.column(n).to_pylist() for n in range(6)), strict=True):
+                if (c, i, j) != pair:
+                    if len(held[0]) > 1:
+                        yield close()
+                    pair, held = (c, i, j), ([], [], [])
+                for x, value in zip(held, row, strict=True):
+                    x.append(value)
+        if len(held[0]) > 1:
+            yield close()
+
+    return map_batches(dealt, run, "a bigint, b bigint")
+
+
+def set_forest(own: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (positions) that join all pairs with a Jaccard similarity of at least least; where there are two blocks, pairs between them."""
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    filled = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    group, across, out = np.arange(len(sets)), own[0] != own[-1], []
+    present = np.zeros(len(values), bool)
+    ends = np.cumsum(sizes)
+    for i in range(len(sets)):
+        open_ = group != group[i]
+        open_ &= own > own[i] if across else np.arange(len(sets)) > i
+        if not open_.any():
+            continue
+        mine = at[ends[i] - sizes[i] : ends[i]]
+        present[mine] = True
+        shared = np.zeros(len(sets), np.int64)
+        if len(filled):
+            shared[filled] = np.add.reduceat(present[at], starts, dtype=np.int64)
+        present[mine] = False
+        union = sizes + sizes[i] - shared
+        near = (shared / np.maximum(union, 1) >= least) | (union == 0)
+        for j in np.flatnonzero(near & open_):
+            if group[j] != group[i]:
+                out.append((i, int(j)))
+                group[group == group[j]] = group[i]
+    return out
+
+
 def block_keys(fp, radius: int):
     """A key for each choice of three of radius + 3 blocks of the 64 bits."""
     edges = [round(64 * i / (radius + 3)) for i in range(radius + 4)]
@@ -226,13 +305,17 @@ def block_keys(fp, radius: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 26, min_similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of docs."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, width, min_similarity is not None))
-    same = ["fp"] if min_similarity is None else ["fp", "sketch"]
-    nodes = marked.groupBy(*same).agg(F.min("doc_id").alias("first"), *([F.min("keys").alias("keys")] if len(same) > 1 else []))
+    same = ["fp"] if min_similarity is None else ["fp", "digest"]
+    nodes = marked.groupBy(*same).agg(F.min("doc_id").alias("first"), *([F.min(c).alias(c) for c in ("keys", "sketch")] if len(same) > 1 else []))
     # a node is a distinct print, named by a number that its smallest doc_id gives; all-null ids get their own name
     nodes = nodes.filter("first IS NOT NULL").withColumnRenamed("first", "node")
     keys = F.col("keys") if min_similarity is not None else block_keys(F.col("fp"), radius)
     rows = nodes.select(F.explode(keys).alias("key"), "node", "fp")
-    linked = components(shard_links(rows, radius, min_similarity, nodes.select("node", "fp", "sketch") if len(same) > 1 else None))
+    if min_similarity is None:
+        linked = components(shard_links(rows, radius, None))
+    else:
+        likely = components(shard_links(rows, radius, CLEAR * min_similarity, nodes.select("node", "fp", "sketch")))
+        linked = components(exact_links(likely, docs, id_col, text_col, width, min_similarity))
     named = nodes.join(linked, nodes.node == linked.node, "left").select(*(nodes[c].alias(f"_{c}") for c in same), F.coalesce("component", nodes.node).alias("component_id"))
     on = [marked[c] == named[f"_{c}"] for c in same]
     return marked.join(named, on, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -184,6 +184,25 @@ def test_similar_repeats_and_radius(spark):
     assert [got[i] for i in range(len(texts))] == [i // 2 * 2 for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_similar_decided_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SET_ROWS", block)
+    rng = random.Random(7)
+    texts, want = [], []
+    for n in range(120):  # 600 shingles each, at 0.82 (linked) and 0.78 (not linked)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+        shared = 541 if n % 2 else 526
+        texts += [" ".join(words), " ".join(words[: shared + 4] + [f"x{rng.randrange(10**6)}" for _ in range(600 - shared)])]
+        want += [2 * n, 2 * n if shared / (1200 - shared) >= 0.8 else 2 * n + 1]
+    words = [f"w{rng.randrange(10**6)}" for _ in range(604)]
+    for n in range(40):  # one group of which neighbours are linked by 0.9 and others not
+        texts.append(" ".join(words))
+        words = words[31:] + [f"y{rng.randrange(10**6)}" for _ in range(31)]
+        want.append(240)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def plain_removal(texts, length):
     seen, out = set(), []
     for t in texts:
