@@ -32,10 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies; of rows with an equal doc_id, the first by text."""
-    named = simhash.near_duplicates(docs).filter("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    kept = with_ordinal(docs, "doc_id", "text").filter("_ord = 0 OR doc_id IS NULL").drop("_ord")
-    return kept.join(named, kept.doc_id.eqNullSafe(named._id), "left_semi")
+    """The first row, by doc_id (null last) and then text, of each group of near copies; rows that share a doc_id are documents each."""
+    key = F.when((F.col("_ord") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_ord"))
+    keyed = with_ordinal(docs, "doc_id", "text").withColumn("_key", key)
+    found = simhash.near_duplicates(keyed, id_col="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_ord", "_key")
+    first = keyed.select("_key", "doc_id", "_ord").join(found, "_key").groupBy("component_id").agg(F.min(order)["_key"].alias("_key"))
+    return keyed.join(first, "_key", "left_semi").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import public_tokenizers
@@ -203,6 +204,16 @@ def test_similar_decided_exactly(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_copies_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, None), (1, a), (1, b), (2, a + " end"), (3, b), (4, c), (4, c), (None, c + " end"), (None, "alone and of no id"), (5, "\n")]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, None), (1, a), (1, b), (4, c), (None, "alone and of no id")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def plain_removal(texts, length):
     seen, out = set(), []
     for t in texts:
