@@ -30,7 +30,7 @@ from lakeweir.llm.common import map_batches
 SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 300, 1 << 14, 60, 1e-4, 3
 #: Tags that don't end a block, tags whose content is never text, and tags without content. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = "script style noscript template svg iframe object canvas select textarea button title"
+RAW, HIDDEN = "script|style", "noscript template svg iframe object canvas select textarea button title".replace(" ", "|")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that say what is main text and what is not. Fixed values.
 MAIN, OTHER = frozenset("article main".split()), frozenset("nav header footer aside form menu dialog".split())
@@ -54,7 +54,8 @@ KINDS = (
 TEXT_WORDS, PAGE_WORDS = "content entry post body story text article main".split(), "wrapper page container site layout".split()
 _TEXT_WORDS = frozenset(TEXT_WORDS)
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({HIDDEN.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<$|<(?=[a-zA-Z/!?])[^<>]*$", re.S | re.I)
+#: A hidden element goes with its content; a self-closed svg has none, and without an end tag only the start tag goes (but script and style reach to the end).
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|<svg(?=[\s/>])[^>]*/>|<({HIDDEN})(?=[\s/>])[^>]*>(?:.*?</\2\s*>)?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<$|<(?=[a-zA-Z/!?])[^<>]*$", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
@@ -89,11 +90,11 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(4)
         if not tag:
             continue
         tag = tag.lower()
-        closing = bool(m.group(2))
+        closing = bool(m.group(3))
         if tag in INLINE:
             link = 0 if tag == "a" and closing else 1 if tag == "a" else link
             continue
@@ -108,7 +109,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
         else:
             if stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
-            words = frozenset(w for v in _NAMES.findall(m.group(4)) for w in _WORDS.findall(v.lower()))
+            words = frozenset(w for v in _NAMES.findall(m.group(5)) for w in _WORDS.findall(v.lower()))
             stack.append((tag, words))
         end()
     say(page[at:])

@@ -401,6 +401,14 @@ def test_html(spark):
     assert len(got) == len(pages)
 
 
+@pytest.mark.parametrize("inserted", ["<svg-icon name='x'></svg-icon>", "<button-group></button-group>", "<title-bar>", "<svg class=i />", "<svg/>", "<svg><path d='M0 0'/></svg>", "<button>", "<iframe src=x>", "<button>Press</button>", "<noscript>no</noscript>"])
+def test_html_hidden_elements(inserted):
+    said = lambda page: " ".join(text for _, _, text, _ in html.leaf_blocks(page))
+    for page in (PAGE.format(n=1), PAGE.format(n=1).replace("</article>", "<svg><path/></svg></article><svg/>")):
+        assert said(page.replace("<article>", f"<article>{inserted}")) == said(page)
+    assert said("<p>One<script>var x = '<p>no</p>'") == said("<p>One<style>p {}<p>") == "One"
+
+
 SAID = "The river keeps its own time, and the town beside it has learned to wait. Old boats rest on the mud until spring."
 OTHER_PAGES = [
     f"<body><header><a href=/>Home</a></header><div class='cookie-notice'>We use cookies here. By going on you accept them.</div><main><h1>Big title here</h1><p>{SAID}</p><ul><li>First point</li></ul><blockquote>{SAID}</blockquote></main><aside class=sidebar><h3>Related</h3><a href=/1>Ten things about rivers</a></aside><section id=comments><p>I loved reading this, thanks for it.</p></section><form><label>Email</label><input></form><footer>&copy; 2024</footer>",
