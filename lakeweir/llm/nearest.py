@@ -10,7 +10,7 @@ node that counts its rows, so a group of copies of any size is one row in every
 3. Enlargement: a vector with LIST neighbours or more has a saturated list. The lists of its whole component grow to the
    component, compared block against block; only counts and a forest of links leave a block, never its pairs.
 4. Audit: links of a bounded set of query vectors, against all rows, measure the recall. Below TARGET the steps are
-   repeated with other hyperplanes added.
+   repeated with other hyperplanes added, and after PASSES the operator fails.
 
 Defined results: null, zero and unfinished vectors (null or non-finite components), null labels and null ids link with
 nothing; vectors of different lengths never link; repeated ids are one node with a row each; copies link to each other.
@@ -222,8 +222,11 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         links = edges.filter(F.col("s") >= threshold)
         few = _both(links).join(vectors.select(F.col("k").alias("v"), "m"), "v").groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("n"))
         counts = checkpointed(few.join(many.select("k"), "k", "left_anti").union(many))
-        if audit(vectors, counts, threshold) >= TARGET:
+        recall = audit(vectors, counts, threshold)
+        if recall >= TARGET:
             break
+    else:
+        raise RuntimeError(f"recall {recall:.4f} of the audited links is below {TARGET} after {PASSES} passes")
     name = vectors.select(F.col("k").alias("u"), "first")
     joined = links.select("u", "v").union(forest)
     joined = joined.join(name, "u").withColumnRenamed("first", "a").join(name.withColumnRenamed("u", "v"), "v").select("a", F.col("first").alias("b"))

@@ -300,6 +300,14 @@ def test_embeddings_repeated_ids(spark):
     assert got == [(4, 1, 4, True), (5, 1, 4, False), (5, 2, 4, False), (6, 2, 4, False), (6, 2, 4, False), (7, 0, 7, True), (7, 0, 7, True)]
 
 
+def test_embeddings_low_recall_fails(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, [1.0] * 16, 0), (2, [1.0] * 15 + [1.1], 0)], "vec_id bigint, embedding array<float>, label int")
+    monkeypatch.setattr(nearest, "PASSES", 1)
+    monkeypatch.setattr(nearest, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        nearest.near_duplicates(docs)
+
+
 def odd_texts():
     rng = random.Random(5)
     parts = ["a", "b", " ", "\n", "\t", "'s", "é", "1", "!", ",", ".", "<|endoftext|>", "　", "word", "Σ", "é", "_"]
