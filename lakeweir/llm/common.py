@@ -129,8 +129,36 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span, scrambled; equal bytes have equal hashes."""
+    """A 64-bit polynomial hash of each span, scrambled; equal bytes have equal hashes, but equal hashes prove nothing."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
     back = powers(INVERSE, len(data) + 1)
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each group of equal spans, and the group of every span.
+
+    Hashes only propose the groups; each span's bytes are compared with those of its group's first one, and spans that
+    differ from it get groups of their own by their bytes.
+    """
+    _, first, group = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, own = ends - starts, first[group]
+    differs = size != size[own]
+    other = np.flatnonzero((own != np.arange(len(own))) & ~differs & (size > 0))
+    if len(other):
+        done = np.cumsum(size[other]) - size[other]
+        within = np.arange(done[-1] + size[other[-1]]) - np.repeat(done, size[other])
+        unlike = data[np.repeat(starts[other], size[other]) + within] != data[np.repeat(starts[own[other]], size[other]) + within]
+        if unlike.any():
+            differs[other] = np.logical_or.reduceat(unlike, done)
+    if differs.any():
+        more, added = {}, []
+        for i in np.flatnonzero(differs).tolist():
+            value = data[starts[i] : ends[i]].tobytes()
+            if value not in more:
+                more[value] = len(first) + len(added)
+                added.append(i)
+            group[i] = more[value]
+        first = np.append(first, added)
+    return first, group

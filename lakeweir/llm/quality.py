@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import BLOCK_BYTES, blocks, map_batches, mix, span_hashes, utf8, word_spans
+from lakeweir.llm.common import BASE, BLOCK_BYTES, INVERSE, blocks, distinct_spans, map_batches, mix, powers, utf8, word_spans
 
 #: Largest share of a text's word characters inside repeated n-grams, by n (the limits that Rae et al., 2021, publish).
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -52,12 +52,23 @@ def _covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
-def _rolling(words: np.ndarray, owner: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """Hashes of the n-grams that start at the given words, with their text's number mixed in."""
-    out = mix(owner[at].astype(np.uint64) + np.uint64(n))
-    for j in range(n):
-        out = mix(out * np.uint64(0x100000001B3) + words[at + j])
-    return out
+class Rolling:
+    """Rolling hashes of the n-grams of a block's words: prefix sums of powers give each one from the sums around it."""
+
+    def __init__(self, words: np.ndarray, owner: np.ndarray):
+        self.words, self.owner = words, owner
+        self.back = powers(INVERSE, len(words))
+        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(words.astype(np.uint64) + BASE) * powers(BASE, len(words)), dtype=np.uint64)))
+
+    def same(self, n: int, at: np.ndarray) -> np.ndarray:
+        """A number for each n-gram that starts at the given words; equal ones in a text have equal numbers, and only they."""
+        h = mix((self.sums[at + n] - self.sums[at]) * self.back[at]) + mix(self.owner[at].astype(np.uint64) + np.uint64(n))
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        own = at[first[group]]
+        if (self.owner[own] == self.owner[at]).all() and all((self.words[own + j] == self.words[at + j]).all() for j in range(n)):
+            return group
+        # a hash that two n-grams share: told apart by their words
+        return np.unique(np.stack([self.owner[at], *(self.words[at + j] for j in range(n))]), axis=1, return_inverse=True)[1].ravel()
 
 
 def measure(data: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> dict[str, np.ndarray]:
@@ -72,14 +83,14 @@ def measure(data: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> d
     symbols = np.concatenate(([0], np.cumsum(SYMBOLS[data])))
     out["n_symbols"] = np.diff(symbols[offsets])
 
-    hashes = span_hashes(data, starts, ends)
+    rolling = Rolling(distinct_spans(data, starts, ends)[1], owner)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(owner))  # words from this one to the text's end
     live: dict[int, np.ndarray] = {}
     shortest = min(ngrams)
     for size in sorted({*ngrams, REPEAT_WINDOW}):
         # an n-gram occurs twice only where the next shorter one does
         at = np.flatnonzero(left >= size) if size == shortest else (held := live[max(live)])[left[held] >= size]
-        twice, _ = _repeated(_rolling(hashes, owner, size, at))
+        twice, _ = _repeated(rolling.same(size, at))
         live[size] = at[twice]
         out[f"chars_{size}"] = by_row(length * _covered(at[twice], size, len(owner)))
         if size == REPEAT_WINDOW:
@@ -91,7 +102,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> d
     line_ends = np.minimum(np.append(breaks, len(data))[np.searchsorted(breaks, line_starts)], offsets[row + 1])
     worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, row = line_starts[worded], line_ends[worded], row[worded]
-    _, later = _repeated(mix(span_hashes(data, line_starts, line_ends) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    _, later = _repeated(distinct_spans(data, line_starts, line_ends)[1] * n + row)
     count = lambda keep, values=None: np.bincount(row[keep], None if values is None else values[keep], n).astype(np.int64)
     out["n_lines"] = count(slice(None))
     out["n_dup_lines"] = count(later)

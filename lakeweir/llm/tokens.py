@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, map_batches, span_hashes
+from lakeweir.llm.common import blocks, distinct_spans, map_batches
 
 #: Entries of a worker's table of encoded pre-tokens; it is emptied when full, so its memory is bounded.
 TABLE_ENTRIES = 600_000
@@ -121,7 +121,7 @@ class Encoder:
         if not self.spaced:
             worded = kind[starts] != 0
             starts, ends = starts[worded], ends[worded]
-        _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        first, which = distinct_spans(data, starts, ends)
         distinct = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         new = [x for x in distinct if x not in self.place]
         if len(self.place) + len(new) > TABLE_ENTRIES:
