@@ -6,19 +6,21 @@ with the corpus, so the fingerprints are dealt to shards that hold every possibl
 
 * exact search (``min_similarity`` None): the 64 bits are cut into radius + 3 blocks; two fingerprints that differ in at
   most radius bits agree on three blocks at least, so a shard for each choice of three blocks misses no pair;
-* similarity search: a shard for each of 6 minima of the permuted shingle hashes (a pair at 0.8 meets in one with
-  probability 0.99994, at 0.9 with 0.999999), fingerprints of the distinct shingles within a radius of 26 bits (a pair at
-  0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long ones), then
-  an estimate of the Jaccard similarity from bottom-k sketches that only discards pairs clearly below (a pair at 0.8 is
-  estimated below 0.6 with probability under 2e-6). The components of what is left hold all that is linked; inside each,
+* similarity search: a shard for each of 20 bands of 4 minima of the permuted shingle hashes (a pair at 0.8 meets in none
+  with probability 3e-5, at 0.9 with 3e-10; pairs below 0.4 hardly ever meet), fingerprints of the distinct shingles within
+  a radius of 26 bits (a pair at 0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long
+  ones), then an estimate of the Jaccard similarity from the 80 minima that only discards pairs clearly below (a pair at
+  0.8 is estimated below 0.6 with probability 2e-5). The components of what is left hold all that is linked; inside each,
   the exact similarity of the full sets decides, block against block.
 
 Equal fingerprints (or sets of shingles) are one row before dealing, so groups of copies of any size cost one row a task. A shard
-gives its members' links to one another as a forest, never as all pairs. A shard with more than SHARD_ROWS rows is worked
-on by several tasks: each has the shard's rows as its tree and a part of them as queries.
+gives its members' links to one another as a forest, never as all pairs. A shard with more than SHARD_ROWS rows is cut into
+blocks, and a task has the tree of two of them, so that no task holds a large shard whole.
 
 Defined results: null and blank texts have no words, fingerprint zero, and link like others; a text with fewer words than
-a shingle is one shingle; repeated rows share a component; a null id is never a component's name unless all are null.
+a shingle is one shingle; repeated rows share a component; rows of one id are documents each, and a component is named by
+the smallest id in it; a null id names none unless all are null; other columns, whatever their names, are not read; an
+empty table gives an empty result; ids are of an integer type.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from pyspark.sql import types as T
 from lakeweir.llm.common import SPACE, blocks, checkpointed, map_batches, mix, powers, shuffle_partitions, utf8
 from lakeweir.llm.components import components, find
 
-SHARD_ROWS = 20_000
-BANDS, SKETCH = 6, 128
+SHARD_ROWS = 8_000
+BANDS, BAND_ROWS = 20, 4
 #: Estimates below this share of the least similarity are discarded; rows and bytes of shingle sets in a block of a component.
 CLEAR, SET_ROWS, SET_BYTES = 0.75, 1024, 8 << 20
 BROADCAST_BYTES = 32 << 20
@@ -76,22 +78,28 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-_TURNS = mix(powers(np.uint64(0xD1342543DE82EF95), BANDS + 1)[1:]) | np.uint64(1)
+_TURNS = mix(powers(np.uint64(0xD1342543DE82EF95), BANDS * BAND_ROWS + 1)[1:]) | np.uint64(1)
 
 
-def bands(distinct: np.ndarray) -> np.ndarray:
-    """A key for each band: the minimum of a multiplicative permutation of the distinct hashes."""
-    if not len(distinct):
-        return np.arange(BANDS, dtype=np.uint64)
-    return mix(np.array([(distinct * t).min() for t in _TURNS], np.uint64) ^ np.arange(BANDS, dtype=np.uint64))
+def minima(distinct: np.ndarray) -> np.ndarray:
+    """The minimum of each of the multiplicative permutations of the distinct hashes; the largest number where there are none."""
+    out = np.full(len(_TURNS), ~np.uint64(0))
+    for i in range(0, len(distinct), 2_048):
+        np.minimum(out, (distinct[i : i + 2_048, None] * _TURNS[None, :]).min(0), out=out)
+    return out
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minima."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity, estimated from two bottom-k sketches (sorted, at most SKETCH hashes each)."""
-    if not len(a) and not len(b):
-        return 1.0
-    union = np.union1d(a, b)[:SKETCH] if max(len(a), len(b)) >= SKETCH else np.union1d(a, b)
-    return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / len(union))
+def similar(sketches: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of sketches (minima) estimate a Jaccard similarity to own of at least least."""
+    return (sketches == own[None, :]).sum(1) >= least * len(own)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketches: bool) -> DataFrame:
@@ -111,8 +119,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketch
                     if sketches:  # the similarity is of sets, so repeats have no say
                         distinct = np.unique(mix(h))
                         fps.append(fingerprint(distinct))
-                        sketched.append((distinct[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
-                        keyed.append(bands(distinct).view(np.int64))
+                        least = minima(distinct)
+                        sketched.append((least >> np.uint64(32)).astype(np.uint32).tobytes())
+                        keyed.append(bands(least).view(np.int64))
                         digests.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                     else:
                         fps.append(fingerprint(h))
@@ -175,43 +184,55 @@ class BKTree:
         return found
 
 
-def shard_forest(fps: list[int], ids: list[int], queries: list[bool], radius: int, sketches: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
-    """Links between a shard's members that join all that are linked; each row that is a query looks at all rows before it."""
+def shard_forest(fps: list[int], ids: list[int], radius: int, sketches: list[bytes] | None, least: float) -> list[tuple[int, int]]:
+    """Links between a shard's members that join all that are linked; each row looks at all rows before it."""
     tree, out = BKTree(), []
+    matrix = None if sketches is None else np.frombuffer(b"".join(sketches), np.uint32).reshape(len(fps), -1)
     for i, value in enumerate(fps):
-        if queries[i]:
-            out += [(ids[i], ids[j]) for j in tree.link(value, radius, lambda j: sketches is None or similarity(sketches[i], sketches[j]) >= least)]
+        near: list[np.ndarray] = []
+
+        def accepts(j: int, i: int = i, near: list = near) -> bool:
+            if matrix is None:
+                return True
+            if not near:
+                near.append(similar(matrix[:i], matrix[i], least))
+            return near[0][j]
+
+        out += [(ids[i], ids[j]) for j in tree.link(value, radius, accepts)]
         tree.add(value)
     return out
 
 
-def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, marks: DataFrame | None = None) -> DataFrame:
+def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, marks: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """rows (key, node, fp) -> links between nodes of the same shard; marks (node, sketch) are joined where they are needed."""
     spark = rows.sparkSession
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    parts = F.ceil(F.col("_n") / F.lit(SHARD_ROWS)).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.withColumn("_query", F.pmod(F.xxhash64("node"), F.col("_parts")) == F.col("_part")).drop("_n", "_parts")
+    parts = F.ceil(F.col("_n") / F.lit(shard_rows)).cast("int")
+    # a block meets each other block in a pair of its own; an only block meets itself
+    placed = rows.join(sizes, "key").withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    others = F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_parts") - 1), lambda x: x != F.col("_own")))
+    dealt = placed.withColumn("_other", F.explode(others)).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_n", "_parts", "_own", "_other")
     dealt = dealt if marks is None else dealt.join(marks, ["node", "fp"])
-    dealt = dealt.repartition(shuffle_partitions(spark), "key", "_part").sortWithinPartitions("key", "_part", "node")
+    dealt = dealt.repartition(shuffle_partitions(spark), "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "node")
     sketched = min_similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, ([], [], [], [])
+        shard, held = None, ([], [], [])
 
         def close() -> pa.RecordBatch:
-            links = shard_forest(held[0], held[1], held[2], radius, held[3] if sketched else None, min_similarity or 0.0)
+            links = shard_forest(held[0], held[1], radius, held[2] if sketched else None, min_similarity or 0.0)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             prints = batch.column("fp").to_numpy().view(np.uint64).tolist()
-            marks = [np.frombuffer(x, np.uint32) for x in batch.column("sketch").to_pylist()] if sketched else [None] * len(prints)
-            for key, part, fp, node, query, mark in zip(batch.column("key").to_pylist(), batch.column("_part").to_pylist(), prints, batch.column("node").to_pylist(), batch.column("_query").to_pylist(), marks, strict=True):
-                if (key, part) != shard:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "_i", "_j")), strict=True)
+            marks = batch.column("sketch").to_pylist() if sketched else [None] * len(prints)
+            for key, fp, node, mark in zip(keys, prints, batch.column("node").to_pylist(), marks, strict=True):
+                if key != shard:
                     if len(held[0]) > 1:
                         yield close()
-                    shard, held = (key, part), ([], [], [], [])
-                for x, value in zip(held, (fp, node, query, mark), strict=True):
+                    shard, held = key, ([], [], [])
+                for x, value in zip(held, (fp, node, mark), strict=True):
                     x.append(value)
         if len(held[0]) > 1:
             yield close()
