@@ -4,16 +4,20 @@ Vectors of one label are compared by cosine in double precision. The graph keeps
 threshold edges is within it), so unrelated vectors cost nothing after the first lists. Equal vectors of a label are one
 node that counts its rows, so a group of copies of any size is one row in every step.
 
-1. First lists: random hyperplanes deal each label's vectors to small buckets, several times; a bucket is read in order of
-   a projection, in overlapping chunks, so a bucket of any size takes bounded memory.
+1. First lists: random hyperplanes deal each label's vectors to small buckets, several times, through the origin and
+   through the label's mean in turn (vectors that all point one way are not told apart by the first); a bucket is read in
+   order of a projection, in overlapping chunks, so a bucket of any size takes bounded memory.
 2. Refinement: joins of neighbours with their neighbours propose new edges, until a round adds none.
 3. Enlargement: a vector with LIST neighbours or more has a saturated list. The lists of its whole component grow to the
    component, compared block against block; only counts and a forest of links leave a block, never its pairs.
-4. Audit: links of a bounded set of query vectors, against all rows, measure the recall. Below TARGET the steps are
-   repeated with other hyperplanes added, and after PASSES the operator fails.
+4. Audit: links of query vectors, against all rows, measure the recall: of some that have a near neighbour in the graph,
+   and of more and more of all vectors until they hold ENOUGH links or are all. Below TARGET the steps are repeated with
+   other hyperplanes added, and after PASSES the operator fails. Where MOST queries hold no link at all, nothing can be
+   measured; then all PASSES are made.
 
 Defined results: null, zero and unfinished vectors (null or non-finite components), null labels and null ids link with
-nothing; vectors of different lengths never link; repeated ids are one node with a row each; copies link to each other.
+nothing; vectors of different lengths never link; repeated ids are one node with a row each; copies link to each other;
+other columns, whatever their names, are not read; an empty table gives an empty result; ids are of an integer type.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from lakeweir.llm.common import checkpointed, map_batches, shuffle_partitions, w
 from lakeweir.llm.components import components
 
 THRESHOLD, FLOOR, LIST = 0.98, 0.90, 32
-TABLES, BUCKET, CHUNK, BLOCK, QUERIES, TARGET, PASSES = 10, 48, 512, 1024, 200, 0.99, 3
+TABLES, BUCKET, CHUNK, BLOCK, TARGET, PASSES = 10, 48, 512, 1024, 0.99, 3
+#: Queries of an audit: of a wave, at the most, and links that are enough.
+QUERIES, MOST, ENOUGH = 500, 16_000, 200
 
 
 def _normal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,26 +58,49 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.float64).reshape(len(values), -1)
 
 
+def _means(vectors: DataFrame) -> DataFrame:
+    """label, _w (bytes of a vector), _n and _mean of the vectors of a label and length."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            for label, v in zip(batch.column("label").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                own = held.setdefault((label, len(v)), [0, np.zeros(len(v) // 8)])
+                own[0] += 1
+                own[1] += np.frombuffer(v, np.float64)
+        rows = [(label, w, n, total.tolist()) for (label, w), (n, total) in held.items()]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["label", "_w", "_n", "total"])
+
+    parts = map_batches(vectors.select("label", "v"), add, "label string, _w int, _n bigint, total array<double>")
+    # one row a task, label and length; summed place by place
+    each = parts.select("label", "_w", "_n", F.posexplode("total").alias("at", "x"))
+    summed = each.groupBy("label", "_w", "at").agg(F.sum("x").alias("x"), F.sum("_n").alias("_n"))
+    return summed.groupBy("label", "_w").agg(F.first("_n").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("_total")).select("label", "_w", "_n", F.transform("_total", lambda x: x / F.col("_n")).alias("_mean"))
+
+
 def _first_lists(vectors: DataFrame, tables: range) -> DataFrame:
-    """Edges (u < v, s) between vectors that share a bucket, at most LIST a vector and chunk."""
-    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    """Edges (u < v, s) between vectors that share a bucket: the LIST best of each vector in a chunk."""
+    sizes = checkpointed(_means(vectors))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[tuple[int, int], list[int]] = {}
-            values = batch.column("v").to_pylist()
-            for i, (v, n) in enumerate(zip(values, batch.column("_n").to_pylist(), strict=True)):
-                groups.setdefault((len(v), max(0, int(np.ceil(np.log2(n / BUCKET))))), []).append(i)
-            for (width, bits), rows in groups.items():
+            groups: dict[tuple[int, str], list[int]] = {}
+            values, counts = batch.column("v").to_pylist(), batch.column("_n").to_pylist()
+            for i, (v, label) in enumerate(zip(values, batch.column("label").to_pylist(), strict=True)):
+                groups.setdefault((len(v), label), []).append(i)
+            for (width, _), rows in groups.items():
+                bits = max(0, int(np.ceil(np.log2(counts[rows[0]] / BUCKET))))
                 x = np.frombuffer(b"".join(values[i] for i in rows), np.float64).reshape(len(rows), -1)
+                mean = np.array(batch.column("_mean")[rows[0]].as_py())
                 own = batch.take(pa.array(rows))
                 for t in tables:
                     planes = np.random.default_rng([t, width]).normal(size=(width // 8, 62))[:, : bits + 1]
-                    side = x @ planes
+                    side = (x - mean if t % 2 else x) @ planes
                     key = ((side[:, 1:] > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array([width] * len(rows), pa.int32()), own.column("label"), pa.array(key), pa.array(side[:, 0]), own.column("k"), own.column("v")], names=["t", "w", "label", "key", "p", "k", "v"])
 
-    dealt = map_batches(vectors.join(sizes, "label").select("k", "label", "v", "_n"), deal, "t int, w int, label string, key bigint, p double, k bigint, v binary")
+    dealt = map_batches(vectors.withColumn("_w", F.octet_length("v")).join(sizes, ["label", "_w"]).select("k", "label", "v", "_n", "_mean"), deal, "t int, w int, label string, key bigint, p double, k bigint, v binary")
     dealt = dealt.withColumn("bucket", F.xxhash64("t", "w", "label", "key")).select("bucket", "p", "w", "k", "v", "label")
     dealt = dealt.repartition(shuffle_partitions(vectors.sparkSession), "bucket").sortWithinPartitions("bucket", "w", "label", "p")
 
@@ -185,31 +214,67 @@ def _enlarged(edges: DataFrame, vectors: DataFrame, threshold: float) -> tuple[D
     return counted.groupBy("k").agg(F.sum("n").alias("n")), counted.filter("k <> to").select(F.col("k").alias("u"), F.col("to").alias("v"))
 
 
-def audit(vectors: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Links found of a bounded set of queries, as a share of those that all rows give."""
-    chosen = vectors.select("k", "label", "v").orderBy(F.xxhash64("k"), "k").limit(QUERIES).collect()
-    queries = [(r.k, r.label, np.frombuffer(r.v, np.float64)) for r in chosen]
+def true_links(vectors: DataFrame, queries: list, threshold: float) -> DataFrame:
+    """k and n: the rows that each query vector (a bounded number of them) is linked to, by comparison with all of its label."""
+    sorted_ = sorted(queries, key=lambda r: (r.label, len(r.v)))
+    blocks: dict[tuple[str, int], tuple[list, list]] = {}
+    for r in sorted_:
+        own = blocks.setdefault((r.label, len(r.v)), ([], []))
+        own[0].append(r.k)
+        own[1].append(bytes(r.v))
+    held = {key: (np.array(ks), np.frombuffer(b"".join(vs), np.float64).reshape(len(ks), -1)) for key, (ks, vs) in blocks.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, values, keys, rows = np.array(batch.column("label").to_pylist(), object), batch.column("v").to_pylist(), batch.column("k").to_numpy(), batch.column("m").to_numpy()
-            out = []
-            for k, label, x in queries:
-                same = [i for i in np.flatnonzero(names == label) if len(values[i]) == x.nbytes and keys[i] != k]
-                if same:
-                    out.append((k, int(rows[same][np.frombuffer(b"".join(values[i] for i in same), np.float64).reshape(len(same), -1) @ x >= threshold].sum())))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["k", "n"])
-
-    true = map_batches(vectors, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).filter("n > 0")
-    row = true.join(counts.withColumnRenamed("n", "found"), "k", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("found", F.lit(0)), "n"))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+            groups: dict[tuple[str, int], list[int]] = {}
+            values = batch.column("v").to_pylist()
+            for i, (label, v) in enumerate(zip(batch.column("label").to_pylist(), values, strict=True)):
+                if (label, len(v)) in held:
+                    groups.setdefault((label, len(v)), []).append(i)
+            keys, rows, names, found = batch.column("k").to_numpy(), batch.column("m").to_numpy(), [], []
+            for key, own in groups.items():
+                ks, q = held[key]
+                near = q @ np.frombuffer(b"".join(values[i] for i in own), np.float64).reshape(len(own), -1).T >= threshold
+                near &= ks[:, None] != keys[own][None, :]
+                n = near @ rows[own]
+                names.append(ks[n > 0])
+                found.append(n[n > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (names, found)], names=["k", "n"])
+
+    return map_batches(vectors, run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def audit(vectors: DataFrame, edges: DataFrame, counts: DataFrame, threshold: float, most: int = MOST) -> float | None:
+    """Links found of query vectors, as a share of those that all rows give; None if the queries, many as they are, have none."""
+    true = found = 0
+
+    def measure(queries: list) -> None:
+        nonlocal true, found
+        row = true_links(vectors, queries, threshold).join(counts.withColumnRenamed("n", "found"), "k", "left").agg(F.sum("n"), F.sum(F.least(F.coalesce("found", F.lit(0)), "n"))).first()
+        true, found = true + (row[0] or 0), found + (row[1] or 0)
+
+    draw = lambda rows, n: rows.select("k", "label", "v").orderBy(F.xxhash64("k"), "k").limit(n).collect()
+    near = vectors.join(_both(edges).select(F.col("u").alias("k")).distinct(), "k", "left_semi")
+    if queries := draw(near, QUERIES):
+        measure(queries)
+    seen, n, own = 0, QUERIES, [0, 0]
+    while own[0] < ENOUGH and seen < most:
+        queries = draw(vectors, n)
+        if len(queries) == seen:
+            break
+        before = true, found
+        measure(queries[seen:])
+        own = [own[0] + true - before[0], own[1] + found - before[1]]
+        seen, n = len(queries), min(4 * n, most)
+    # a lost pair does not show among vectors that have a neighbour, so each draw must hold by itself
+    return min((f / t for t, f in ((true, found), own) if t), default=None)
 
 
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of embeddings."""
     own = embeddings.select(embeddings[id_col].cast("bigint").alias("vec_id"), embeddings[vector_col].cast("array<double>").alias("v"), embeddings[label_col].cast("string").alias("label"))
     rows = with_ordinal(own, "vec_id", "v").withColumn("k", F.when(F.col("_ord") == 0, F.col("vec_id")).otherwise(F.xxhash64("vec_id", "_ord")))
-    rows = checkpointed(rows)
+    rows = checkpointed(rows)  # nodes are named by numbers that only some rows' order gives
     valid = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")
     normal = checkpointed(map_batches(valid.select("k", "vec_id", "label", "v"), _normal, "k bigint, vec_id bigint, label string, v binary"))
     vectors = checkpointed(normal.groupBy("label", "v").agg(F.min("k").alias("k"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("m")))
@@ -222,11 +287,12 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         links = edges.filter(F.col("s") >= threshold)
         few = _both(links).join(vectors.select(F.col("k").alias("v"), "m"), "v").groupBy(F.col("u").alias("k")).agg(F.sum("m").alias("n"))
         counts = checkpointed(few.join(many.select("k"), "k", "left_anti").union(many))
-        recall = audit(vectors, counts, threshold)
-        if recall >= TARGET:
+        recall = audit(vectors, edges, counts, threshold)
+        if recall is not None and recall >= TARGET:
             break
     else:
-        raise RuntimeError(f"recall {recall:.4f} of the audited links is below {TARGET} after {PASSES} passes")
+        if recall is not None:
+            raise RuntimeError(f"recall {recall:.4f} of the audited links is below {TARGET} after {PASSES} passes")
     name = vectors.select(F.col("k").alias("u"), "first")
     joined = links.select("u", "v").union(forest)
     joined = joined.join(name, "u").withColumnRenamed("first", "a").join(name.withColumnRenamed("u", "v"), "v").select("a", F.col("first").alias("b"))
