@@ -46,12 +46,21 @@ def table(spark, texts, ids=None):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
+def alike(letters, n=2048):
+    """Two different words of n letters that have the same polynomial hash modulo 2 ** 64, whatever its odd base."""
+    word = [i.bit_count() & 1 for i in range(n)]
+    return "".join(letters[x] for x in word), "".join(letters[1 - x] for x in word)
+
+
+ALIKE = [f"{a}{sep}{b}" for letters in ("ab", "ao", "as") for a, b in [alike(letters)] for sep in (" ", "\n")]
+
+
 def words_of(text):
     return re.findall("[^\x20\x09-\x0d]+", text or "")
 
 
 def test_quality(spark):
-    texts = corpus()
+    texts = corpus() + ALIKE
     got = {r.doc_id: r for r in quality.repetition(table(spark, texts)).collect()}
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
@@ -140,14 +149,13 @@ def test_simhash(spark):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
-def test_simhash_forest_splits(spark, monkeypatch):
+def test_simhash_forest_splits(spark):
     rng = random.Random(2)
     base = rng.getrandbits(64)
     prints = list({base} | {base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for _ in range(150)})
     rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
-    monkeypatch.setattr(simhash, "SHARD_ROWS", 7)
     nodes = spark.createDataFrame(rows, "node bigint, fp bigint")
-    links = simhash.shard_links(nodes.select(F.explode(simhash.block_keys(F.col("fp"), 2)).alias("key"), "node", "fp"), 2, None)
+    links = simhash.shard_links(nodes.select(F.explode(simhash.block_keys(F.col("fp"), 2)).alias("key"), "node", "fp"), 2, None, shard_rows=7)
     got = {r.node: r.component for r in components.components(links).collect()}
     want = groups(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
     assert [got.get(i, i) for i in range(len(prints))] == want
@@ -229,6 +237,7 @@ def plain_removal(texts, length):
 
 
 def check_removal(got, texts, length):
+    assert len(got) == len(texts)
     for i, (data, gone) in enumerate(plain_removal(texts, length)):
         kept = bytes(np.frombuffer(data, np.uint8)[~gone])
         spans = len(re.findall(b"\x01+", gone.astype(np.uint8).tobytes()))
@@ -248,21 +257,47 @@ def test_suffix_repeated_ids(spark):
     assert suffix.remove_repeats(table(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_collection_order():
+@pytest.mark.parametrize("block", [1, 7, 1 << 15])
+def test_collection_order(block):
+    """Symbols, common prefixes and suffixes as sorting all suffixes gives them, over files read in blocks of any size."""
     rng = random.Random(5)
-    texts = list({bytes(rng.choices(b"ab\x00c", k=rng.randint(1, 40))) for _ in range(80)})
-    symbols, lcp = suffix.collection(texts)
+    texts = [bytes(rng.choices(b"ab\x00c", k=rng.randint(1, 40))) for _ in range(80)]
+    texts += texts[:9]
+    columns = np.zeros((max(map(len, texts)) + 1, len(texts)), np.uint32)
+    for i, x in enumerate(texts):
+        columns[: len(x), i] = np.frombuffer(x, np.uint8)[::-1].astype(np.uint32) + 1
+    built = suffix.Collection(columns, block)
     rows = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
-    assert [0 if k == 0 else texts[i][k - 1] + 1 for _, i, k in rows] == symbols.tolist()
+    found = np.concatenate([x for _, x in built.blocks()])
+    assert [0 if k == 0 else texts[i][k - 1] + 1 for _, i, k in rows] == (found >> suffix._SYMBOL).tolist()
+    assert [i << 8 | len(texts[i]) - k for _, i, k in rows] == (found & suffix._PLACE).tolist()
     common = [0] + [next((n for n, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0]))) for a, b in zip(rows, rows[1:])]
-    assert common == lcp.tolist()
+    assert common == (found >> suffix._PREFIX & np.uint64(255)).tolist()
+
+
+def test_ranks():
+    rng = random.Random(6)
+    data = np.frombuffer(bytes(rng.choices(b"abcd", k=500)), np.uint8)
+    for n in range(2, 9):
+        grams = [data[i : i + n].tobytes() for i in range(len(data) - n + 1)]
+        place = {x: i for i, x in enumerate(sorted(set(grams)))}
+        assert suffix.byte_ranks(data, n).tolist() == [place[x] for x in grams]
 
 
-def test_collection_files(monkeypatch):
-    texts = [b"abcabc" * 8, b"xabcabc" * 7]
-    want = [x.tolist() for x in suffix.collection(texts)]
-    monkeypatch.setattr(suffix, "FILE_BYTES", 10)
-    assert [x.tolist() for x in suffix.collection(texts)] == want
+@pytest.mark.parametrize("length", [100, 97, 96, 34])
+def test_suffix_lengths(spark, length):
+    texts = corpus(40, 3)
+    check_removal({r.doc_id: r for r in suffix.remove_repeats(table(spark, texts), length=length).collect()}, texts, length)
+
+
+def test_suffix_common_passage(spark):
+    """A passage in a third of the documents, with other text around it, and copies of a document: hashes beyond HOT are split."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = say(260)
+    texts = [say(rng.randint(0, 150)) + passage[rng.randint(0, 3) :] + say(rng.randint(0, 150)) if i % 3 == 0 else say(200) for i in range(60)]
+    texts += [texts[1]] * 12 + [passage * 3, "ab" * 300, "ab" * 290]
+    check_removal({r.doc_id: r for r in suffix.remove_repeats(table(spark, texts), hot=5).collect()}, texts, 100)
 
 
 def test_embeddings(spark, monkeypatch):
@@ -311,7 +346,36 @@ def test_embeddings_low_recall_fails(spark, monkeypatch):
 def odd_texts():
     rng = random.Random(5)
     parts = ["a", "b", " ", "\n", "\t", "'s", "é", "1", "!", ",", ".", "<|endoftext|>", "　", "word", "Σ", "é", "_"]
-    return [*corpus(20), " a  b\t\tc\r\nd é ́x", "!!''re" * 300, "12345" * 900, "\n" * 900 + "a", "é" * 3000, *("".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(200))]
+    return [*corpus(20), *ALIKE, " a  b\t\tc\r\nd é ́x", "!!''re" * 300, "12345" * 900, "\n" * 900 + "a", "é" * 3000, *("".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(200))]
+
+
+def test_embeddings_audit_sees_rare_links(spark, monkeypatch):
+    """One pair among thousands of unrelated vectors: found; and missed by the first lists, noticed."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 24))
+    x[2999] = x[7] + 0.01 * rng.normal(size=24)
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: r for r in nearest.near_duplicates(docs).collect()}
+    assert got[2999].component_id == 7 and got[7].n_links == 1 and sum(r.n_links for r in got.values()) == 2
+    monkeypatch.setattr(nearest, "_first_lists", lambda *_: spark.createDataFrame([], "u bigint, v bigint, s double"))
+    monkeypatch.setattr(nearest, "PASSES", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        nearest.near_duplicates(docs)
+    lone = docs.filter("vec_id < 200")
+    assert all(r.n_links == 0 and r.kept for r in nearest.near_duplicates(lone).collect())
+
+
+def test_embeddings_one_direction(spark):
+    """Vectors round a common mean, with isolated pairs."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32)) + 2.0
+    for i in range(100):
+        x[2 * i + 1] = x[2 * i] + 0.1 * rng.normal(size=32)
+    docs = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int").repartition(4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in nearest.near_duplicates(docs).collect()}
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(len(x)))
 
 
 @pytest.mark.parametrize("leaf", [16, 8192])
