@@ -7,58 +7,108 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-#: An attribute value's tags, in the order in which they are looked for. Fixed values.
-TAGS = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue")
+#: An attribute value's tags, in the order in which they are looked for: scalars, then those that hold values. Fixed values.
+SCALAR_TAGS, LIST_TAG, MAP_TAG = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue"), "arrayValue", "kvlistValue"
 
 
-def _plain(value):
-    """The value inside an attribute's tagged union; nested ones recurse, untagged ones stay as they are."""
+class Malformed(ValueError):
+    """An attribute value that the format does not allow."""
+
+
+def _members(holder) -> list:
+    """The values of an array or a list of pairs; none where the field is missing."""
+    if not isinstance(holder, dict) or not isinstance(found := holder.get("values", []), list):
+        raise Malformed(holder)
+    return found
+
+
+def _unwrapped(value):
+    """What a tagged value holds. Text, lists and untagged objects stand for themselves; numbers, booleans and null can't."""
+    if isinstance(value, (str, list)):
+        return value
     if not isinstance(value, dict):
+        raise Malformed(value)
+    for tag in SCALAR_TAGS:
+        if tag in value:
+            return value[tag]
+    if LIST_TAG in value:
+        return list(map(_unwrapped, _members(value[LIST_TAG])))
+    if MAP_TAG not in value:
         return value
-    tag = next((t for t in TAGS if t in value), None)
-    if tag == "arrayValue":
-        return [_plain(v) for v in value[tag].get("values", [])]
-    if tag == "kvlistValue":
-        return {entry["key"]: _plain(entry["value"]) for entry in value[tag].get("values", [])}
-    return value if tag is None else value[tag]
+    out = {}
+    for pair in _members(value[MAP_TAG]):
+        if not isinstance(pair, dict) or not {"key", "value"} <= pair.keys() or isinstance(pair["key"], (dict, list)):
+            raise Malformed(pair)
+        name = pair["key"] if isinstance(pair["key"], str) else json.dumps(pair["key"])
+        out[name] = _unwrapped(pair["value"])
+    return out
+
 
+def _read(text: str | None):
+    """The value that an attribute's raw text stands for; a missing one is an empty object."""
+    if text is None:
+        return {}
+    try:
+        value = json.loads(text)
+    except ValueError:
+        value = text  # text came without its quotes
+    return _unwrapped(value)
 
-def _bag(entries: list | None) -> dict:
+
+def _bag_text(entries: list | None, ordered: bool) -> str | None:
+    """JSON text of an attribute list; None if a value of it is malformed."""
     out: dict = {}
-    for entry in entries or ():
-        if entry and entry["key"]:
-            out[entry["key"]] = _plain({} if entry["value"] is None else json.loads(entry["value"]))
-    return out
+    try:
+        for entry in entries or ():
+            if entry and entry["key"]:
+                out[entry["key"]] = _read(entry["value"])
+    except Malformed:
+        return None
+    return json.dumps(out, sort_keys=ordered)
 
 
-def _texts(attributes: pa.Array, ordered: bool) -> pa.Array:
-    return pa.array([json.dumps(_bag(x), sort_keys=ordered) for x in attributes.to_pylist()], pa.string())
+def _both_texts(attributes: pa.Array) -> pa.Array:
+    held = [None if x is None else (_bag_text(x, False), _bag_text(x, True)) for x in attributes.to_pylist()]
+    return pa.array([None if x is None else {"stored": x[0], "hashed": x[1]} for x in held], pa.struct([("stored", pa.string()), ("hashed", pa.string())]))
 
 
-def _as_stored(attributes: pa.Array) -> pa.Array:
-    return _texts(attributes, False)
+def _any_malformed(values: pa.Array) -> pa.Array:
+    def bad(text: str | None) -> bool:
+        try:
+            _read(text)
+        except Malformed:
+            return True
+        return False
 
+    return pa.array([None if x is None else any(map(bad, x)) for x in values.to_pylist()], pa.bool_())
 
-def _as_hashed(attributes: pa.Array) -> pa.Array:
-    return _texts(attributes, True)
 
+_texts = F.arrow_udf(_both_texts, StructType([StructField("stored", StringType()), StructField("hashed", StringType())]))
+any_malformed = F.arrow_udf(_any_malformed, BooleanType())
 
-_stored_any, _hashed_any = F.arrow_udf(_as_stored, StringType()), F.arrow_udf(_as_hashed, StringType())
+_LIST = "array<struct<key:string,value:string>>"
+
+
+def nested_values(attributes: Column) -> Column:
+    """Raw texts of an attribute list's values that are no plain scalar, so that they may be malformed."""
+    plain = lambda v: F.coalesce(F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[0]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[1]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[2]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[3]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[4]}"')), F.lit(True))
+    named = F.filter(F.coalesce(attributes, F.array().cast(_LIST)), lambda e: (F.coalesce(e["key"], F.lit("")) != "") & ~plain(e["value"]))
+    return F.transform(named, lambda e: e["value"])
+
+
+#: A plain ASCII string or an integer, whose JSON text needs no Python, and a key that needs no escape.
+_PLAIN, _KEY = r'^\{"(?:stringValue":"[ !#-\[\]-~]*"|intValue":(?:"-?[0-9]{1,18}"|-?[0-9]{1,18}))\}$', r"^[ !#-\[\]-~]*$"
 
 
 def _simple(entry: Column) -> Column:
-    """Whether an attribute is a plain ASCII string or integer, whose JSON text needs no Python."""
-    text = F.get_json_object(entry["value"], "$.stringValue")
-    number = F.get_json_object(entry["value"], "$.intValue")
-    key = entry["key"].rlike(r"^[ !#-\[\]-~]*$")
-    return key & ((text.isNotNull() & entry["value"].rlike(r'^\{"stringValue":\s*"[ !#-\[\]-~]*"\}$')) | (number.isNotNull() & entry["value"].rlike(r'^\{"intValue":\s*("-?[0-9]{1,18}"|-?[0-9]{1,18})\}$')))
+    return entry["key"].rlike(_KEY) & entry["value"].rlike(_PLAIN)
 
 
 def _pairs(attributes: Column) -> Column:
     named = F.filter(attributes, lambda e: F.coalesce(e["key"], F.lit("")) != "")
-    value = lambda e: F.regexp_extract(e["value"], r':\s*("[^"]*"|-?[0-9]+)\}$', 1)
+    value = lambda e: F.substr(e["value"], F.instr(e["value"], ":") + 1, F.length(e["value"]) - F.instr(e["value"], ":") - 1)
     return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))))
 
 
@@ -66,18 +116,21 @@ def _json(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}"))
 
 
-def attributes_text(attributes: Column, ordered: bool = False) -> Column:
-    """JSON text of an attribute list: last value of a key wins at the first one's place; keys sorted for hashing.
+def attribute_texts(attributes: Column) -> Column:
+    """stored and hashed: JSON text of an attribute list, in its order and with keys sorted; null if a value is malformed.
 
-    Lists of plain strings and integers stay in generated code; others go through Arrow. Needs
-    spark.sql.mapKeyDedupPolicy=LAST_WIN.
+    The last value of a key wins at the first one's place. Lists of plain strings and integers stay in the JVM; others go
+    through Arrow. Needs spark.sql.mapKeyDedupPolicy=LAST_WIN.
     """
-    listed = F.coalesce(attributes, F.array().cast("array<struct<key:string,value:string>>"))
+    listed = F.coalesce(attributes, F.array().cast(_LIST))
     plain = F.forall(listed, lambda e: F.coalesce(_simple(e), F.lit(False)))
     entries = F.map_entries(_pairs(F.when(plain, listed)))
-    entries = F.array_sort(entries) if ordered else entries
-    odd = F.when(~plain, listed)
-    return F.coalesce(_json(entries), F.when(odd.isNotNull(), (_hashed_any if ordered else _stored_any)(odd)))
+    odd = _texts(F.when(~plain, listed))
+    return F.struct(F.coalesce(_json(entries), odd["stored"]).alias("stored"), F.coalesce(_json(F.array_sort(entries)), odd["hashed"]).alias("hashed"))
+
+
+def attributes_text(attributes: Column, ordered: bool = False) -> Column:
+    return attribute_texts(attributes)["hashed" if ordered else "stored"]
 
 
 def resource_hash(attributes: Column) -> Column:

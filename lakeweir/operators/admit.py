@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import zlib
 
 import pyarrow as pa
@@ -11,34 +12,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lakeweir.functions.columns import any_malformed, nested_values
 from lakeweir.schemas import KINDS, payload_schema
 
 BODY_CAP, INFLATED_CAP = 10 << 20, 100 << 20
 
+#: Outcomes in the order in which they are tried: status and error text. Fixed values.
+TOO_LARGE = (413, "payload too large")
+NO_GZIP = (400, "invalid gzip payload")
+INFLATED_TOO_LARGE = (413, "decompressed payload too large")
+NO_JSON = (400, "invalid JSON")
+NO_RESOURCES = (400, "Missing resourceMetrics in OTLP payload")
+EMPTY = (500, "Parse error: payload cannot be empty")
+NO_RESOURCES_INSIDE = (500, "Parse error: missing resourceMetrics")
+UNREADABLE = (500, "Parse error: unreadable structure or number")
 
-def _inflater(cap: int):
-    kind = StructType([StructField("body", StringType()), StructField("error", StringType())])
 
-    def one(data: bytes | None) -> dict:
-        if data is None:
-            return {"body": None, "error": None}
+def _opener(cap: int):
+    """An Arrow function (body, gzip) -> text, where Spark can't read the body as it is, and the outcome that bars it."""
+    kind = StructType([StructField("text", StringType()), StructField("outcome", StringType())])
+
+    def inflate(body: bytes) -> bytes | str:
         try:
-            with gzip.GzipFile(fileobj=io.BytesIO(data)) as stream:
+            with gzip.GzipFile(fileobj=io.BytesIO(body)) as stream:
                 found = stream.read(cap + 1)
         except (OSError, EOFError, zlib.error):
-            return {"body": None, "error": "invalid gzip payload"}
-        if len(found) > cap:
-            return {"body": None, "error": "decompressed payload too large"}
+            return "no gzip"
+        return found if len(found) <= cap else "too large"
+
+    def one(body: bytes | None, squeezed: bool | None) -> dict:
+        found = inflate(body) if squeezed and body is not None else body
+        if isinstance(found, str):
+            return {"text": None, "outcome": found}
         try:
-            return {"body": found.decode(), "error": None}
-        except UnicodeDecodeError:
-            return {"body": None, "error": "invalid JSON"}
+            coding = json.detect_encoding(found or b"")
+            text = (found or b"").decode(coding)
+            document = json.loads(text)
+        except (ValueError, RecursionError):
+            return {"text": None, "outcome": "no json"}
+        outcome = None if isinstance(document, dict) and "resourceMetrics" in document else "empty" if not document else "no resources"
+        return {"text": text if squeezed or coding != "utf-8" else None, "outcome": outcome}
 
-    def inflate(data: pa.Array) -> pa.Array:
-        return pa.array([one(x) for x in data.to_pylist()], pa.struct([("body", pa.string()), ("error", pa.string())]))
+    def opened(body: pa.Array, squeezed: pa.Array) -> pa.Array:
+        return pa.array(map(one, body.to_pylist(), squeezed.to_pylist()), pa.struct([("text", pa.string()), ("outcome", pa.string())]))
 
-    inflate.__annotations__ = {"data": pa.Array, "return": pa.Array}
-    return F.arrow_udf(inflate, kind)
+    opened.__annotations__ = {"body": pa.Array, "squeezed": pa.Array, "return": pa.Array}
+    return F.arrow_udf(opened, kind)
 
 
 def points_of(metric: Column, kinds: tuple[str, ...] = KINDS) -> Column:
@@ -50,68 +69,63 @@ def points_of(metric: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def _bad_point(point: Column) -> Column:
-    """Whether a number of a point can't be read; times must lie in the years 1 to 9999."""
-    nanos = point["timeUnixNano"].try_cast("decimal(38,0)")
-    time = point["timeUnixNano"].isNotNull() & (nanos.isNull() | ~nanos.between(F.lit("-62135596800000000000").cast("decimal(38,0)"), F.lit("253402300799999999999").cast("decimal(38,0)")))
-    double = point["asDouble"].isNotNull() & point["asDouble"].try_cast("double").isNull()
-    whole = point["asInt"].isNotNull() & (point["asInt"].try_cast("bigint").isNull() | ~point["asInt"].rlike(r"^\s*[+-]?[0-9]+\s*$"))
-    return time | double | whole
+    """Whether a number of a point can't be read; times are whole numbers in the years 1 to 9999.
+
+    A text and a number look alike here, so a time with a fraction or an exponent is refused in either form.
+    """
+    nanos = point["timeUnixNano"]
+    far = nanos.try_cast("decimal(38,0)")
+    late = F.coalesce(nanos.rlike(r"^\s*[+-]?[0-9]+\s*$") & far.between(F.lit("-62135596800000000000").cast("decimal(38,0)"), F.lit("253402300799999999999").cast("decimal(38,0)")), F.lit(False))
+    time = nanos.isNotNull() & F.when(nanos.try_cast("bigint").isNotNull(), False).otherwise(~late)
+    double = point["asDouble"].isNotNull() & (point["asDouble"].try_cast("double").isNull() | point["asDouble"].rlike(r"[0-9.][dDfF]\s*$|[xX]"))
+    return time | double | (point["asInt"].isNotNull() & point["asInt"].try_cast("bigint").isNull())
 
 
-def _bad_attributes(attributes: Column) -> Column:
-    """kvlist entries without key or value."""
-    return F.exists(F.coalesce(attributes, F.array().cast("array<struct<key:string,value:string>>")), lambda a: F.coalesce(F.exists(F.from_json(F.get_json_object(a["value"], "$.kvlistValue.values"), "array<struct<key:string,value:string>>"), lambda e: e["key"].isNull() | e["value"].isNull()), F.lit(False)))
+def _each(array: Column, of) -> Column:
+    """The arrays that of() gives for each element, as one."""
+    return F.coalesce(F.flatten(F.transform(array, of)), F.array().cast("array<string>"))
 
 
-def _any_bad(payload: Column, kinds: tuple[str, ...]) -> Column:
-    some = lambda array, test: F.coalesce(F.exists(array, test), F.lit(False))
-    point = lambda p: _bad_point(p) | _bad_attributes(p["attributes"])
-    metric = lambda m: some(points_of(m, kinds), point)
-    scope = lambda s: some(s["metrics"], metric)
-    return some(payload["resourceMetrics"], lambda r: _bad_attributes(r["resource"]["attributes"]) | some(r["scopeMetrics"], scope))
+def _nested(payload: Column, kinds: tuple[str, ...]) -> Column:
+    """Raw texts of all attribute values that may be malformed."""
+    metric = lambda m: _each(points_of(m, kinds), lambda p: nested_values(p["attributes"]))
+    scope = lambda s: _each(s["metrics"], metric)
+    return _each(payload["resourceMetrics"], lambda r: F.concat(nested_values(r["resource"]["attributes"]), _each(r["scopeMetrics"], scope)))
 
 
-def inflated(payloads: DataFrame, inflated_cap: int = INFLATED_CAP) -> DataFrame:
-    """payloads (payload_id, body binary, gzip boolean) with text and inflate_error."""
-    squeezed = F.when(F.col("gzip"), F.col("body"))
-    out = payloads.withColumn("_in", F.when(squeezed.isNotNull(), _inflater(inflated_cap)(squeezed)))
-    plain = F.when(F.is_valid_utf8(F.col("body").cast("string")), F.col("body").cast("string"))
-    return out.withColumns({"text": F.when(F.col("gzip"), F.col("_in.body")).otherwise(plain), "inflate_error": F.col("_in.error")}).drop("_in")
+def _bad_numbers(payload: Column, kinds: tuple[str, ...]) -> Column:
+    some = lambda array, test: F.coalesce(F.exists(array, test), F.lit(False))
+    return some(payload["resourceMetrics"], lambda r: some(r["scopeMetrics"], lambda s: some(s["metrics"], lambda m: some(points_of(m, kinds), _bad_point))))
 
 
 def admit(payloads: DataFrame, body_cap: int = BODY_CAP, inflated_cap: int = INFLATED_CAP, kinds: tuple[str, ...] = KINDS, need_resources: bool = True) -> DataFrame:
     """payload_id, payload (parsed), status and error of every payload; status 200 is admitted.
 
-    With ``need_resources`` off, the parser's own rule applies: an empty object is an error, and a missing
-    resourceMetrics too. A payload with any unreadable part is rejected whole.
+    With ``need_resources`` off, the parser's own rule applies: an empty document is an error, and a missing
+    resourceMetrics too. A payload with any unreadable part is rejected whole; no payload fails the job.
     """
     own = payloads if "gzip" in payloads.columns else payloads.withColumn("gzip", F.lit(False))
-    own = own.withColumn("body", F.col("body").cast("binary")).withColumn("_large", F.octet_length("body") > body_cap)
-    rows = inflated(own.withColumn("body", F.when(~F.col("_large"), F.col("body"))), inflated_cap)
-    rows = rows.withColumns({"_shape": F.from_json("text", "resourceMetrics STRING, _corrupt_record STRING", {"columnNameOfCorruptRecord": "_corrupt_record"}), "payload": F.from_json("text", payload_schema(kinds), {"columnNameOfCorruptRecord": "_corrupt_record"})})
-    body = F.trim(F.translate("text", "\n\r\t", "   "))
-    listed = body.rlike(r"^(\[.*\]|[0-9.eE+-]+|\".*\"|true|false|null)$")
-    broken = F.col("text").isNull() | ((F.col("_shape").isNull() | F.col("_shape._corrupt_record").isNotNull() | ~body.rlike(r"[}\]]$")) & ~listed)
-    named = F.col("_shape.resourceMetrics").isNotNull() | F.coalesce(F.array_contains(F.json_object_keys("text"), "resourceMetrics"), F.lit(False))
-    unread = F.col("payload._corrupt_record").isNotNull() | _any_bad(F.col("payload"), kinds)
-    gone = F.col("inflate_error")
-    rules: list[tuple[Column, int, str | Column]] = [
-        (F.col("_large"), 413, "payload too large"),
-        (gone == "invalid gzip payload", 400, gone),
-        (gone == "decompressed payload too large", 413, gone),
-        (broken, 400, "invalid JSON"),
-    ]
-    if need_resources:
-        rules.append((~named | listed, 400, "Missing resourceMetrics"))
-    else:
-        rules += [(body.rlike(r"^\{\s*\}$"), 500, "Parse error: payload cannot be empty"), (~named | listed, 500, "Parse error: missing resourceMetrics")]
-    rules.append((unread, 500, "Parse error: unreadable structure or number"))
+    body = F.col("body").cast("binary")
+    large = F.coalesce(F.octet_length(body) > body_cap, F.lit(False))
+    rows = own.select("payload_id", F.when(~large, body).alias("_body"), F.coalesce("gzip", F.lit(False)).alias("_gzip"), large.alias("_large"))
+    rows = rows.withColumn("_open", _opener(inflated_cap)("_body", "_gzip"))
+    text = F.when(F.col("_open.outcome").isNull(), F.coalesce("_open.text", F.col("_body").cast("string")))
+    parsed = F.from_json(text, payload_schema(kinds), {"columnNameOfCorruptRecord": "_corrupt_record", "allowSingleQuotes": "false"})
+    # through a generator, so that what reads the payload doesn't parse it again
+    rows = rows.select("payload_id", "_large", F.col("_open.outcome").alias("_outcome"), F.inline(F.array(F.struct(parsed.alias("payload")))))
+    nested = _nested(F.col("payload"), kinds)
+    rows = rows.select("payload_id", "_large", "_outcome", "payload", F.when(F.size(nested) > 0, nested).alias("_nested"), (F.col("payload._corrupt_record").isNotNull() | _bad_numbers(F.col("payload"), kinds)).alias("_unread"))
+    is_ = lambda name: F.col("_outcome") == name
+    missing = is_("no resources") | is_("empty")
+    rules: list[tuple[Column, tuple[int, str]]] = [(F.col("_large"), TOO_LARGE), (is_("no gzip"), NO_GZIP), (is_("too large"), INFLATED_TOO_LARGE), (is_("no json"), NO_JSON)]
+    rules += [(missing, NO_RESOURCES)] if need_resources else [(is_("empty"), EMPTY), (missing, NO_RESOURCES_INSIDE)]
+    rules.append((F.col("_unread") | F.coalesce(any_malformed("_nested"), F.lit(False)), UNREADABLE))
     failed = F.lit(len(rules))
     for n in reversed(range(len(rules))):
         failed = F.when(F.coalesce(rules[n][0], F.lit(False)), n).otherwise(failed)
-    # through a generator, so that a later filter on the status is not moved below it, where it would parse payloads again
-    rows = rows.select("payload_id", "inflate_error", F.inline(F.array(F.struct("payload", failed.alias("_failed")))))
+    # and again, so that a filter on the status is not moved below it
+    rows = rows.select("payload_id", F.inline(F.array(F.struct("payload", failed.alias("_failed")))))
     status, error = F.lit(200), F.lit(None).cast("string")
-    for n, (_, code, said) in enumerate(rules):
+    for n, (_, (code, said)) in enumerate(rules):
         status, error = F.when(F.col("_failed") == n, code).otherwise(status), F.when(F.col("_failed") == n, said).otherwise(error)
     return rows.select("payload_id", F.when(F.col("_failed") == len(rules), F.col("payload")).alias("payload"), status.alias("status"), error.alias("error"))

@@ -4,14 +4,16 @@ read, after it only the target, so a job that dies half-way loses and doubles no
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweir.schemas import EXTRA, TABLES
-from lakeweir.sources.lake import exists, manifest, partition_inventory
+from lakeweir.sources.lake import delete_path, exists, file_name, manifest, partition_inventory
 
-THRESHOLD, FILE_BYTES = 10, 512 << 20
+THRESHOLD, FILE_BYTES, DAYS_AT_ONCE = 10, 512 << 20, 4
 RESULT = "year STRING, month STRING, day STRING, status STRING, files_before BIGINT, files_after BIGINT, rows BIGINT"
 
 
@@ -36,14 +38,6 @@ def candidates(spark: SparkSession, base: str, threshold: int = THRESHOLD) -> Da
     return live_inventory(spark, base).filter(F.col("file_count") >= threshold).orderBy("year", "month", "day")
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:
-        return False
-
-
 def _read_files(spark: SparkSession, base: str, files: list[str]) -> DataFrame:
     schema = ", ".join((TABLES["metric_data"], EXTRA["metric_data"]))
     parts = []
@@ -54,8 +48,8 @@ def _read_files(spark: SparkSession, base: str, files: list[str]) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, delete: bool = True) -> tuple:
-    """One day: write, verify the counts, commit, delete. A day that can't be read is skipped."""
+def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count) -> tuple:
+    """One day: write, verify the counts (count: of what was written), commit, delete. A day that can't be read is skipped."""
     key, files = (day.year, day.month, day.day), list(day.files)
     try:
         rows = _read_files(spark, base, files)
@@ -69,23 +63,24 @@ def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, dele
     packed = rows.drop("year", "month", "day")
     (packed.coalesce(1) if n == 1 else packed.repartition(n)).write.option("compression", "zstd").parquet(folder)
     made = spark.read.parquet(folder)
-    if made.count() != before:
-        _delete(spark, folder)
+    if count(made) != before:
+        delete_path(spark, folder)
         return (*key, "count mismatch", len(files), len(files), before)
-    targets = [r.f for r in made.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("f")).distinct().collect()]
+    targets = [r.f for r in made.select(file_name().alias("f")).distinct().collect()]
     # targets without rows of their own sources are listed against the first one
     pairs = [(targets[0], f) for f in files] + [(t, None) for t in targets[1:]] if targets else [(None, f) for f in files]
-    spark.createDataFrame(pairs, "target STRING, source STRING").coalesce(1).write.mode("append").parquet(f"{base}/_manifest")
+    spark.createDataFrame(pairs, "target STRING, source STRING").coalesce(1).write.parquet(f"{base}/_manifest/{uuid.uuid4().hex}")  # a folder each: days commit at once
     if delete:
         for file in files:
-            _delete(spark, file)
+            delete_path(spark, file)
     return (*key, "compacted", len(files), len(targets), before)
 
 
-def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True) -> DataFrame:
-    """Compacts each day with enough files; one result row per day found."""
+def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count) -> DataFrame:
+    """Compacts each day with enough files, a few days at once, as they are independent; one result row per day found."""
     found = candidates(spark, base, threshold).collect()  # one row a day
-    results = [compact_day(spark, base, day, dry_run, delete) for day in found]
+    with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
+        results = list(pool.map(lambda day: compact_day(spark, base, day, dry_run, delete, count), found))
     skipped = live_inventory(spark, base).filter(F.col("file_count") < threshold).select("year", "month", "day", F.lit("skipped").alias("status"), F.col("file_count").alias("files_before"), F.col("file_count").alias("files_after"), F.lit(None).cast("bigint").alias("rows"))
     days = [r[:3] for r in results]
     made = spark.createDataFrame(results, RESULT)

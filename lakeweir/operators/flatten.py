@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.functions.columns import attributes_text, finite, nanos_to_timestamp, partition_columns, point_attributes
+from lakeweir.functions.columns import attribute_texts, finite, nanos_to_timestamp, partition_columns, point_attributes
 from lakeweir.operators.admit import points_of
 from lakeweir.schemas import KINDS
 
 
 def explode_resources(admitted: DataFrame) -> DataFrame:
     rows = admitted.filter("status = 200").select("payload_id", F.posexplode("payload.resourceMetrics").alias("r_pos", "_r"))
-    attributes = F.col("_r.resource.attributes")
-    return rows.select("payload_id", "r_pos", F.sha2(attributes_text(attributes, ordered=True), 256).alias("resource_hash"), attributes_text(attributes).alias("attributes"), F.col("_r.scopeMetrics").alias("_scopes"))
+    rows = rows.withColumn("_texts", attribute_texts(F.col("_r.resource.attributes")))
+    return rows.select("payload_id", "r_pos", F.sha2("_texts.hashed", 256).alias("resource_hash"), F.col("_texts.stored").alias("attributes"), F.col("_r.scopeMetrics").alias("_scopes"))
 
 
 def explode_scopes(resources: DataFrame) -> DataFrame:

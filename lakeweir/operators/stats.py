@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ingest_stats(admitted: DataFrame, levels: dict[str, DataFrame], written: bool = True) -> DataFrame:
-    """Per payload: distinct resources, scopes and definitions, points, rows written, and its errors."""
-    count = lambda name, level, *key: levels[level].groupBy("payload_id").agg(F.count_distinct(F.struct(*key)).cast("long").alias(name))
-    version = F.struct(F.col("scope_version").isNull().alias("none"), F.coalesce("scope_version", F.lit("")).alias("v"))
-    out = admitted.select("payload_id", "status", "error")
-    parts = [
-        count("resources", "resources", "resource_hash"),
-        count("scopes", "scopes", "scope_name", version.alias("version")),
-        count("metric_definitions", "metrics", "scope_name", version.alias("version"), "metric_name"),
-        levels["points"].groupBy("payload_id").agg(F.count(F.lit(1)).alias("data_points")),
-    ]
-    for part in parts:
-        out = out.join(part, "payload_id", "left")
-    names = ["resources", "scopes", "metric_definitions", "data_points"]
-    out = out.fillna(0, names).withColumn("written", F.col("data_points") if written else F.lit(0).cast("long"))
+from lakeweir.functions.columns import resource_hash
+from lakeweir.operators.admit import points_of
+from lakeweir.schemas import KINDS
+
+
+def ingest_stats(admitted: DataFrame, written: bool = True, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Per payload: distinct resources, scopes and definitions, points, rows written, and its errors.
+
+    One pass: each payload is cut at its resources only, counted within them, and combined on the map side, as all of a
+    payload's rows are in one task.
+    """
+    rows = admitted.select("payload_id", "status", "error", F.explode_outer("payload.resourceMetrics").alias("_r"))
+    scope = lambda s: F.struct(F.coalesce(s["scope"]["name"], F.lit("unknown")).alias("name"), s["scope"]["version"].alias("version"))
+    listed = F.filter(F.col("_r.scopeMetrics"), lambda s: s.isNotNull())
+    definitions = F.flatten(F.transform(F.filter(listed, lambda s: s["metrics"].isNotNull()), lambda s: F.transform(s["metrics"], lambda m: F.struct(scope(s).alias("scope"), F.coalesce(m["name"], F.lit("unknown")).alias("name")))))
+    points = F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, s: n + F.coalesce(F.aggregate(s["metrics"], F.lit(0).cast("bigint"), lambda k, m: k + F.coalesce(F.size(points_of(m, kinds)), F.lit(0))), F.lit(0)))
+    found = rows.select(
+        "payload_id", "status", "error",
+        F.when(F.col("_r").isNotNull(), resource_hash(F.col("_r.resource.attributes"))).alias("hash"),
+        F.transform(listed, scope).alias("scopes"),
+        definitions.alias("definitions"),
+        points.alias("points"),
+    )
+    distinct = lambda c: F.coalesce(F.size(F.array_distinct(F.flatten(F.collect_list(c)))), F.lit(0)).cast("long")
+    out = found.groupBy("payload_id").agg(
+        F.first("status").alias("status"), F.first("error").alias("error"), F.size(F.collect_set("hash")).cast("long").alias("resources"), distinct("scopes").alias("scopes"),
+        distinct("definitions").alias("metric_definitions"), F.coalesce(F.sum("points"), F.lit(0)).alias("data_points"),
+    )
+    out = out.withColumn("written", F.col("data_points") if written else F.lit(0).cast("long"))
     return out.withColumn("errors", F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.array().cast("array<string>"))).drop("error")
 
 

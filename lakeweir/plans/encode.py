@@ -6,8 +6,12 @@ kinds, numbers as text, missing versions, units and attributes, and some payload
 
 from __future__ import annotations
 
+import gzip
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lakeweir.schemas import KINDS
 
@@ -40,3 +44,68 @@ def encode(events: DataFrame) -> DataFrame:
     name = F.when(F.col("payload_id") % BAD_EVERY == 2, "other").otherwise("resourceMetrics")
     body = F.concat(F.lit('{"'), name, F.lit('":['), entries, F.when(F.col("payload_id") % BAD_EVERY == 1, "").otherwise("]}"))
     return listed.select("payload_id", body.cast("binary").alias("body"), F.lit(False).alias("gzip"))
+
+
+# --- payloads for each admission rule -----------------------------------------------------------------------------
+
+#: Caps that the padded payloads exceed.
+BODY_CAP, INFLATED_CAP = 200_000, 400_000
+CASES = 20
+
+
+def _squeeze(body: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else gzip.compress(x) for x in body.to_pylist()], pa.binary())
+
+
+_squeezed = F.arrow_udf(_squeeze, BinaryType())
+
+
+def _one(events: DataFrame) -> DataFrame:
+    """payload_id, _resource, _point and _tail: the parts of a payload of one point for each group of events."""
+    first = events.groupBy(F.expr(f"event_id div {PER_PAYLOAD}").alias("payload_id")).agg(F.min_by("event_type", "event_id").alias("_type"), F.min("event_id").alias("_id"))
+    resource = F.concat(F.lit('{"resourceMetrics":[{"resource":{"attributes":['), _said("service.name", F.col("_type")))
+    return first.select("payload_id", "_id", resource.alias("_resource"), F.lit(']},"scopeMetrics":[{"scope":{"name":"s"},"metrics":[{"name":"m","gauge":{"dataPoints":[').alias("_middle"), F.lit("]}}]}]}]}").alias("_tail"))
+
+
+def encode_cases(events: DataFrame) -> DataFrame:
+    """payload_id, body and gzip: payloads that meet or break one admission rule each, by payload_id modulo CASES."""
+    case = F.col("payload_id") % CASES
+    listed = lambda value: F.lit(f',{{"key":"odd","value":{value}}}')
+    extra = F.when(case == 13, listed('{"arrayValue":null}')).when(case == 14, listed('{"arrayValue":{"values":[1]}}'))
+    extra = extra.when(case == 15, listed('{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"x"}]}}]}}')).when(case == 18, listed('{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"x","value":{"intValue":1}}]}}]}}')).otherwise("")
+    time = F.when(case == 11, '"1.5"').when(case == 19, '"soon"').otherwise(F.concat(F.lit('"17000000'), F.lpad((F.col("_id") % 100).cast("string"), 2, "0"), F.lit('000000000"')))
+    value = F.when(case == 12, '"1.5d"').otherwise("1.5")
+    body = F.concat("_resource", extra, "_middle", F.lit('{"timeUnixNano":'), time, F.lit(',"asDouble":'), value, F.lit("}"), "_tail")
+    body = F.when(case.isin(4, 5), F.concat(body, F.repeat(F.lit(" "), F.when(case == 4, INFLATED_CAP).otherwise(BODY_CAP)))).otherwise(body)
+    rows = _one(events).withColumn("_body", body)
+    less = F.expr("left(_body, length(_body) - 1)")
+    text = F.when(case == 6, less).when(case == 7, F.concat("_body", F.lit(" {}"))).when(case == 8, F.translate("_body", '"', "'")).when(case == 9, F.replace(F.col("_body"), F.lit("resourceMetrics"), F.lit("other")))
+    text = text.when(case == 10, "{}").when(case == 16, F.concat(F.lit("["), F.col("_body"), F.lit("]"))).when(case == 17, F.concat(less, F.lit(',"more":NaN}'))).otherwise(F.col("_body"))
+    rows = rows.withColumn("_text", text.cast("binary")).withColumn("_gz", _squeezed(F.when(case.isin(1, 3, 4), F.col("_text"))))
+    body = F.when(case == 3, F.expr("substring(_gz, 1, length(_gz) - 9)")).otherwise(F.coalesce("_gz", "_text"))
+    return rows.select("payload_id", body.alias("body"), case.isin(1, 2, 3, 4).alias("gzip"))
+
+
+def encode_attributes(events: DataFrame) -> DataFrame:
+    """payload_id and body: fifty resources a payload, with attributes of every kind, repeated and empty keys among them."""
+    i = F.col("event_id")
+    number = i.cast("string")
+    said = [
+        _said("s", F.col("event_type")),
+        F.concat(F.lit('{"key":"i","value":{"intValue":"'), number, F.lit('"}}')),
+        F.concat(F.lit('{"key":"d","value":{"doubleValue":'), number, F.lit(".5}}")),
+        F.concat(F.lit('{"key":"b","value":{"boolValue":'), F.when(i % 2 == 0, "true").otherwise("false"), F.lit("}}")),
+        F.lit('{"key":"y","value":{"bytesValue":"AAE="}}'),
+        F.concat(F.lit('{"key":"a","value":{"arrayValue":{"values":[{"intValue":'), number, F.lit('},{"stringValue":"x"},{"arrayValue":{"values":[]}},{"arrayValue":{}}]}}}')),
+        F.concat(F.lit('{"key":"m","value":{"kvlistValue":{"values":[{"key":"k","value":{"intValue":"'), number, F.lit('"}},{"key":"k","value":{"boolValue":true}}]}}}')),
+        F.lit('{"key":"u","value":{"otherValue":1}}'),
+        F.lit('{"key":"n"}'),
+        F.lit('{"key":"","value":{"stringValue":"no"}}'),
+        F.lit('{"value":{"stringValue":"no"}}'),
+        F.when(i % 3 == 0, F.lit('{"key":"s","value":{"stringValue":"again \\u00e9"}}')),
+    ]
+    kept = F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), ",")
+    entry = F.concat(F.lit('{"resource":{"attributes":['), kept, F.lit("]}}"))
+    listed = events.select(F.expr(f"event_id div {PER_PAYLOAD}").alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))
+    body = F.concat(F.lit('{"resourceMetrics":['), F.array_join(F.transform("_all", lambda x: x["_entry"]), ","), F.lit("]}"))
+    return listed.select("payload_id", body.cast("binary").alias("body"), F.lit(False).alias("gzip"))

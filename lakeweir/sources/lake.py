@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,6 +20,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder; False if that fails, as what is left behind is in the manifest and read no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:
+        return False
+
+
 def _schema(table: str) -> str:
     return ", ".join(filter(None, (TABLES[table], EXTRA.get(table))))
 
@@ -27,15 +36,24 @@ def _schema(table: str) -> str:
 def manifest(spark: SparkSession, base: str) -> DataFrame:
     """target and source paths of every compaction that was committed."""
     path = f"{base}/_manifest"
-    return spark.read.schema("target STRING, source STRING").parquet(path) if exists(spark, path) else spark.createDataFrame([], "target STRING, source STRING")
+    return spark.read.schema("target STRING, source STRING").option("recursiveFileLookup", True).parquet(path) if exists(spark, path) else spark.createDataFrame([], "target STRING, source STRING")
+
+
+def file_name() -> Column:
+    """The one form of a file's path that scans, the inventory and the manifest share: decoded, a local one without scheme.
+
+    Spark gives the path of a row's file URL-encoded, in which a plus sign stands for itself.
+    """
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "/")
 
 
 def _with_file(df: DataFrame) -> DataFrame:
-    return df.withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
+    return df.withColumn("_file", file_name())
 
 
-def scan_lake(spark: SparkSession, base: str) -> DataFrame:
-    """All facts: hour files that no compaction replaced, and the compacted days that stand."""
+def _standing(spark: SparkSession, base: str) -> DataFrame | None:
+    """Facts and their _file: hour files that no compaction replaced, and the compacted days that stand."""
     columns = StructType.fromDDL(TABLES["metric_data"]).names
     done = manifest(spark, base)
     parts = []
@@ -46,10 +64,14 @@ def scan_lake(spark: SparkSession, base: str) -> DataFrame:
         rows = rows.join(done.select(F.col("source").alias("_file")).distinct(), "_file", "left_anti")
         if keep:
             rows = rows.join(done.select(F.col("target").alias("_file")).distinct(), "_file", "left_semi")
-        parts.append(rows.select(*columns))
-    if not parts:
-        return spark.createDataFrame([], TABLES["metric_data"])
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        parts.append(rows.select(*columns, "_file"))
+    return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def scan_lake(spark: SparkSession, base: str) -> DataFrame:
+    """All facts, each once, whatever was compacted."""
+    rows = _standing(spark, base)
+    return spark.createDataFrame([], TABLES["metric_data"]) if rows is None else rows.drop("_file")
 
 
 def scan_range(spark: SparkSession, base: str, start: datetime, end: datetime) -> DataFrame:
@@ -76,9 +98,18 @@ def scan_table(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def partition_inventory(spark: SparkSession, base: str) -> DataFrame:
-    """year, month, day, path, file_count and files of each day, in order; only *.parquet under dated folders."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(base).select("path", "length")
+    """year, month, day, path, file_count, bytes and files of each day, in order; only *.parquet under dated folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(base).select(file_name().alias("path"), "length")
     part = lambda name: F.regexp_extract("path", rf"/{name}=(\d+)/", 1)
-    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", *(part(x).alias(x) for x in PARTS[:3])).filter("year <> '' AND month <> '' AND day <> ''")
+    rows = files.select("path", "length", *(part(x).alias(x) for x in PARTS[:3])).filter("year <> '' AND month <> '' AND day <> ''")
     folder = F.regexp_extract("path", r"^(.*/day=\d+)/", 1)
     return rows.groupBy("year", "month", "day", folder.alias("path")).agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes"), F.sort_array(F.collect_list(rows.path)).alias("files")).orderBy("year", "month", "day", "path")
+
+
+def rows_per_day(spark: SparkSession, base: str) -> DataFrame:
+    """year, month, day, files and rows of the facts that a scan reads, by the folder that they are in."""
+    rows = _standing(spark, base)
+    if rows is None:
+        return spark.createDataFrame([], "year STRING, month STRING, day STRING, files BIGINT, rows BIGINT")
+    per_file = rows.groupBy("year", "month", "day", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    return per_file.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("files"), F.sum("_n").alias("rows"))

@@ -1,11 +1,15 @@
-"""Ingest jobs: one batch of payloads, or a stream of them, to the four tables.
+"""Ingest jobs: one batch of payloads, or a stream of them, to the four tables and the ingest log.
 
 A batch writes its facts under a folder of its own (batch=<id>) with dynamic partition overwrite, so a batch that is
 played again replaces itself instead of adding rows. There is no watermark: late points go to their own hour.
+
+A stream with a row threshold keeps the payloads of its micro-batches in ``_pending`` until enough rows wait or enough
+time has passed; a flush is named after the oldest micro-batch in it, so a flush that is played again replaces itself too.
 """
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +18,12 @@ from pyspark.sql import functions as F
 from lakeweir.operators.admit import admit
 from lakeweir.operators.dims import table_rows
 from lakeweir.operators.flatten import fact_rows, flatten
-from lakeweir.operators.stats import ingest_stats
+from lakeweir.operators.stats import ingest_stats, ingest_totals
+from lakeweir.schemas import KINDS
+from lakeweir.sources.lake import delete_path, exists
 
-FLUSH_SECONDS = 600
+FLUSH_SECONDS, FLUSH_ROWS, POLL_SECONDS = 600, 50_000, 10
+LOG = "payload_id STRING, status INT, resources BIGINT, scopes BIGINT, metric_definitions BIGINT, data_points BIGINT, written BIGINT, errors ARRAY<STRING>, batch STRING"
 
 
 def write_facts(facts: DataFrame, base: str, batch: str) -> None:
@@ -28,11 +35,19 @@ def write_dimension(rows: DataFrame, base: str, table: str, batch: str) -> None:
     rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("batch").parquet(f"{base}/{table}")
 
 
-def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, **caps) -> DataFrame:
-    """Ingests a batch and returns its statistics per payload; a failed write is reported in them, counts kept."""
+def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, log: bool = False, kinds: tuple[str, ...] = KINDS, **caps) -> DataFrame:
+    """Ingests a batch and returns its statistics per payload; a failed write is reported in them, counts kept.
+
+    With ``write`` off, payloads are parsed and counted only. With ``log`` on, the statistics are written to the ingest log.
+    """
+    return _ingested(payloads, base, batch, batch_time, write, log, kinds, **caps)[0]
+
+
+def _ingested(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, log: bool = False, kinds: tuple[str, ...] = KINDS, **caps) -> tuple[DataFrame, DataFrame]:
+    """The statistics, and the admitted payloads that they are counted from, which stay persisted."""
     now = batch_time or datetime.now(timezone.utc)
-    admitted = admit(payloads, **caps).persist()
-    levels = flatten(admitted)
+    admitted = admit(payloads, kinds=kinds, **caps).persist()
+    levels = flatten(admitted, kinds)
     failures: list[str] = []
     if write:
         jobs = [lambda: write_facts(fact_rows(levels["points"], now), base, batch)]
@@ -42,28 +57,99 @@ def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | No
                 job()
             except Exception as error:  # reported to the caller, who decides whether to play the batch again
                 failures.append(f"Write error: {type(error).__name__}")
-    stats = ingest_stats(admitted, levels, written=write and not failures)
+    stats = ingest_stats(admitted, written=write and not failures, kinds=kinds)
     if failures:
         stats = stats.withColumn("errors", F.concat("errors", F.array(*map(F.lit, failures))))
-    return stats
+    if log:
+        write_dimension(stats.withColumn("payload_id", F.col("payload_id").cast("string")), base, "_log", batch)
+    return stats, admitted
+
+
+def log_totals(spark: SparkSession, base: str) -> DataFrame:
+    """Totals over all batches in the ingest log; each batch that wrote rows was a flush."""
+    log = spark.read.schema(LOG).parquet(f"{base}/_log")
+    flushes = log.filter("written > 0").select("batch").distinct().count()
+    return ingest_totals(log, flushes)
+
+
+def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS):
+    """A query that ingests its micro-batches; with available_now it drains what is there and ends.
+
+    Without ``rows``, each micro-batch is written, one every ``seconds``. With ``rows``, payloads are looked for every
+    ``poll`` seconds and written once that many data points wait or the oldest has waited ``seconds``.
+    """
+
+    def checked(found: DataFrame, number: int) -> None:
+        failed = found.filter(F.exists("errors", lambda e: e.startswith("Write error"))).select("errors").limit(1).collect()
+        if failed:
+            raise RuntimeError(f"batch {number} was not written: {failed[0].errors}")
+
+    def each(frame: DataFrame, number: int) -> None:
+        found, admitted = _ingested(frame, base, f"{number:012d}")
+        checked(found, number)
+        admitted.unpersist()
+
+    def gathered(frame: DataFrame, number: int) -> None:
+        keep(frame, base, f"{number:012d}")
+        if due(frame.sparkSession, base, rows, seconds):
+            checked(flush(frame.sparkSession, base), number)
+
+    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each if rows is None else gathered)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds if rows is None else poll} seconds")).start()
+
+
+# --- pending payloads ---------------------------------------------------------------------------------------------
+
+_PENDING = "payload_id STRING, body BINARY, gzip BOOLEAN, since DOUBLE, batch STRING"
+
+
+def keep(payloads: DataFrame, base: str, batch: str, since: float | None = None) -> None:
+    """Puts a micro-batch's payloads aside until the next flush."""
+    rows = payloads.select(F.col("payload_id").cast("string").alias("payload_id"), "body", "gzip", F.lit(time.time() if since is None else since).alias("since"))
+    write_dimension(rows, base, "_pending", batch)
+
+
+def pending(spark: SparkSession, base: str) -> DataFrame:
+    """Payloads that wait for a flush."""
+    path = f"{base}/_pending"
+    return spark.read.schema(_PENDING).parquet(path) if exists(spark, path) else spark.createDataFrame([], _PENDING)
 
 
-def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS):
-    """A query that ingests each micro-batch; with available_now it drains what is there and ends."""
+def pending_rows(spark: SparkSession, base: str) -> DataFrame:
+    """table_name and n: rows that a flush would write to each table."""
+    levels = flatten(admit(pending(spark, base)))
+    tables = {"metric_data": levels["points"], **table_rows(levels, datetime(1970, 1, 1))}
+    counted = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, rows in tables.items()]
+    out = counted[0]
+    for part in counted[1:]:
+        out = out.unionByName(part)
+    return out
 
-    def each(rows: DataFrame, number: int) -> None:
-        found = ingest(rows, base, f"{number:012d}").filter(F.exists("errors", lambda e: e.startswith("Write error"))).select("errors").limit(1).collect()
-        rows.sparkSession.catalog.clearCache()
-        if found:
-            raise RuntimeError(f"batch {number} was not written: {found[0].errors}")
 
-    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+def due(spark: SparkSession, base: str, rows: int = FLUSH_ROWS, seconds: float = FLUSH_SECONDS, now: float | None = None) -> bool:
+    """Whether a flush is due: enough data points wait, or some and for long enough."""
+    waiting = pending(spark, base)
+    oldest = waiting.agg(F.min("since")).first()[0]
+    if oldest is None:
+        return False
+    points = ingest_stats(admit(waiting)).agg(F.coalesce(F.sum("data_points"), F.lit(0))).first()[0]
+    return points >= rows or points > 0 and (time.time() if now is None else now) - oldest >= seconds
 
 
-def pending_rows(query) -> int:
-    """Rows of the last micro-batch that a running query reports."""
-    return sum(p["numInputRows"] for p in query.recentProgress[-1:])
+def flush(spark: SparkSession, base: str, batch_time: datetime | None = None, log: bool = False) -> DataFrame:
+    """Writes all that is pending as one batch and forgets it once it is stored; returns its statistics."""
+    waiting = pending(spark, base)
+    batches = [r.batch for r in waiting.select("batch").distinct().orderBy("batch").collect()]  # one a micro-batch since the last flush
+    if not batches:
+        return ingest_stats(admit(waiting))
+    stats, admitted = _ingested(waiting.select("payload_id", "body", "gzip"), base, batches[0], batch_time, log=log)
+    out = stats.persist()
+    if out.filter(F.exists("errors", lambda e: e.startswith("Write error"))).isEmpty():
+        out.count()  # the statistics of all payloads are held before those go
+        for batch in batches:
+            delete_path(spark, f"{base}/_pending/batch={batch}")
+    admitted.unpersist()
+    return out
 
 
 def session(builder: SparkSession.Builder) -> SparkSession:
