@@ -1,15 +1,19 @@
 """HTML main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 A page is cut into leaf blocks (runs of text between block-level tags), each described by its ancestors' tags, class and id
-words and by its text (length, marks, share inside links). The field has two labels, main text and other, with weights for
-features and for neighbouring labels; it is fitted by gradient ascent on labelled pages and decoded by Viterbi.
+words and by its text (length, marks, share inside links, the words of short ones). The field has two labels, main text and
+other, with weights for features and for neighbouring labels; it is fitted by gradient ascent on labelled pages and decoded
+by Viterbi. No feature and no weight is set by hand: what a container or a word means is learned.
 
 Training pages are a bounded sample (SAMPLE, by hash of the id) of the pages themselves, labelled where their own
-structure says what is main text, plus the same pages in made-up templates (other containers and tags; menus, notices,
-adverts, forms, sidebars and comments before, inside and after the text), so that the weights don't hang on one template. Decoding is a narrow pass over whole pages.
-
-Defined results: null and empty pages, and pages without main text, give an empty text; repeated rows are extracted each;
-unclosed or truncated markup is read as far as it goes; other columns are not read.
+structure says what is main text, plus the same texts in made-up templates (other containers and tags; menus, notices,
+adverts, forms, sidebars and comments before, inside and after the text), whose labels are known as they are made, so that
+the weights don't hang on one template. Pages that say nothing of their structure give texts to made-up templates only.
+Decoding is a narrow pass over whole pages.
+
+Defined results: null and empty pages, and pages without main text, give an empty text; repeated rows are extracted each,
+and are learned from once; an id of any type, null too, is handed through; unclosed or truncated markup is read as far as
+it goes, very long pages whole; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 
 from lakeweir.llm.common import map_batches
 
-SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 300, 1 << 14, 60, 1e-4, 3
+SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 120, 1 << 15, 100, 1e-5, 5
 #: Tags that don't end a block, tags whose content is never text, and tags without content. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 RAW, HIDDEN = "script|style", "noscript template svg iframe object canvas select textarea button title".replace(" ", "|")
@@ -50,15 +54,26 @@ KINDS = (
     ("aside", "sidebar related widget recommended trending", False),
     ("footer", "footer copyright legal contentinfo", False),
 )
+#: What blocks of those kinds say, in four languages: words with which they begin or end. Fixed values.
+SAYINGS = (
+    "home|about us|contact|login|startseite|über uns|kontakt|anmelden|accueil|à propos|connexion|inicio|sobre nosotros|contacto|iniciar sesión",
+    "breaking news|search|menu|suche|menü|recherche|buscar|menú",
+    "we use cookies|accept all|cookies akzeptieren|wir verwenden cookies|nous utilisons des cookies|tout accepter|usamos cookies|aceptar todo",
+    "advertisement|sponsored|buy now|anzeige|jetzt kaufen|publicité|acheter maintenant|publicidad|comprar ahora",
+    "comments|reply|said|posted by|kommentare|antworten|schrieb|commentaires|répondre|a dit|comentarios|responder|dijo",
+    "subscribe|your email|sign up|send|abonnieren|e-mail-adresse|senden|s'abonner|votre adresse|envoyer|suscribirse|tu correo|enviar",
+    "related|read more|most read|mehr zum thema|weiterlesen|meistgelesen|à lire aussi|lire la suite|relacionado|leer más|lo más leído",
+    "copyright|© 2024|all rights reserved|privacy policy|terms of use|alle rechte vorbehalten|datenschutz|impressum|tous droits réservés|mentions légales|todos los derechos reservados|aviso legal",
+)
 #: Class words of containers of main text, and of containers of everything. Fixed values.
 TEXT_WORDS, PAGE_WORDS = "content entry post body story text article main".split(), "wrapper page container site layout".split()
-_TEXT_WORDS = frozenset(TEXT_WORDS)
 
 #: A hidden element goes with its content; a self-closed svg has none, and without an end tag only the start tag goes (but script and style reach to the end).
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|<svg(?=[\s/>])[^>]*/>|<({HIDDEN})(?=[\s/>])[^>]*>(?:.*?</\2\s*>)?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<$|<(?=[a-zA-Z/!?])[^<>]*$", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
+_SAID = re.compile(r"[^\W\d_]+|©")
 
 
 class Block:
@@ -117,24 +132,25 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
     return out
 
 
-def describe(tags: tuple, names: tuple, text: str, linked: float, place: float) -> list[str]:
-    """Names of a block's features: its ancestors' tags and class words, whether they mark other text outside or inside a main container, and its text's."""
-    out, mark = [f"t:{t}" for t in set(tags)], "none"
-    for tag, own in zip(tags, names, strict=True):
-        if tag in ("html", "body"):  # their class words speak of the page, not of the block
-            continue
-        out += [f"w:{w}" for w in own]
-        if tag in MAIN and mark == "none":
-            mark = "main"
-        elif own & _TEXT_WORDS and mark == "none":
-            mark = "text-main"
-        elif tag in OTHER or own & OTHER_WORDS:
-            mark = f"{tag if tag == 'header' else 'other'}-in-main" if mark.endswith("main") else "other"
-    out.append(f"mark:{mark}")
+def place_features(tags: tuple, names: tuple) -> list[str]:
+    """Names of the features of where a block stands: its ancestors' tags, their order and class words."""
+    out = {f"t:{t}" for t in tags}
+    inner = [(t, own) for t, own in zip(tags, names, strict=True) if t not in ("html", "body")]  # their class words speak of the page, not of the block
+    for i, (tag, own) in enumerate(inner):
+        out.update(f"w:{w}" for w in own)
+        out.update(f"in:{upper}>{tag}" for upper, _ in inner[:i])
+    out.add(f"top:{inner[0][0] if inner else ''}")
+    out.update(f"next:{w}" for w in next((own for _, own in reversed(inner) if own), ()))
+    out.add(f"own:{tags[-1] if tags else ''}")
+    return sorted(out)
+
+
+def text_features(text: str, linked: float, place: float) -> list[str]:
+    """Names of the features of a block's text, and of its place in the page (0 to 1)."""
     words = text.count(" ") + 1
-    marks = sum(map(text.count, ".,;:!?"))
-    out += [f"own:{tags[-1] if tags else ''}", f"len:{min(7, words.bit_length())}", f"marks:{min(5, marks.bit_length())}", f"link:{int(linked * 3.99)}", f"stop:{text[-1] in '.!?'}", f"place:{int(place * 3.99)}", f"lm:{min(7, words.bit_length())}:{int(linked * 1.99)}:{text[-1] in '.!?'}"]
-    return out
+    marks, size, stop = sum(map(text.count, ".,;:!?")), min(7, words.bit_length()), text[-1] in ".!?"
+    out = [f"len:{size}", f"marks:{min(5, marks.bit_length())}", f"link:{int(linked * 3.99)}", f"stop:{stop}", f"place:{int(place * 3.99)}", f"lm:{size}:{int(linked * 1.99)}:{stop}"]
+    return out if words > 16 else [*out, *(f"x:{w}" for w in sorted(set(_SAID.findall(text.lower()))))]
 
 
 def _hashed(names: list[str]) -> list[int]:
@@ -157,8 +173,12 @@ _SEEN: dict[str, int] = {}
 
 
 def page_features(blocks: list) -> list[list[int]]:
-    n = len(blocks)
-    return [_hashed(describe(*b, i / n)) for i, b in enumerate(blocks)]
+    n, places, out = len(blocks), {}, []
+    for i, (tags, names, text, linked) in enumerate(blocks):
+        if (own := places.get((tags, names))) is None:
+            own = places[tags, names] = _hashed(place_features(tags, names))
+        out.append(own + _hashed(text_features(text, linked, i / n)))
+    return out
 
 
 def structure_labels(blocks: list) -> list[int] | None:
@@ -175,7 +195,7 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
     if rng.random() < 0.4:
         top.append(("div", frozenset({rng.choice(PAGE_WORDS)})))
     holder = rng.choice(["main", "article", "div", "div", "section", "none"])
-    inside = top + [(holder, none if holder in MAIN and rng.random() < 0.7 else frozenset({rng.choice(TEXT_WORDS)}))] * (holder != "none")
+    inside = top + [(holder, none if holder in MAIN and rng.random() < 0.7 else frozenset(rng.sample(TEXT_WORDS, rng.randint(1, 2))))] * (holder != "none")
     made, marks = [], []
 
     def add(path: list, text: str, y: int, linked: float = 0.0) -> None:
@@ -184,12 +204,17 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
 
     def other(kind: int, base: list) -> None:
         tag, words, short = KINDS[kind]
-        semantic = tag and rng.random() < 0.5
-        box = (tag if semantic else rng.choice(["div", "section"]), none if semantic and rng.random() < 0.5 else frozenset(rng.sample(words.split(), rng.randint(1, 2))))
+        semantic, says = tag and rng.random() < 0.5, rng.random() < 0.5
+        # what says what it is may be unmarked
+        bare = semantic and rng.random() < 0.5 or says and rng.random() < 0.4
+        box = (tag if semantic else rng.choice(["div", "section", "p"] if bare else ["div", "section"]), none if bare else frozenset(rng.sample(words.split(), rng.randint(1, 2))))
         linked = rng.choice([0.0, 1.0]) if kind in (0, 6) else 0.0
         for _ in range(rng.randint(1, 6 if kind in (0, 4, 6) else 2)):
             text = rng.choice(pool)
             text = " ".join(text.split()[: rng.randint(1, 4)]).strip(".,") or text if short or rng.random() < 0.3 else text
+            if says:
+                said = rng.choice(SAYINGS[kind].split("|"))
+                text = rng.choice([said, f"{said} {' '.join(text.split()[:6])}", f"{' '.join(text.split()[:3])} {said}"])
             inner = rng.choice([[], ["p"], ["p"], ["div"], ["ul", "li"], ["h3"], ["div", "p"]])
             add([*base, box, *((t, none) for t in inner)], text, 0, linked)
 
@@ -206,7 +231,7 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
         if rng.random() < 0.2:
             text = rng.choice(pool)
             add([*inside, (rng.choice(["h2", "h3", "p"]), none)], " ".join(text.split()[: rng.randint(1, 5)]), 1)
-        if not first and rng.random() < 0.2:
+        if not first and rng.random() < 0.25:
             other(rng.choice([3, 5, 6]), inside)
         first = False
     for kind in (4, 3, 2, 5, 6, 7):
@@ -215,35 +240,29 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
     return made, marks
 
 
-def fit(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of features for label 1, and the 2 x 2 weights of neighbouring labels (label 0 has feature weight 0)."""
-    known = [(b, y) for b in map(leaf_blocks, pages) if b and (y := structure_labels(b)) is not None]
-    pool = [text for b, _ in known for *_, text, _ in b][:5_000]
-    rows = [x for i, own in enumerate(known) for x in (own, *(retold(*own, pool, random.Random(TEMPLATES * i + k)) for k in range(TEMPLATES if any(own[1]) else 0)))]
-    weight, near = np.zeros(BUCKETS), np.zeros((2, 2))
-    if not rows:
-        weight[_hashed(["mark:main", "mark:header-in-main"])] = 4.0
-        weight[_hashed(["mark:other", "mark:other-in-main"])] = -6.0
-        weight[_hashed(["len:5", "len:6", "len:7"])] = 1.0
-        return weight, near
-    feats = [page_features(b) for b, _ in rows]
-    size = np.array([len(f) for f in feats])
-    flat = [x for f in feats for b in f for x in b]
-    of = np.repeat(np.arange(size.sum()), [len(b) for f in feats for b in f])
-    flat_a, y = np.array(flat), np.concatenate([np.array(l) for _, l in rows])
-    page = np.repeat(np.arange(len(rows)), size)
-    within = np.arange(len(page)) - np.repeat(np.cumsum(size) - size, size)
-    longest = int(size.max())
-    mask = np.zeros((len(rows), longest), bool)
-    mask[page, within] = True
-    truth = np.zeros((2, 2))
-    both = page[1:] == page[:-1]
-    np.add.at(truth, (y[:-1][both], y[1:][both]), 1)
-    step, n = 1.0, len(rows)
-    sums_w, sums_n = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
-    for _ in range(ROUNDS):
+class Lattice:
+    """Labelled pages as arrays: the log-likelihood of their labels and its slopes."""
+
+    def __init__(self, rows: list[tuple[list, list[int]]]):
+        feats = [page_features(b) for b, _ in rows]
+        self.size = np.array([len(f) for f in feats])
+        self.flat = np.array([x for f in feats for b in f for x in b])
+        self.of = np.repeat(np.arange(self.size.sum()), [len(b) for f in feats for b in f])
+        self.y = np.concatenate([np.array(l) for _, l in rows])
+        self.page = np.repeat(np.arange(len(rows)), self.size)
+        self.within = np.arange(len(self.page)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.mask = np.zeros((len(rows), int(self.size.max())), bool)
+        self.mask[self.page, self.within] = True
+        self.truth = np.zeros((2, 2))
+        both = self.page[1:] == self.page[:-1]
+        np.add.at(self.truth, (self.y[:-1][both], self.y[1:][both]), 1)
+
+    def slopes(self, weight: np.ndarray, near: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood less the ridge, and its slopes by weight and near, from a forward and a backward pass."""
+        n, longest = self.mask.shape
         s = np.zeros((n, longest, 2))
-        s[page, within, 1] = np.bincount(of, weight[flat_a], len(page))
+        score = np.bincount(self.of, weight[self.flat], len(self.page))
+        s[self.page, self.within, 1] = score
         ahead = np.zeros((n, longest, 2))
         ahead[:, 0] = s[:, 0]
         for i in range(1, longest):
@@ -252,22 +271,42 @@ def fit(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for i in range(longest - 2, -1, -1):
             x = s[:, i + 1] + behind[:, i + 1]
             value = np.logaddexp(near[None, :, 0] + x[:, None, 0], near[None, :, 1] + x[:, None, 1])
-            behind[:, i] = np.where(mask[:, i + 1, None], value, 0)
-        last = ahead[np.arange(n), size - 1]
+            behind[:, i] = np.where(self.mask[:, i + 1, None], value, 0)
+        last = ahead[np.arange(n), self.size - 1]
         z = np.logaddexp(last[:, 0], last[:, 1])
-        chance = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None])[page, within]
+        chance = np.exp(ahead[..., 1] + behind[..., 1] - z[:, None])[self.page, self.within]
         expected = np.zeros((2, 2))
         for a in (0, 1):
             for b in (0, 1):
                 if longest > 1:
                     p = np.exp(ahead[:, :-1, a] + near[a, b] + s[:, 1:, b] + behind[:, 1:, b] - z[:, None])
-                    expected[a, b] = p[mask[:, 1:]].sum()
-        slope = np.bincount(flat_a, (y - chance)[of], BUCKETS) - RIDGE * len(page) * weight
-        slope_n = truth - expected - RIDGE * len(page) * near
+                    expected[a, b] = p[self.mask[:, 1:]].sum()
+        ridge = RIDGE * len(self.page)
+        value = float(score[self.y == 1].sum() + (self.truth * near).sum() - z.sum() - ridge / 2 * ((weight**2).sum() + (near**2).sum()))
+        return value, np.bincount(self.flat, (self.y - chance)[self.of], BUCKETS) - ridge * weight, self.truth - expected - ridge * near
+
+
+def fit(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features for label 1, and the 2 x 2 weights of neighbouring labels (label 0 has feature weight 0)."""
+    cut = [b for b in map(leaf_blocks, dict.fromkeys(pages)) if b]
+    known = [(b, y) for b in cut if (y := structure_labels(b)) is not None]
+    rng = random.Random(0)
+    pool = [text for b, _ in known for *_, text, _ in b][:5_000] or [text for b in cut for *_, text, _ in b][:5_000]
+    pool = pool or [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 60))) + "." for _ in range(200)]
+    if not any(any(y) for _, y in known):  # no page says what its text is: made-up pages alone
+        known = [([((), (), rng.choice(pool), 0.0) for _ in range(rng.randint(2, 8))], None) for _ in range(100)]
+    rows = [(b, y) for b, y in known if y is not None]
+    for i, (b, y) in enumerate(known):
+        y = [1] * len(b) if y is None else y
+        rows += [retold(b, y, pool, random.Random(TEMPLATES * i + k)) for k in range(TEMPLATES if any(y) else 0)]
+    pages_, weight, near = Lattice(rows), np.zeros(BUCKETS), np.zeros((2, 2))
+    sums_w, sums_n = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
+    for _ in range(ROUNDS):
+        _, slope, slope_n = pages_.slopes(weight, near)
         sums_w += slope**2
         sums_n += slope_n**2
-        weight += step * slope / np.sqrt(sums_w)
-        near += step * slope_n / np.sqrt(sums_n)
+        weight += slope / np.sqrt(sums_w)
+        near += slope_n / np.sqrt(sums_n)
     return weight, near
 
 
@@ -298,7 +337,8 @@ def main_text(page: str | None, weight: list[float], near: np.ndarray) -> str:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """The field from at most ``sample`` pages, in one task."""
     ids = pages.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).join(F.broadcast(ids), "_id")
+    # repeated rows of an id are one: at most sample pages reach the task that fits
+    chosen = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_html").alias("_html"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, near = fit([x or "" for batch in batches for x in batch.column("_html").to_pylist()])
