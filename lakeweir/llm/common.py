@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakeweir.sources.shared import shared_folder
 
 #: Bytes of text that one vectorised step holds at a time; a single longer text makes a longer step.
 BLOCK_BYTES = 1_000_000
 #: Rows and bytes that an Arrow batch holds at most, so that long texts stay within a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,14 +47,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names (own folder only where that is unset)."""
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names (own folder only where that is unset and all tasks run here)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """The id column as bigint; components and order are by number, so other types are refused."""
+    if not isinstance(df.schema[name].dataType, T.IntegralType):
+        raise TypeError(f"{name} must be of an integer type, not {df.schema[name].dataType.simpleString()}")
+    return df[name].cast("bigint")
+
+
 def with_ordinal(df: DataFrame, key: str, tie: str, name: str = "_ord") -> DataFrame:
     """df with an ordinal that tells rows of an equal key apart, in the order of tie.
 

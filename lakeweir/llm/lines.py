@@ -11,7 +11,8 @@ The result is one short list of lines a host. It is broadcast only if its measur
 (host, salt) against salted copies of the lists, so that a host with a third of all pages is spread.
 
 Defined results: a null text stays null with no lines; blank lines are never counted nor dropped; a null host is a host
-of its own; repeated rows are pages each; an empty table gives an empty result. Extra columns pass through untouched.
+of its own; repeated rows are pages each; a very long text is one page; an empty table gives an empty result. Extra columns,
+whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -55,25 +56,32 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _bytes(df) <= BROADCAST_BYTES else df
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with the host's boilerplate lines removed from text, plus _n_lines and _n_dropped."""
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
+    """pages with the host's boilerplate lines removed from text, plus _n_lines and _n_dropped if counts are asked for (with more underscores where pages has such columns)."""
     bad = boilerplate(pages, host, text, ratio, min_pages).withColumnsRenamed({"_host": "_bad_host", "_none": "_bad_none"})
-    own = pages.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_none": F.col(host).isNull()})
+    # the row in one column, so that no name of its own can clash with those used here
+    own = pages.select(F.struct(*(pages[c] for c in pages.columns if c != text)).alias("_row"), pages[text].alias("_text"), F.coalesce(pages[host].cast("string"), F.lit("")).alias("_host"), pages[host].isNull().alias("_none"))
     on = (F.col("_host") == F.col("_bad_host")) & (F.col("_none") == F.col("_bad_none"))
     if _bytes(bad) <= BROADCAST_BYTES:
         joined = own.join(F.broadcast(bad), on, "left")
     else:
         salted = bad.withColumn("_bad_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = own.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("_salt") == F.col("_bad_salt")), "left").drop("_salt", "_bad_salt")
-    held = F.col("_bad").isNotNull() & F.col(text).isNotNull()
-    kept = F.filter(_lines(F.col(text)), lambda x: ~F.array_contains(F.col("_bad"), x))
-    joined = joined.withColumn("_kept", F.when(held, kept))
-    count = F.coalesce(F.size(F.filter(_lines(F.col(text)), _worded)), F.lit(0))
-    return joined.withColumns({
-        "_n_lines": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"),
-        "_n_dropped": F.when(held, F.size(_lines(F.col(text))) - F.size("_kept")).otherwise(0).cast("long"),
-        text: F.when(held, F.array_join("_kept", "\n")).otherwise(F.col(text)),
-    }).drop("_host", "_none", "_bad_host", "_bad_none", "_bad", "_kept")
+        joined = own.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("_salt") == F.col("_bad_salt")), "left")
+    lines = _lines(F.col("_text"))
+    held = F.col("_bad").isNotNull() & F.col("_text").isNotNull()
+    joined = joined.withColumn("_kept", F.when(held, F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), x))))
+    out = [F.when(held, F.array_join("_kept", "\n")).otherwise(F.col("_text")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in pages.columns]
+    if counts:
+        n_lines, n_dropped = (_free(name, pages.columns) for name in ("_n_lines", "_n_dropped"))
+        out.append(F.when(F.col("_text").isNull(), 0).otherwise(F.coalesce(F.size(F.filter(lines, _worded)), F.lit(0))).cast("long").alias(n_lines))
+        out.append(F.when(held, F.size(lines) - F.size("_kept")).otherwise(0).cast("long").alias(n_dropped))
+    return joined.select(*out)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 #: The same over ``documents`` in DuckDB SQL, with the defaults.

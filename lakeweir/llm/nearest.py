@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.llm.common import checkpointed, map_batches, shuffle_partitions, with_ordinal
+from lakeweir.llm.common import checkpointed, map_batches, shuffle_partitions, whole_id, with_ordinal
 from lakeweir.llm.components import components
 
 THRESHOLD, FLOOR, LIST = 0.98, 0.90, 32
@@ -272,7 +272,7 @@ def audit(vectors: DataFrame, edges: DataFrame, counts: DataFrame, threshold: fl
 
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of embeddings."""
-    own = embeddings.select(embeddings[id_col].cast("bigint").alias("vec_id"), embeddings[vector_col].cast("array<double>").alias("v"), embeddings[label_col].cast("string").alias("label"))
+    own = embeddings.select(whole_id(embeddings, id_col).alias("vec_id"), embeddings[vector_col].cast("array<double>").alias("v"), embeddings[label_col].cast("string").alias("label"))
     rows = with_ordinal(own, "vec_id", "v").withColumn("k", F.when(F.col("_ord") == 0, F.col("vec_id")).otherwise(F.xxhash64("vec_id", "_ord")))
     rows = checkpointed(rows)  # nodes are named by numbers that only some rows' order gives
     valid = rows.filter("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL")

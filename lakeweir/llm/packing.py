@@ -10,7 +10,8 @@ One narrow pass: a task packs the documents that it reads, in bounded memory (th
 document), so a hot source needs no care. Window numbers carry the task's number; a task that is run again makes a whole
 new set of its own windows.
 
-Defined results: a null or blank text is the end id alone; repeated rows are packed each; an empty table gives no rows.
+Defined results: a null or blank text is the end id alone; repeated rows are packed each; an id of any type, null too, is
+handed through; other columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakeweir.llm.common import map_batches
 from lakeweir.llm.tokens import encode_parts, slices
@@ -87,7 +89,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     fields = [source.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in names)]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[source.schema["doc_id"].dataType.simpleString()]
+    key_type = to_arrow_type(source.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32

@@ -5,7 +5,8 @@ the text holds more than once, and judges the text by those shares. Rows are ind
 without a shuffle; a hot source or a group of copies changes nothing. Only text and the id column are read.
 
 Defined results: a null or blank text has no words and fails the base rule (fewer than 20 words); a very long text is
-measured whole; repeated rows are judged one by one; an empty table gives an empty result.
+measured whole; repeated rows are judged one by one; an id of any type, null too, is handed through; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

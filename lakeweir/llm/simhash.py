@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import SPACE, blocks, checkpointed, map_batches, mix, powers, shuffle_partitions, utf8
+from lakeweir.llm.common import SPACE, blocks, checkpointed, map_batches, mix, powers, shuffle_partitions, utf8, whole_id
 from lakeweir.llm.components import components, find
 
 SHARD_ROWS = 8_000
@@ -104,7 +104,7 @@ def similar(sketches: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int, sketches: bool) -> DataFrame:
     """doc_id, fp and, where asked for, sketch, keys and a digest of the set of shingles of every row."""
-    source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    source = docs.select(whole_id(docs, id_col).alias("doc_id"), docs[text_col].alias("text"))
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())]
     if sketches:
         fields += [T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("digest", T.BinaryType())]
@@ -248,7 +248,7 @@ def exact_links(linked: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     spark = docs.sparkSession
     linked = checkpointed(linked.select("node", "component"))
     linked = F.broadcast(linked) if linked.count() * 32 <= BROADCAST_BYTES else linked
-    source = docs.select(docs[id_col].cast("bigint").alias("node"), docs[text_col].alias("text")).join(linked, "node").select("node", "component", "text")
+    source = docs.select(whole_id(docs, id_col).alias("node"), docs[text_col].alias("text")).join(linked, "node").select("node", "component", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, checkpointed, map_batches, mix, shuffle_partitions, utf8, with_ordinal
+from lakeweir.llm.common import blocks, checkpointed, map_batches, mix, shuffle_partitions, utf8, whole_id, with_ordinal
 
 LENGTH, GRAM = 100, 24
 FLUSH_ANCHORS, FLUSH_CONTEXTS, SPLIT = 400_000, 100_000, 8
@@ -636,7 +636,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not GRAM < length < 128 + GRAM // 2:
         raise ValueError(f"length must be from {GRAM + 1} to {127 + GRAM // 2}")
     spark = docs.sparkSession
-    own = docs.select(docs[id_col].cast("bigint").alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest"))
+    own = docs.select(whole_id(docs, id_col).alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest"))
     keyed = with_ordinal(own, "_id", "text").select(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_ord").cast("int").alias("_ord"), "text", F.col("_id").isNull().alias("_none"), "rest")
     partitions = shuffle_partitions(spark)
     met = map_batches(keyed.select("doc_id", "_ord", "text"), _anchor_records(length, partitions * SPLIT), "bucket int, kind int, hashes binary, ids binary, ords binary, places binary")

@@ -3,13 +3,15 @@
 ``encode_decode`` (byte-level vocabulary) joins a long text's halves as a tree: leaves are encoded on their own, then a
 window round each join is encoded again and grows until its ids agree with both sides. ``count_tokens`` (word-end
 vocabulary) encodes overlapping chunks of a long text with offsets, splices them at a stable common boundary and widens
-the overlap where alignment fails. Both are narrow passes over whole texts, one text at a time in memory.
+the overlap where alignment fails. Both are narrow passes over whole texts, one text at a time in memory; only the leaves
+of texts above LONG_BYTES are dealt to other tasks, to be encoded in parallel.
 
 Ordinary text is cut into its pre-tokens in numpy; each block's distinct pre-tokens are looked up in a per-worker table
 of bounded size, and the tokenizers library encodes those it lacks. Text with anything less ordinary (apostrophes, special
 strings, rare characters, runs of white space) goes to the library as it is.
 
-Defined results: null is encoded as empty text (no ids); repeated rows are encoded each; extra columns are not read.
+Defined results: null is encoded as empty text (no ids); repeated rows are encoded each; an id of any type, null too, is
+handed through; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeweir.llm.common import blocks, distinct_spans, map_batches
+from lakeweir.llm.common import blocks, distinct_spans, map_batches, shuffle_partitions
 
 #: Entries of a worker's table of encoded pre-tokens; it is emptied when full, so its memory is bounded.
 TABLE_ENTRIES = 600_000
-LEAF_CHARS = 8_192
+#: Characters of a leaf, and bytes beyond which a text's leaves are encoded by many tasks.
+LEAF_CHARS, LONG_BYTES = 8_192, 1 << 16
 WINDOW_TOKENS, AGREE_TOKENS = 32, 8
 CHUNK_CHARS, OVERLAP_CHARS, CHUNKS_AT_ONCE = 16_384, 64, 64
 
@@ -211,35 +215,96 @@ def leaves(text: str, size: int, special: re.Pattern | None) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=2)
+def special_pattern(path: str) -> re.Pattern | None:
+    names = sorted((t.content for t in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, names))) if names else None
+
+
+def join_tree(level: list[list[int]], path: str) -> list[int]:
+    """The ids of a text from those of its leaves: neighbours are joined, level by level."""
+    encode = lambda text: tokenizer(path).encode(text, add_special_tokens=False).ids
+    while len(level) > 1:
+        level = [join_halves(level[i], level[i + 1], encode, byte_table(path)) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
+
+
 def encode_tree(texts: list[str], path: str, leaf_chars: int = LEAF_CHARS) -> list[list[int]]:
     """The ids of each text: the leaves of all of them in one pass, then joins level by level."""
-    loaded, table = tokenizer(path), byte_table(path)
-    names = sorted((t.content for t in loaded.get_added_tokens_decoder().values()), key=len, reverse=True)
-    special = re.compile("|".join(map(re.escape, names))) if names else None
-    parts = [leaves(x, leaf_chars, special) if len(x) > leaf_chars else [x] for x in texts]
+    parts = [leaves(x, leaf_chars, special_pattern(path)) if len(x) > leaf_chars else [x] for x in texts]
     done = iter(encoder(path).encode([x for own in parts for x in own]))
-    encode = lambda text: loaded.encode(text, add_special_tokens=False).ids
-    out = []
-    for own in parts:
-        level = [next(done).tolist() for _ in own]
-        while len(level) > 1:
-            level = [join_halves(level[i], level[i + 1], encode, table) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        out.append(level[0])
-    return out
+    return [join_tree([next(done).tolist() for _ in own], path) for own in parts]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, long_bytes: int = LONG_BYTES) -> DataFrame:
     """id, ids (array of int) and decoded (text) of every row."""
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return map_batches(source, lambda batches: _encoded(batches, vocabulary, leaf_chars, False), schema)
+    return _codec(docs, vocabulary, id_col, text_col, leaf_chars, long_bytes, False)
 
 
-def encode_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, long_bytes: int = LONG_BYTES) -> DataFrame:
     """id, n_tokens and SHA-256 digests of the ids and of the decoded text of every row."""
+    return _codec(docs, vocabulary, id_col, text_col, leaf_chars, long_bytes, True)
+
+
+def _codec(docs: DataFrame, path: str, id_col: str, text_col: str, leaf_chars: int, long_bytes: int, digest: bool) -> DataFrame:
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return map_batches(source, lambda batches: _encoded(batches, vocabulary, leaf_chars, True), schema)
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digest else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    schema = T.StructType([source.schema["doc_id"], *made])
+    is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, texts in slices(batch):
+                yield _result(keys, encode_tree(texts, path, leaf_chars), path, digest, schema.names)
+
+    # the leaves of long texts are dealt to all tasks and encoded there; a text's leaves meet again to be joined
+    rows = source.filter(is_long).select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    names = ["_row", "doc_id", "at", "part"]
+    leaf_schema = T.StructType([rows.schema["_row"], rows.schema["doc_id"], T.StructField("at", T.IntegerType()), T.StructField("part", T.StringType())])
+    coded_schema = T.StructType([*leaf_schema.fields[:3], T.StructField("part", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                parts = leaves(text, leaf_chars, special_pattern(path))
+                again = pa.array([i] * len(parts))
+                yield pa.RecordBatch.from_arrays([batch.column("_row").take(again), batch.column("doc_id").take(again), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=names)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [x.astype(np.uint32).tobytes() for x in encoder(path).encode(batch.column("part").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:3]), pa.array(ids, pa.binary())], names=names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, key, level = None, None, []
+        close = lambda: _result(key, [join_tree(level, path)], path, digest, schema.names)
+        for batch in batches:
+            for i, (found, part) in enumerate(zip(batch.column("_row").to_pylist(), batch.column("part").to_pylist(), strict=True)):
+                if found != row:
+                    if level:
+                        yield close()
+                    row, key, level = found, batch.column("doc_id").slice(i, 1), []
+                level.append(np.frombuffer(part, np.uint32).tolist())
+        if level:
+            yield close()
+
+    partitions = shuffle_partitions(docs.sparkSession)
+    coded = map_batches(map_batches(rows, cut, leaf_schema).repartition(partitions, "_row", "at"), encode, coded_schema)
+    joined = map_batches(coded.repartition(partitions, "_row").sortWithinPartitions("_row", "at"), join, schema)
+    return map_batches(source.filter(~is_long), short, schema).unionAll(joined)
+
+
+def _result(keys: pa.Array, ids: list[list[int]], path: str, digest: bool, names: list[str]) -> pa.RecordBatch:
+    if not digest:
+        return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, path) for x in ids], pa.string())], names=names)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    numbers = id_texts(path)
+    return pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join(map(numbers.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(decode(x, path).encode()) for x in ids], pa.string())], names=names)
+
+
+@lru_cache(maxsize=2)
+def id_texts(path: str) -> list[str]:
+    return list(map(str, range(len(byte_table(path)))))
 
 
 def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -253,18 +318,6 @@ def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[pa.A
     yield batch.column("doc_id").slice(start), [t or "" for t in texts[start:]]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, leaf_chars: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    names = list(map(str, range(len(byte_table(path)))))
-    for batch in batches:
-        for keys, texts in slices(batch):
-            ids = encode_tree(texts, path, leaf_chars)
-            if not digest:
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, path) for x in ids])], names=["doc_id", "ids", "decoded"])
-                continue
-            sha = lambda data: hashlib.sha256(data).hexdigest()
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(",".join(map(names.__getitem__, x)).encode()) for x in ids], pa.string()), pa.array([sha(decode(x, path).encode()) for x in ids], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 # --- overlap resynchronisation ------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ Fitting takes a bounded sample of labelled rows (SAMPLE, by hash of the id) in o
 all texts with the weights (at most FEATURES numbers) sent to the tasks. Labels, lang, source and ids are no inputs.
 
 Defined results: null is scored as empty text, by the intercept alone; without labelled rows of both classes every score
-is the share of label 1, or 0; repeated rows are scored each; several labels of an id count as their largest.
+is the share of label 1, or 0; repeated rows are scored each; several labels of an id count as their largest; very long texts
+are scored whole; other columns, whatever their names, are not read; an empty table of documents gives an empty result.
 """
 
 from __future__ import annotations

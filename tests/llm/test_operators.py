@@ -382,7 +382,9 @@ def test_embeddings_one_direction(spark):
 @pytest.mark.parametrize("leaf", [16, 8192])
 def test_codec(spark, leaf):
     texts = odd_texts()
-    got = {r.doc_id: r for r in tokens.encode_digest(table(spark, texts), BYTE, leaf_chars=leaf).collect()}
+    found = tokens.encode_digest(table(spark, texts), BYTE, leaf_chars=leaf, long_bytes=100 if leaf == 16 else tokens.LONG_BYTES).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(texts)
     library = tokens.tokenizer(BYTE)
     for i, text in enumerate(texts):
         ids = library.encode(text or "", add_special_tokens=False).ids
