@@ -61,15 +61,22 @@ def whole_id(df: DataFrame, name: str) -> Column:
     return df[name].cast("bigint")
 
 
+#: Parts in which rows without a key are numbered.
+NULL_PARTS = 256
+
+
 def with_ordinal(df: DataFrame, key: str, tie: str, name: str = "_ord") -> DataFrame:
     """df with an ordinal that tells rows of an equal key apart, in the order of tie.
 
-    Where no key repeats (the usual case, found from the key column alone) it is 0 and needs no shuffle of the rows.
+    Where no key repeats (the usual case, found from the key column alone) it is 0 and needs no shuffle of the rows. Rows
+    without a key may be many: they are numbered in NULL_PARTS parts by a hash of tie, and in its order within those.
     """
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     if repeated.isEmpty():
-        return df.withColumn(name, F.lit(0))
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(tie)) - 1)
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(tie), F.lit(NULL_PARTS))).otherwise(0)
+    number = F.row_number().over(Window.partitionBy(key, part).orderBy(tie)) - 1
+    return df.withColumn(name, F.when(F.col(key).isNull(), number.cast("bigint") * NULL_PARTS + part).otherwise(number))
 
 
 def blocks(sizes: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     a, b = links.columns[:2]
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     edges = checkpointed(map_batches(edges, _forest, "u bigint, v bigint").filter("u <> v").distinct())
-    before = None
+    before, last = None, edges
     while True:
         # large star: each larger neighbour of a node points to the smallest of its neighbourhood
         around = edges.union(edges.select("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
@@ -52,6 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
+        # equal sums say that it may be over, equal rows that it is
+        if now == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
-        before = now
+        before, last = now, edges

@@ -20,7 +20,7 @@ All suffixes of a corpus can't be in one task, so the collection is dealt first
 Files are a task's scratch, unlinked as they are made, in the folders that Spark spills to; no other task reads them.
 
 Defined results: null is empty; texts shorter than ``length`` are untouched; rows with a null id count as last; repeated
-ids are ordered by text, and an exact repeated row is a copy of the first; extra columns, whatever their names, are handed
+ids are ordered by text, those without one by a hash of it first, and an exact repeated row is a copy of the first; extra columns, whatever their names, are handed
 through in ``rest``; an empty table gives an empty result; ids are of an integer type.
 """
 
@@ -140,7 +140,7 @@ def _anchor_records(length: int, buckets: int):
                 if not len(position):
                     continue
                 row = np.searchsorted(own, position, side="right") - 1
-                held.append((h, ids[a + row], ords[a + row].astype(np.int32), _pack(position - own[row], back, near)))
+                held.append((h, ids[a + row], ords[a + row].astype(np.int64), _pack(position - own[row], back, near)))
                 n += len(h)
                 if n >= FLUSH_ANCHORS:
                     yield flush(held)
@@ -167,17 +167,17 @@ def _repeated_anchors(most: int):
             return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x[at], dtype) for x in held if x[0] == kind)])
 
         def close() -> pa.RecordBatch:
-            h, ids, ords, places = joined(0, 1, np.uint64), joined(0, 2, np.int64), joined(0, 3, np.int32), joined(0, 4, np.int64)
+            h, ids, ords, places = joined(0, 1, np.uint64), joined(0, 2, np.int64), joined(0, 3, np.int64), joined(0, 4, np.int64)
             often, times = joined(1, 1, np.uint64), joined(1, 2, np.int64)
             values, group = np.unique(np.concatenate((h, often)), return_inverse=True)
             count = np.bincount(group, np.concatenate((np.ones(len(h)), times)), len(values))
             keep, hot = count[group[: len(h)]] > 1, count > most
-            return known(np.append(ids[keep], values[hot].view(np.int64)), np.append(ords[keep], np.full(int(hot.sum()), -1, np.int32)), np.append(places[keep], count[hot].astype(np.int64)))
+            return known(np.append(ids[keep], values[hot].view(np.int64)), np.append(ords[keep], np.full(int(hot.sum()), -1, np.int64)), np.append(places[keep], count[hot].astype(np.int64)))
 
         for batch in batches:
             for b, kind, *rest in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if kind == 2:
-                    yield known(*(np.frombuffer(x, t) for x, t in zip(rest[1:], (np.int64, np.int32, np.int64), strict=True)))
+                    yield known(*(np.frombuffer(x, t) for x, t in zip(rest[1:], (np.int64,) * 3, strict=True)))
                     continue
                 if b != bucket:
                     if held:
@@ -196,7 +196,7 @@ def _repeated_anchors(most: int):
 def _contexts(length: int):
     """Documents with their repeated anchors -> distinct contexts of a task with their earliest owner."""
     names = ["hash", "context", "doc_id", "_ord", "place"]
-    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3]
 
     def flush(best: dict[bytes, tuple]) -> pa.RecordBatch:
         owners = list(best.values())
@@ -246,7 +246,7 @@ def _split(contexts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             columns = [[x[0] for x in best.values()], list(best), *([x[1][i] for x in best.values()] for i in range(4)), [True] * len(best)]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=names)
 
         for batch in batches:
             mask = batch.column("_hot")
@@ -549,7 +549,7 @@ def _judged(length: int):
         """owners: (doc_id, _ord, place, shift, hot)"""
         columns = [[o[i] for o in owners] for i in range(3)]
         columns += [[None if o[4] else x for o, x in zip(owners, late, strict=True)], [o[3] if o[4] else None for o in owners]]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=names)
 
     def judge(many: list[tuple[bytes, tuple]]) -> pa.RecordBatch:
         many.sort(key=lambda x: x[1])
@@ -637,15 +637,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be from {GRAM + 1} to {127 + GRAM // 2}")
     spark = docs.sparkSession
     own = docs.select(whole_id(docs, id_col).alias("_id"), docs[text_col].alias("text"), F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("rest"))
-    keyed = with_ordinal(own, "_id", "text").select(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_ord").cast("int").alias("_ord"), "text", F.col("_id").isNull().alias("_none"), "rest")
+    keyed = with_ordinal(own, "_id", "text").select(F.coalesce("_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.col("_ord").cast("bigint").alias("_ord"), "text", F.col("_id").isNull().alias("_none"), "rest")
     partitions = shuffle_partitions(spark)
     met = map_batches(keyed.select("doc_id", "_ord", "text"), _anchor_records(length, partitions * SPLIT), "bucket int, kind int, hashes binary, ids binary, ords binary, places binary")
-    again = map_batches(met.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _repeated_anchors(hot), "doc_id bigint, _ord int, place bigint")
+    again = map_batches(met.repartition(partitions, "bucket").sortWithinPartitions("bucket"), _repeated_anchors(hot), "doc_id bigint, _ord bigint, place bigint")
     places = checkpointed(again.groupBy("doc_id", "_ord").agg(F.collect_list("place").alias("places")))
     marked = keyed.join(places, ["doc_id", "_ord"], "left")
-    contexts = map_batches(marked, _contexts(length), "hash bigint, context binary, doc_id bigint, _ord int, place bigint")
+    contexts = map_batches(marked, _contexts(length), "hash bigint, context binary, doc_id bigint, _ord bigint, place bigint")
     dealt = _split(contexts, places.filter("_ord = -1").select(F.col("doc_id").alias("hash")), length)
-    first = map_batches(dealt.repartition(partitions, "key").sortWithinPartitions("key"), _judged(length), "doc_id bigint, _ord int, place bigint, late binary, first int")
+    first = map_batches(dealt.repartition(partitions, "key").sortWithinPartitions("key"), _judged(length), "doc_id bigint, _ord bigint, place bigint, late binary, first int")
     owned = first.groupBy("doc_id", "_ord").agg(F.collect_list(F.struct("place", "late", "first")).alias("owned"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), keyed.schema["rest"], T.StructField("kept", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans"))])
 

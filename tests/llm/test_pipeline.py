@@ -9,10 +9,12 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_operators import PAGE, corpus, groups, plain_fingerprint, plain_removal, words_of
 
 from lakeweir.llm import lines, tokens
+from lakeweir.llm.common import NULL_PARTS
 from lakeweir.llm.queries import QUERIES
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -171,12 +173,23 @@ def plain_lines(rows):
     return out
 
 
+def ordered(rows):
+    """Rows by id, those of one id by text; then those without an id, dealt to parts by a hash of the text and numbered there."""
+    by_text = lambda r: (r[1] is not None, r[1] or "")
+    parts = {}
+    for r in sorted((r for r in rows if r[0] is None), key=by_text):
+        part = 42 % NULL_PARTS if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), 42) % NULL_PARTS
+        parts.setdefault(part, []).append(r)
+    last = sorted(((k * NULL_PARTS + part, r) for part, own in parts.items() for k, r in enumerate(own)), key=lambda x: x[0])
+    return sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], *by_text(r))) + [r for _, r in last]
+
+
 def plain_copies(rows):
     def shingles(text):
         w = words_of(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
         return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = ordered(rows)
     sets = [shingles(r[1]) for r in order]
     near = lambda a, b: not (a | b) or len(a & b) / len(a | b) >= 0.8
     root = groups(len(order), lambda i, j: near(sets[i], sets[j]))
@@ -184,7 +197,7 @@ def plain_copies(rows):
 
 
 def plain_repeats(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    order = ordered(rows)
     cut = plain_removal([r[1] for r in order], 100)
     return [(i, None if t is None else bytes(np.frombuffer(data, np.uint8)[~gone]).decode("utf-8", "ignore"), s) for (i, t, s), (data, gone) in zip(order, cut, strict=True)]
 
