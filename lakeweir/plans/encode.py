@@ -36,7 +36,7 @@ def encode(events: DataFrame) -> DataFrame:
     for n, name in enumerate(KINDS):
         kind = F.when(i % 6 == n, F.concat(F.lit(f',"{name}":'), point)).otherwise(kind)
     unit = F.when(i % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(',"unit":"u'), (i % 3).cast("string"), F.lit('"')))
-    version = F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"version":"1.'), (F.col("user_id") % 3).cast("string"), F.lit('"')))
+    version = F.when((F.col("user_id") % 3 == 0) & (i % 4 == 0), F.lit(',"version":""')).when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"version":"1.'), (F.col("user_id") % 3).cast("string"), F.lit('"')))
     host = F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string"))
     entry = F.concat(F.lit('{"resource":{"attributes":['), _said("service.name", F.col("event_type")), F.lit(","), _said("host.name", host), F.lit(']},"scopeMetrics":[{"scope":{"name":"scope-'), F.col("event_type"), F.lit('"'), version, F.lit('},"metrics":[{"name":"'), F.col("event_type"), F.lit('.value"'), unit, kind, F.lit("}]}]}"))
     listed = events.select(payload.alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))

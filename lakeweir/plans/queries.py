@@ -353,7 +353,7 @@ _EVENTS = """
 WITH e AS (SELECT *, event_id // 50 AS payload_id, event_id % 50 AS r_pos, epoch_us(ts) AS ts_us,
   '{"host.name": "host-' || (user_id % 20) || '", "service.name": "' || event_type || '"}' AS _sorted,
   '{"service.name": "' || event_type || '", "host.name": "host-' || (user_id % 20) || '"}' AS resource_attributes,
-  'scope-' || event_type AS scope_name, CASE WHEN user_id % 3 <> 0 THEN '1.' || (user_id % 3) END AS scope_version,
+  'scope-' || event_type AS scope_name, CASE WHEN user_id % 3 <> 0 THEN '1.' || (user_id % 3) WHEN event_id % 4 = 0 THEN '' END AS scope_version,
   event_type || '.value' AS metric_name, CASE WHEN event_id % 7 <> 0 THEN 'u' || (event_id % 3) END AS unit,
   ['gauge', 'sum', 'histogram', 'summary', 'exponentialHistogram', 'unknown'][event_id % 6 + 1] AS metric_type,
   CASE WHEN event_id % 4 IN (0, 1) THEN value END AS value_double,
@@ -368,6 +368,7 @@ _STATS = f"""{_EVENTS}, s AS (SELECT x.payload_id, {_STATUS.replace("payload_id"
 FROM (SELECT DISTINCT payload_id FROM e) x LEFT JOIN (SELECT payload_id, count(DISTINCT resource_hash) AS r, count(DISTINCT (scope_name, coalesce(scope_version, '-'))) AS sc, count(DISTINCT (scope_name, coalesce(scope_version, '-'), metric_name)) AS d, count(*) FILTER (metric_type <> 'unknown') AS n FROM g GROUP BY 1) y ON x.payload_id = y.payload_id)
 """
 _DAY = "epoch_us(TIMESTAMP '2024-01-01') + min(payload_id % 3) * 86400000000"
+_FLUSHED = f"{_EVENTS}, f AS (SELECT *, payload_id % 3 AS b FROM g)"
 _DAYS = f"{_EVENTS}, d AS (SELECT year, month, day, count(DISTINCT hour) AS n, count(*) AS k FROM p GROUP BY ALL)"
 _CASES = """
 WITH c AS (SELECT DISTINCT event_id // 50 AS payload_id, (event_id // 50) % 20 AS k FROM events),
@@ -395,12 +396,12 @@ ORACLES: dict[str, str] = {
     "flatten_definitions": f"{_EVENTS} SELECT payload_id, CAST(r_pos AS INTEGER) AS r_pos, scope_name, scope_version, metric_name, unit, metric_type FROM g",
     "resource_dim": f"{_EVENTS} SELECT DISTINCT resource_hash, resource_attributes AS attributes FROM g",
     "scope_dim": f"{_EVENTS} SELECT DISTINCT scope_name AS name, scope_version AS version FROM g",
-    "scope_dim_flush": f"{_EVENTS} SELECT DISTINCT scope_name AS name, scope_version AS version FROM g",
+    "scope_dim_flush": f"{_EVENTS} SELECT scope_name AS name, arg_min(struct_pack(v := scope_version), event_id).v AS version FROM g GROUP BY scope_name, coalesce(scope_version, '')",
     "definition_dim": f"{_EVENTS} {_DEFINITION.format('-')}",
     "definition_dim_flush": f"{_EVENTS} {_DEFINITION.format('')}",
     "dim_snapshot": f"{_EVENTS} SELECT resource_hash, any_value(resource_attributes) AS attributes, {_DAY} AS created_us, true AS fresh FROM g GROUP BY resource_hash",
-    "scope_snapshot": f"{_EVENTS} SELECT scope_name AS name, scope_version AS version, {_DAY} AS created_us FROM g GROUP BY ALL",
-    "definition_snapshot": f"{_EVENTS} SELECT scope_name, scope_version, metric_name AS name, arg_min(struct_pack(v := unit), (payload_id % 3, event_id)).v AS unit, arg_min(metric_type, (payload_id % 3, event_id)) AS metric_type, CAST(NULL AS VARCHAR) AS description, {_DAY} AS created_us FROM g GROUP BY scope_name, scope_version, metric_name",
+    "scope_snapshot": f"{_FLUSHED} SELECT scope_name AS name, version, {_DAY} AS created_us FROM (SELECT b AS payload_id, scope_name, arg_min(struct_pack(v := scope_version), event_id).v AS version FROM f GROUP BY b, scope_name, coalesce(scope_version, '')) GROUP BY scope_name, version",
+    "definition_snapshot": f"{_FLUSHED}, r AS (SELECT b AS payload_id, scope_name, metric_name, arg_min(struct_pack(v := scope_version, u := unit, t := metric_type), event_id) AS x FROM f GROUP BY b, scope_name, coalesce(scope_version, ''), metric_name) SELECT scope_name, x.v AS scope_version, metric_name AS name, arg_min(x, payload_id).u AS unit, arg_min(x, payload_id).t AS metric_type, CAST(NULL AS VARCHAR) AS description, {_DAY} AS created_us FROM r GROUP BY scope_name, x.v, metric_name",
     "stored_rows": f"{_EVENTS}, t AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + (payload_id % 3) * 86400000000 AS created_us FROM g) SELECT 'resources' AS table_name, created_us, count(DISTINCT resource_hash) AS n FROM t GROUP BY ALL UNION ALL SELECT 'scopes', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM t GROUP BY ALL UNION ALL SELECT 'metric_definitions', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM t GROUP BY ALL",
     "admission_cases": f"{_CASES} SELECT payload_id, CAST(status AS INTEGER) AS status, error FROM r",
     "admission_parser_cases": f"{_CASES} SELECT payload_id, CAST(CASE WHEN k IN (9, 10, 16) THEN 500 ELSE status END AS INTEGER) AS status, CASE WHEN k = 10 THEN 'Parse error: payload cannot be empty' WHEN k IN (9, 16) THEN 'Parse error: missing resourceMetrics' ELSE error END AS error, CAST(CASE WHEN status = 200 THEN 1 ELSE 0 END AS BIGINT) AS data_points FROM r",
