@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: A metric's kinds, in the order in which they are looked for. Fixed values.
 KINDS = ("gauge", "sum", "histogram", "summary", "exponentialHistogram")
 
 
