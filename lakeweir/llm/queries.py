@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweir.llm import html, lines, nearest, packing, quality, simhash, suffix, tokens, toxicity
+from lakeweir.llm import html, lines, mixing, nearest, packing, quality, search, simhash, suffix, tokens, toxicity
 from lakeweir.llm.common import read
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -61,6 +61,15 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.with_copies(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules,
     "op2_line_dedup": line_dedup,
@@ -72,9 +81,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_scores,
     "op9_html_text": html_text,
     "op10_packing": packed,
+    "op11_ranked_search": ranked_search,
+    "op13_source_mix": mixed_sources,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.LINES_SQL.format(host="source", table="documents", text="text")
     + "SELECT p.doc_id, CASE WHEN p.text IS NULL THEN NULL ELSE t._kept END AS text, coalesce(t._n_lines, 0) AS n_lines, coalesce(t._n_dropped, 0) AS n_dropped FROM pages p LEFT JOIN text_of t ON p._r = t._r",
+    "op11_ranked_search": search.SEARCH_SQL,
+    "op13_source_mix": mixing.MIX_SQL,
 }
