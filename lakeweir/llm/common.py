@@ -24,10 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow over batches of bounded size; a task gives its free memory back when it ends, as workers are reused."""
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches to Python are of bounded size from here on."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", most)
+    return df
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow over batches of bounded size; a task gives its free memory back when it ends, as workers are reused."""
+    bounded_batches(df)
 
     @functools.wraps(run)
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,11 +51,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def _numbered(rows: DataFrame) -> DataFrame:
     """rows with _nth, the number of each among the rows of its _key: 0 where no id repeats, which the ids alone show.
 
-    Equal rows can stand for each other, so they are numbered within salts first and then behind the smaller salts.
+    Equal rows can stand for each other, so they are numbered within salts first and then behind the smaller salts. Salts go
+    by place, which may differ from one reading to the next, so rows are checkpointed with them.
     """
     if rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
         return rows.withColumn("_nth", F.lit(0).cast("long"))
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = checkpointed(rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
     held = salted.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_held"))
     first = held.select("_key", "_salt", F.coalesce(F.sum("_held").over(Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
     within = salted.withColumn("_at", F.row_number().over(Window.partitionBy("_key", "_salt").orderBy(F.lit(0))) - 1)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweir.llm import html, lines, mixing, nearest, packing, quality, search, simhash, suffix, tokens, toxicity
+from lakeweir.llm import html, lines, mixing, nearest, packing, quality, repair, search, simhash, suffix, tokens, toxicity
 from lakeweir.llm.common import read
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(rows := repair.damage(read(spark, sf_dir, "conversations")), gone=rows["_gone"])
+
+
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.with_copies(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text,
     "op10_packing": packed,
     "op11_ranked_search": ranked_search,
+    "op12_conversation_repair": repaired_conversations,
     "op13_source_mix": mixed_sources,
 }
 

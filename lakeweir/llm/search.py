@@ -55,8 +55,8 @@ def term_counts(text: bytes) -> Counter:
     return found
 
 
-def _indexer(vocabulary: dict[bytes, int]):
-    """Arrow batches of (id, text) to segments."""
+def _indexer(vocabulary: dict[bytes, int], most: int):
+    """Arrow batches of (id, text) to segments of at most so many documents."""
 
     def segment(ids: list, lengths: list, sizes: list, terms: list, tfs: list) -> pa.RecordBatch:
         at, term, tf = np.repeat(np.arange(len(ids)), sizes), np.array(terms, np.int32), np.array(tfs, np.int32)
@@ -80,7 +80,7 @@ def _indexer(vocabulary: dict[bytes, int]):
                     values.append(value)
                 held[3].extend(vocabulary[t] for t in mine)
                 held[4].extend(counts[t] for t in mine)
-                if len(held[0]) >= SEGMENT or len(held[3]) >= HITS:
+                if len(held[0]) >= most or len(held[3]) >= HITS:
                     yield segment(*held)
                     held = ([], [], [], [], [])
         if held[0]:
@@ -186,12 +186,12 @@ def _searcher(queries: list[tuple[int, np.ndarray, np.ndarray]], n_docs: int, n_
     return run
 
 
-def _block(docs: DataFrame, items: list, item_type: str, id_col: str, k: int) -> DataFrame:
+def _block(docs: DataFrame, items: list, item_type: str, k: int, most: int) -> DataFrame:
     """Ranks for a bounded block of items: (item, text) rows that the driver holds."""
     spark = docs.sparkSession
     counts = [term_counts((text or "").encode()) for _, text in items]
     vocabulary = {t: i for i, t in enumerate(sorted(set().union(*counts)))}
-    segments = checkpointed(map_batches(docs, _indexer(vocabulary), _SEGMENT))
+    segments = checkpointed(map_batches(docs, _indexer(vocabulary, most), _SEGMENT))
     n_docs, n_terms = segments.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     held = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("_x")).groupBy("_x.terms").agg(F.sum("_x.dfs").alias("df")).collect()  # one row a term of the block
     weight = {r.terms: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * r.df + 1))) for r in held}
@@ -210,7 +210,7 @@ def _block(docs: DataFrame, items: list, item_type: str, id_col: str, k: int) ->
     return last.join(F.broadcast(names), "key").select("item", F.col("rank").cast("int").alias("rank"), "doc", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = BEST) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = BEST, segment: int = SEGMENT) -> DataFrame:
     """item_id, rank (from 1), doc_id and score of the k best documents of each item with a score above 0."""
     own = docs.select(whole_id(docs, id_col).alias("_id"), docs[text].alias("_text"))
     asked = items.select(items[item_id].alias("_item"), items[item_text].alias("_text"))
@@ -221,7 +221,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
     out = None
     for part in range(parts):
         rows = [(r._item, r._text) for r in asked.filter(block == part).collect()]  # ITEM_BYTES or so, whatever the number of items
-        found = _block(own, rows, kind, id_col, k)
+        found = _block(own, rows, kind, k, segment)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("item").alias(item_id), "rank", F.col("doc").alias(id_col), "score")
 
