@@ -7,7 +7,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: An attribute value's tags, in the order in which they are looked for: scalars, then those that hold values. Fixed values.
 SCALAR_TAGS, LIST_TAG, MAP_TAG = ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue"), "arrayValue", "kvlistValue"
@@ -74,73 +74,54 @@ def _both_texts(attributes: pa.Array) -> pa.Array:
     return pa.array([None if x is None else {"stored": x[0], "hashed": x[1]} for x in held], pa.struct([("stored", pa.string()), ("hashed", pa.string())]))
 
 
-def _any_malformed(values: pa.Array) -> pa.Array:
-    def bad(text: str | None) -> bool:
-        try:
-            _read(text)
-        except Malformed:
-            return True
-        return False
-
-    return pa.array([None if x is None else any(map(bad, x)) for x in values.to_pylist()], pa.bool_())
+def malformed(text: str | None) -> bool:
+    """Whether an attribute's raw text is a value that the format does not allow."""
+    try:
+        _read(text)
+    except Malformed:
+        return True
+    return False
 
 
 _texts = F.arrow_udf(_both_texts, StructType([StructField("stored", StringType()), StructField("hashed", StringType())]))
-any_malformed = F.arrow_udf(_any_malformed, BooleanType())
 
 _LIST = "array<struct<key:string,value:string>>"
 
 
-def nested_values(attributes: Column) -> Column:
-    """Raw texts of an attribute list's values that are no plain scalar, so that they may be malformed."""
-    plain = lambda v: F.coalesce(F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[0]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[1]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[2]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[3]}"')) | F.startswith(v, F.lit(f'{{"{SCALAR_TAGS[4]}"')), F.lit(True))
-    named = F.filter(F.coalesce(attributes, F.array().cast(_LIST)), lambda e: (F.coalesce(e["key"], F.lit("")) != "") & ~plain(e["value"]))
-    return F.transform(named, lambda e: e["value"])
+def nested_values(attributes: str) -> str:
+    """SQL for the raw texts of an attribute list's values that are no plain scalar, so that they may be malformed."""
+    plain = " OR ".join(f"startswith(e.value, '{{\"{tag}\"')" for tag in SCALAR_TAGS)
+    return f"transform(filter(coalesce({attributes}, array()), e -> coalesce(e.key, '') <> '' AND NOT coalesce({plain}, true)), e -> e.value)"
 
 
 #: A plain ASCII string or an integer, whose JSON text needs no Python, and a key that needs no escape.
 _PLAIN, _KEY = r'^\{"(?:stringValue":"[ !#-\[\]-~]*"|intValue":(?:"-?[0-9]{1,18}"|-?[0-9]{1,18}))\}$', r"^[ !#-\[\]-~]*$"
 
 
-def _simple(entry: Column) -> Column:
-    return entry["key"].rlike(_KEY) & entry["value"].rlike(_PLAIN)
-
-
-def _pairs(attributes: Column) -> Column:
-    named = F.filter(attributes, lambda e: F.coalesce(e["key"], F.lit("")) != "")
-    value = lambda e: F.substr(e["value"], F.instr(e["value"], ":") + 1, F.length(e["value"]) - F.instr(e["value"], ":") - 1)
-    return F.map_from_entries(F.transform(named, lambda e: F.struct(e["key"].alias("key"), value(e).alias("value"))))
-
-
-def _json(entries: Column) -> Column:
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}"))
-
-
-def attribute_texts(attributes: Column) -> Column:
-    """stored and hashed: JSON text of an attribute list, in its order and with keys sorted; null if a value is malformed.
+def attribute_texts(attributes: str) -> Column:
+    """stored and hashed: JSON text of an attribute list (named by SQL), in its order and with keys sorted; null if a value is malformed.
 
     The last value of a key wins at the first one's place. Lists of plain strings and integers stay in the JVM; others go
     through Arrow. Needs spark.sql.mapKeyDedupPolicy=LAST_WIN.
     """
-    listed = F.coalesce(attributes, F.array().cast(_LIST))
-    plain = F.forall(listed, lambda e: F.coalesce(_simple(e), F.lit(False)))
-    entries = F.map_entries(_pairs(F.when(plain, listed)))
-    odd = _texts(F.when(~plain, listed))
-    return F.struct(F.coalesce(_json(entries), odd["stored"]).alias("stored"), F.coalesce(_json(F.array_sort(entries)), odd["hashed"]).alias("hashed"))
-
-
-def attributes_text(attributes: Column, ordered: bool = False) -> Column:
-    return attribute_texts(attributes)["hashed" if ordered else "stored"]
+    listed = f"coalesce({attributes}, array())"
+    plain = f"forall({listed}, e -> coalesce(e.key RLIKE r'{_KEY}' AND e.value RLIKE r'{_PLAIN}', false))"
+    value = "substr(e.value, instr(e.value, ':') + 1, length(e.value) - instr(e.value, ':') - 1)"
+    pairs = f"map_from_entries(transform(filter({listed}, e -> coalesce(e.key, '') <> ''), e -> struct(e.key AS key, {value} AS value)))"
+    entries = f"map_entries(CASE WHEN {plain} THEN {pairs} END)"
+    text = lambda of: F.expr(f"concat('{{', array_join(transform({of}, e -> concat('\"', e.key, '\": ', e.value)), ', '), '}}')")
+    odd = _texts(F.expr(f"CASE WHEN NOT {plain} THEN {listed} END").cast(_LIST))
+    return F.struct(F.coalesce(text(entries), odd["stored"]).alias("stored"), F.coalesce(text(f"array_sort({entries})"), odd["hashed"]).alias("hashed"))
 
 
-def resource_hash(attributes: Column) -> Column:
-    return F.sha2(attributes_text(attributes, ordered=True), 256)
+def resource_hash(attributes: str) -> Column:
+    return F.sha2(attribute_texts(attributes)["hashed"], 256)
 
 
-def point_attributes(attributes: Column) -> Column:
+def point_attributes(attributes: str) -> Column:
     """Attribute text of a point; null when it has none."""
-    text = attributes_text(attributes)
-    return F.when(attributes.isNotNull() & (text != "{}"), text)
+    text = attribute_texts(attributes)["stored"]
+    return F.when(F.expr(attributes).isNotNull() & (text != "{}"), text)
 
 
 def nanos_to_timestamp(nanos: Column) -> Column:

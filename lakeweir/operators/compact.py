@@ -1,5 +1,9 @@
-"""Compaction: the files of a day into few verified ones. The manifest row is the commit; before it only the sources are
-read, after it only the target, so a job that dies half-way loses and doubles nothing. Sources are deleted last."""
+"""Compaction: the files of a day into few verified ones, in the order of time.
+
+The commit that names the targets and their sources is the point at which scans change over. It is refused if another commit
+has replaced one of the sources meanwhile, and then the targets are deleted: of two compactions of a day one stands. Rows keep
+the token of their batch, so a batch that is played again later replaces them too. Sources are deleted last.
+"""
 
 from __future__ import annotations
 
@@ -11,48 +15,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweir.schemas import EXTRA, TABLES
-from lakeweir.sources.lake import delete_path, exists, file_name, manifest, partition_inventory
+from lakeweir.sources import commits
+from lakeweir.sources.commits import delete_path, exists
+from lakeweir.sources.lake import dated_files, file_name, without_replaced
 
 THRESHOLD, FILE_BYTES, DAYS_AT_ONCE = 10, 512 << 20, 4
+#: Bytes of a row group: a scan of an hour reads the groups that hold it, out of those of the day.
+GROUP_BYTES = 8 << 20
 RESULT = "year STRING, month STRING, day STRING, status STRING, files_before BIGINT, files_after BIGINT, rows BIGINT"
 
 
-def live_inventory(spark: SparkSession, base: str) -> DataFrame:
-    """The inventory of hour files and standing compacted days, without replaced files."""
-    done = manifest(spark, base)
+def live_inventory(spark: SparkSession, base: str, log: DataFrame | None = None) -> DataFrame:
+    """file_count, bytes and files of each day: hour files of committed batches and standing compacted files."""
+    log = commits.entries(spark, base) if log is None else log
     found = None
-    for folder, daily in (("metric_data", False), ("metric_data_daily", True)):
+    for folder in ("metric_data", "metric_data_daily"):
         if not exists(spark, f"{base}/{folder}"):
             continue
-        own = partition_inventory(spark, f"{base}/{folder}").select("year", "month", "day", F.explode("files").alias("file"), (F.col("bytes") / F.col("file_count")).alias("bytes"))
-        own = own.join(done.select(F.col("source").alias("file")).distinct(), "file", "left_anti")
-        if daily:
-            own = own.join(done.select(F.col("target").alias("file")).distinct(), "file", "left_semi")
+        own = dated_files(spark, f"{base}/{folder}").select("year", "month", "day", "path", "length")
+        if folder == "metric_data":
+            tokens = commits.live(log).select(F.col("token").alias("_token"), F.lit(True).alias("_live"))
+            own = own.join(commits.sources(log), "path", "left_anti").withColumn("_batch", F.regexp_extract("path", r"/batch=([^/]*)/", 1))
+            own = own.join(tokens, F.col("_batch") == F.col("_token"), "left").filter(F.col("_live") | ~F.contains("_batch", F.lit(commits.MARK)))
+        else:
+            own = own.join(commits.targets(log), "path", "left_semi")
+        own = own.select("year", "month", "day", "path", "length")
         found = own if found is None else found.unionByName(own)
     if found is None:
-        return spark.createDataFrame([], "year STRING, month STRING, day STRING, file_count BIGINT, bytes DOUBLE, files ARRAY<STRING>")
-    return found.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("file_count"), F.sum("bytes").alias("bytes"), F.sort_array(F.collect_list("file")).alias("files"))
+        return spark.createDataFrame([], "year STRING, month STRING, day STRING, file_count BIGINT, bytes BIGINT, files ARRAY<STRING>")
+    return found.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("file_count"), F.sum("length").alias("bytes"), F.sort_array(F.collect_list("path")).alias("files"))
 
 
 def candidates(spark: SparkSession, base: str, threshold: int = THRESHOLD) -> DataFrame:
     return live_inventory(spark, base).filter(F.col("file_count") >= threshold).orderBy("year", "month", "day")
 
 
-def _read_files(spark: SparkSession, base: str, files: list[str]) -> DataFrame:
+def _read_files(spark: SparkSession, base: str, files: list[str], log: DataFrame) -> DataFrame:
     schema = ", ".join((TABLES["metric_data"], EXTRA["metric_data"]))
+    columns = [c.split()[0] for c in schema.split(", ")]
     parts = []
     for folder in ("metric_data", "metric_data_daily"):
         own = [f for f in files if f"/{folder}/" in f]
         if own:
-            parts.append(spark.read.schema(schema).option("basePath", f"{base}/{folder}").parquet(*own).drop("batch"))
+            rows = spark.read.schema(schema).option("basePath", f"{base}/{folder}").parquet(*own)
+            rows = without_replaced(rows, log) if folder == "metric_data_daily" else rows
+            parts.append(rows.select(columns))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count) -> tuple:
-    """One day: write, verify the counts (count: of what was written), commit, delete. A day that can't be read is skipped."""
+def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count, version: int | None = None, before_commit: Callable[[], object] | None = None) -> tuple:
+    """One day: write, verify the counts (count: of what was written), commit, delete. A day that can't be read is skipped.
+
+    ``version`` is the log's when the day was listed; ``before_commit`` is called once the targets are written and verified.
+    """
     key, files = (day.year, day.month, day.day), list(day.files)
+    version = commits.latest(spark, base) if version is None else version
     try:
-        rows = _read_files(spark, base, files)
+        rows = _read_files(spark, base, files, commits.entries(spark, base))
         before = rows.count()
     except Exception:
         return (*key, "unreadable", len(files), len(files), None)
@@ -61,33 +80,37 @@ def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, dele
     folder = f"{base}/metric_data_daily/year={day.year}/month={day.month}/day={day.day}/part={uuid.uuid4().hex}"
     n = max(1, -(-int(day.bytes or 0) // FILE_BYTES))
     packed = rows.drop("year", "month", "day")
-    (packed.coalesce(1) if n == 1 else packed.repartition(n)).write.option("compression", "zstd").parquet(folder)
+    packed = packed.coalesce(1) if n == 1 else packed.repartitionByRange(n, "timestamp")
+    packed.sortWithinPartitions("timestamp").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(folder)
     made = spark.read.parquet(folder)
     if count(made) != before:
         delete_path(spark, folder)
         return (*key, "count mismatch", len(files), len(files), before)
     targets = [r.f for r in made.select(file_name().alias("f")).distinct().collect()]
-    # targets without rows of their own sources are listed against the first one
-    pairs = [(targets[0], f) for f in files] + [(t, None) for t in targets[1:]] if targets else [(None, f) for f in files]
-    spark.createDataFrame(pairs, "target STRING, source STRING").coalesce(1).write.parquet(f"{base}/_manifest/{uuid.uuid4().hex}")  # a folder each: days commit at once
+    own = spark.createDataFrame([(f,) for f in files], "path STRING")
+    clashes = lambda newer: not newer.filter("kind = 'source'").join(own, "path", "left_semi").isEmpty()
+    if before_commit is not None:
+        before_commit()
+    rows_of = [{"kind": "target", "path": t} for t in targets] + [{"kind": "source", "path": f} for f in files]
+    if commits.commit(spark, base, rows_of, clashes, version) is None:
+        delete_path(spark, folder)
+        return (*key, "conflict", len(files), len(files), before)
     if delete:
         for file in files:
             delete_path(spark, file)
     return (*key, "compacted", len(files), len(targets), before)
 
 
-def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count) -> DataFrame:
+def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count, before_commit: Callable[[], object] | None = None) -> DataFrame:
     """Compacts each day with enough files, a few days at once, as they are independent; one result row per day found."""
-    found = candidates(spark, base, threshold).collect()  # one row a day
+    version = commits.latest(spark, base)
+    listed = live_inventory(spark, base).withColumn("files", F.when(F.col("file_count") >= threshold, F.col("files")))
+    days = listed.orderBy("year", "month", "day").collect()  # one row a day; paths of the days to compact only
+    found = [d for d in days if d.file_count >= threshold]
     with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
-        results = list(pool.map(lambda day: compact_day(spark, base, day, dry_run, delete, count), found))
-    skipped = live_inventory(spark, base).filter(F.col("file_count") < threshold).select("year", "month", "day", F.lit("skipped").alias("status"), F.col("file_count").alias("files_before"), F.col("file_count").alias("files_after"), F.lit(None).cast("bigint").alias("rows"))
-    days = [r[:3] for r in results]
-    made = spark.createDataFrame(results, RESULT)
-    if not days:
-        return skipped
-    known = spark.createDataFrame(days, "year STRING, month STRING, day STRING")
-    return made.unionByName(skipped.join(F.broadcast(known), ["year", "month", "day"], "left_anti"))
+        results = list(pool.map(lambda day: compact_day(spark, base, day, dry_run, delete, count, version, before_commit), found))
+    results += [(d.year, d.month, d.day, "skipped", d.file_count, d.file_count, None) for d in days if d.file_count < threshold]
+    return spark.createDataFrame(results, RESULT)
 
 
 def summary(results: DataFrame) -> DataFrame:

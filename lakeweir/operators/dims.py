@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,7 @@ def table_rows(levels: dict[str, DataFrame], batch_time) -> dict[str, DataFrame]
 
 
 def dim_snapshot(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The earliest row of each key over all flushes."""
-    order = Window.partitionBy(*keys).orderBy("created_at", *(c for c in rows.columns if c not in keys and c != "created_at"))
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    """The earliest row of each key over all flushes; minima combine on the map side, so a key in every flush is no hot one."""
+    others = [c for c in rows.columns if c not in keys and c != "created_at"]
+    picked = F.min_by(F.struct(*rows.columns), F.struct("created_at", *others)).alias("_first")
+    return rows.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg(picked).select("_first.*")

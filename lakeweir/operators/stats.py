@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweir.functions.columns import resource_hash
-from lakeweir.operators.admit import points_of
+from lakeweir.operators.admit import points_sql
 from lakeweir.schemas import KINDS
 
 
+def _points(scopes: str, kinds: tuple[str, ...]) -> str:
+    """SQL for the number of points in a list of scopes."""
+    total = lambda array, x, of: f"coalesce(aggregate({array}, 0L, (n, {x}) -> n + {of}), 0L)"
+    return total(scopes, "s", total("s.metrics", "m", f"coalesce(CAST(size({points_sql('m', kinds)}) AS bigint), 0L)"))
+
+
+def points_in(payload: str, kinds: tuple[str, ...] = KINDS) -> Column:
+    """Number of points of an admitted payload; 0 where there is none."""
+    return F.expr(f"coalesce(aggregate({payload}.resourceMetrics, 0L, (k, r) -> k + {_points('r.scopeMetrics', kinds)}), 0L)")
+
+
 def ingest_stats(admitted: DataFrame, written: bool = True, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Per payload: distinct resources, scopes and definitions, points, rows written, and its errors.
 
@@ -17,16 +28,14 @@ def ingest_stats(admitted: DataFrame, written: bool = True, kinds: tuple[str, ..
     payload's rows are in one task.
     """
     rows = admitted.select("payload_id", "status", "error", F.explode_outer("payload.resourceMetrics").alias("_r"))
-    scope = lambda s: F.struct(F.coalesce(s["scope"]["name"], F.lit("unknown")).alias("name"), s["scope"]["version"].alias("version"))
-    listed = F.filter(F.col("_r.scopeMetrics"), lambda s: s.isNotNull())
-    definitions = F.flatten(F.transform(F.filter(listed, lambda s: s["metrics"].isNotNull()), lambda s: F.transform(s["metrics"], lambda m: F.struct(scope(s).alias("scope"), F.coalesce(m["name"], F.lit("unknown")).alias("name")))))
-    points = F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, s: n + F.coalesce(F.aggregate(s["metrics"], F.lit(0).cast("bigint"), lambda k, m: k + F.coalesce(F.size(points_of(m, kinds)), F.lit(0))), F.lit(0)))
+    name, listed = "coalesce(s.scope.name, 'unknown')", "filter(_r.scopeMetrics, s -> s IS NOT NULL)"
+    definitions = f"flatten(transform(filter({listed}, s -> s.metrics IS NOT NULL), s -> transform(s.metrics, m -> struct({name} AS scope, s.scope.version AS version, coalesce(m.name, 'unknown') AS name))))"
     found = rows.select(
         "payload_id", "status", "error",
-        F.when(F.col("_r").isNotNull(), resource_hash(F.col("_r.resource.attributes"))).alias("hash"),
-        F.transform(listed, scope).alias("scopes"),
-        definitions.alias("definitions"),
-        points.alias("points"),
+        F.when(F.col("_r").isNotNull(), resource_hash("_r.resource.attributes")).alias("hash"),
+        F.expr(f"array_distinct(transform({listed}, s -> struct({name} AS name, s.scope.version AS version)))").alias("scopes"),
+        F.expr(f"array_distinct({definitions})").alias("definitions"),
+        F.expr(_points(listed, kinds)).alias("points"),
     )
     distinct = lambda c: F.coalesce(F.size(F.array_distinct(F.flatten(F.collect_list(c)))), F.lit(0)).cast("long")
     out = found.groupBy("payload_id").agg(

@@ -13,7 +13,12 @@ def payload_schema(kinds: tuple[str, ...] = KINDS) -> str:
     own = ", ".join(f"{k}: {points}" for k in kinds)
     metric = f"STRUCT<name: STRING, unit: STRING, description: STRING, {own}>"
     scope = f"STRUCT<scope: STRUCT<name: STRING, version: STRING>, metrics: ARRAY<{metric}>>"
-    return f"resourceMetrics ARRAY<STRUCT<resource: STRUCT<{attributes}>, scopeMetrics: ARRAY<{scope}>>>, _corrupt_record STRING"
+    return f"resourceMetrics ARRAY<STRUCT<resource: STRUCT<{attributes}>, scopeMetrics: ARRAY<{scope}>>>"
+
+
+def marked_schema(kinds: tuple[str, ...] = KINDS) -> str:
+    """DDL of a list of a payload and the mark behind it."""
+    return f"_d ARRAY<STRUCT<{payload_schema(kinds).replace('resourceMetrics ', 'resourceMetrics: ')}, _end: STRING>>, _corrupt_record STRING"
 
 
 METRIC_DATA = "resource_hash STRING, scope_name STRING, metric_name STRING, timestamp TIMESTAMP, value_double DOUBLE, value_int BIGINT, attributes STRING, ingested_at TIMESTAMP, year STRING, month STRING, day STRING, hour STRING"

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeweir.operators.admit import BODY_CAP
+
 _FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def _payloads(files: DataFrame) -> DataFrame:
-    return files.select(F.col("path").alias("payload_id"), F.col("content").alias("body"), F.col("path").endswith(".gz").alias("gzip"))
+def _payloads(files: DataFrame, large: DataFrame, body_cap: int) -> DataFrame:
+    """Bodies of files up to the cap, and the others without: Spark can't read one above 2 GB, nor needs to read any above the cap."""
+    columns = lambda body: (F.col("path").alias("payload_id"), body.alias("body"), F.col("path").endswith(".gz").alias("gzip"), "length")
+    read = files.filter(F.col("length") <= body_cap).select(*columns(F.col("content")))
+    listed = large.filter(F.col("length") > body_cap).select(*columns(F.lit(None).cast("binary")))
+    return read.unionByName(listed)
 
 
-def read_payloads(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
-    """payload_id, body (bytes as stored) and gzip of each file; sizes are capped later, in admission."""
-    return _payloads(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+def read_payloads(spark: SparkSession, path: str, glob: str = "*.json*", body_cap: int = BODY_CAP) -> DataFrame:
+    """payload_id, body (bytes as stored), gzip and length of each file; a body above the cap is null, and never read."""
+    files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    return _payloads(files(), files(), body_cap)
 
 
-def stream_payloads(spark: SparkSession, path: str, glob: str = "*.json*", max_files: int | None = None) -> DataFrame:
+def stream_payloads(spark: SparkSession, path: str, glob: str = "*.json*", max_files: int | None = None, body_cap: int = BODY_CAP) -> DataFrame:
     """The same as a stream of files as they arrive."""
-    reader = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob)
-    return _payloads((reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path))
+
+    def files() -> DataFrame:
+        reader = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob)
+        return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
+
+    return _payloads(files(), files(), body_cap)

@@ -1,10 +1,12 @@
 """Ingest jobs: one batch of payloads, or a stream of them, to the four tables and the ingest log.
 
-A batch writes its facts under a folder of its own (batch=<id>) with dynamic partition overwrite, so a batch that is
-played again replaces itself instead of adding rows. There is no watermark: late points go to their own hour.
+A batch writes its rows to the four tables under a token of its own, and then commits the token: before that no scan sees a
+row of it in any table, and a batch that is played again replaces itself, compacted or not. There is no watermark: late points
+go to their own hour.
 
-A stream with a row threshold keeps the payloads of its micro-batches in ``_pending`` until enough rows wait or enough
-time has passed; a flush is named after the oldest micro-batch in it, so a flush that is played again replaces itself too.
+A stream with a row threshold keeps the payloads of its micro-batches in ``_pending`` until enough rows wait or enough time has
+passed. They are kept with their number of points, so whether a flush is due is seen without their bodies. The commit of a
+flush also says up to which micro-batch of the stream it goes, so payloads are pending or committed, never both.
 """
 
 from __future__ import annotations
@@ -12,107 +14,111 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweir.operators.admit import admit
 from lakeweir.operators.dims import table_rows
 from lakeweir.operators.flatten import fact_rows, flatten
-from lakeweir.operators.stats import ingest_stats, ingest_totals
+from lakeweir.operators.stats import ingest_stats, ingest_totals, points_in
 from lakeweir.schemas import KINDS
-from lakeweir.sources.lake import delete_path, exists
+from lakeweir.sources import commits
+from lakeweir.sources.commits import delete_path, exists, new_token
+from lakeweir.sources.shared import new_folder
 
 FLUSH_SECONDS, FLUSH_ROWS, POLL_SECONDS = 600, 50_000, 10
 LOG = "payload_id STRING, status INT, resources BIGINT, scopes BIGINT, metric_definitions BIGINT, data_points BIGINT, written BIGINT, errors ARRAY<STRING>, batch STRING"
+#: Why a batch was written: its time had come, enough rows waited, or the stream ended.
+TIMER, ROWS, DRAIN = "timer", "rows", "drain"
 
 
 def write_facts(facts: DataFrame, base: str, batch: str) -> None:
-    (facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")  # one file an hour, more where an hour is large
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data"))
+    """Adds facts under batch=<batch> folders; one file an hour, more where an hour is large."""
+    (facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")
+     .write.mode("append").option("compression", "snappy").partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data"))
 
 
 def write_dimension(rows: DataFrame, base: str, table: str, batch: str) -> None:
-    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy("batch").parquet(f"{base}/{table}")
+    """Adds rows under a batch=<batch> folder."""
+    rows.withColumn("batch", F.lit(batch)).write.mode("append").option("compression", "snappy").partitionBy("batch").parquet(f"{base}/{table}")
 
 
-def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, log: bool = False, kinds: tuple[str, ...] = KINDS, **caps) -> DataFrame:
+def _replace(rows: DataFrame, base: str, table: str, *keys: str) -> None:
+    """Puts rows in place of those with the same keys."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*keys).parquet(f"{base}/{table}")
+
+
+def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, log: bool = False, kinds: tuple[str, ...] = KINDS, reason: str = TIMER, also: tuple[dict, ...] = (), **caps) -> DataFrame:
     """Ingests a batch and returns its statistics per payload; a failed write is reported in them, counts kept.
 
-    With ``write`` off, payloads are parsed and counted only. With ``log`` on, the statistics are written to the ingest log.
+    With ``write`` off, payloads are parsed and counted only. Statistics are stored: with ``log`` on in the ingest log, else in
+    the shared folder; so nothing stays persisted. ``also`` are further entries of the batch's commit.
     """
-    return _ingested(payloads, base, batch, batch_time, write, log, kinds, **caps)[0]
+    spark, now, token = payloads.sparkSession, batch_time or datetime.now(timezone.utc), new_token(batch)
+    admitted = admit(payloads, kinds=kinds, **caps).persist()
+    try:
+        failures = _written(flatten(admitted, kinds), base, batch, token, now, reason, also) if write else []
+        stats = ingest_stats(admitted, written=write and not failures, kinds=kinds)
+        if failures:
+            stats = stats.withColumn("errors", F.concat("errors", F.array(*map(F.lit, failures))))
+        if not log:
+            place = new_folder(spark, "stats")
+            stats.write.parquet(place)
+            return spark.read.schema(stats.schema).parquet(place)
+        _replace(stats.withColumn("payload_id", F.col("payload_id").cast("string")).withColumn("batch", F.lit(batch)), base, "_log", "batch")
+        return spark.read.schema(LOG).parquet(f"{base}/_log").filter(F.col("batch") == batch).drop("batch")
+    finally:
+        admitted.unpersist()
 
 
-def _ingested(payloads: DataFrame, base: str, batch: str, batch_time: datetime | None = None, write: bool = True, log: bool = False, kinds: tuple[str, ...] = KINDS, **caps) -> tuple[DataFrame, DataFrame]:
-    """The statistics, and the admitted payloads that they are counted from, which stay persisted."""
-    now = batch_time or datetime.now(timezone.utc)
-    admitted = admit(payloads, kinds=kinds, **caps).persist()
-    levels = flatten(admitted, kinds)
-    failures: list[str] = []
-    if write:
-        jobs = [lambda: write_facts(fact_rows(levels["points"], now), base, batch)]
-        jobs += [lambda t=t, rows=rows: write_dimension(rows, base, t, batch) for t, rows in table_rows(levels, now).items()]
-        for job in jobs:
-            try:
-                job()
-            except Exception as error:  # reported to the caller, who decides whether to play the batch again
-                failures.append(f"Write error: {type(error).__name__}")
-    stats = ingest_stats(admitted, written=write and not failures, kinds=kinds)
-    if failures:
-        stats = stats.withColumn("errors", F.concat("errors", F.array(*map(F.lit, failures))))
-    if log:
-        write_dimension(stats.withColumn("payload_id", F.col("payload_id").cast("string")), base, "_log", batch)
-    return stats, admitted
+def _written(levels: dict[str, DataFrame], base: str, batch: str, token: str, now: datetime, reason: str, also: tuple[dict, ...]) -> list[str]:
+    """Writes the four tables and, if all are written, commits them; the errors of those that are not."""
+    seen = Observation()
+    facts = fact_rows(levels["points"], now).observe(seen, F.count(F.lit(1)).alias("rows"))
+    jobs = [lambda: write_facts(facts, base, token)]
+    jobs += [lambda t=t, rows=rows: write_dimension(rows, base, t, token) for t, rows in table_rows(levels, now).items()]
+    failures = []
+    for job in jobs:
+        try:
+            job()
+        except Exception as error:  # reported to the caller, who decides whether to play the batch again
+            failures.append(f"Write error: {type(error).__name__}")
+    if not failures:
+        commits.commit(facts.sparkSession, base, [{"kind": "batch", "batch": batch, "token": token, "reason": reason, "rows": seen.get["rows"]}, *also])
+    return failures
 
 
 def log_totals(spark: SparkSession, base: str) -> DataFrame:
-    """Totals over all batches in the ingest log; each batch that wrote rows was a flush."""
+    """Totals over all batches in the ingest log. Batches with rows that a timer or an end of the stream wrote are flushes, those
+    that enough rows brought about are counted apart."""
     log = spark.read.schema(LOG).parquet(f"{base}/_log")
-    flushes = log.filter("written > 0").select("batch").distinct().count()
-    return ingest_totals(log, flushes)
-
-
-def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS):
-    """A query that ingests its micro-batches; with available_now it drains what is there and ends.
-
-    Without ``rows``, each micro-batch is written, one every ``seconds``. With ``rows``, payloads are looked for every
-    ``poll`` seconds and written once that many data points wait or the oldest has waited ``seconds``.
-    """
-
-    def checked(found: DataFrame, number: int) -> None:
-        failed = found.filter(F.exists("errors", lambda e: e.startswith("Write error"))).select("errors").limit(1).collect()
-        if failed:
-            raise RuntimeError(f"batch {number} was not written: {failed[0].errors}")
-
-    def each(frame: DataFrame, number: int) -> None:
-        found, admitted = _ingested(frame, base, f"{number:012d}")
-        checked(found, number)
-        admitted.unpersist()
-
-    def gathered(frame: DataFrame, number: int) -> None:
-        keep(frame, base, f"{number:012d}")
-        if due(frame.sparkSession, base, rows, seconds):
-            checked(flush(frame.sparkSession, base), number)
-
-    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each if rows is None else gathered)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds if rows is None else poll} seconds")).start()
+    done = commits.live(commits.entries(spark, base)).filter("rows > 0")
+    counted = done.agg(F.count_if(F.col("reason") != ROWS).alias("timer"), F.count_if(F.col("reason") == ROWS).alias("rows")).first()
+    return ingest_totals(log, counted.timer).withColumn("threshold_flushes", F.lit(counted.rows).cast("long"))
 
 
 # --- pending payloads ---------------------------------------------------------------------------------------------
 
-_PENDING = "payload_id STRING, body BINARY, gzip BOOLEAN, since DOUBLE, batch STRING"
+_PENDING = "payload_id STRING, body BINARY, gzip BOOLEAN, length BIGINT, points BIGINT, since DOUBLE, stream STRING, batch STRING"
 
 
-def keep(payloads: DataFrame, base: str, batch: str, since: float | None = None) -> None:
-    """Puts a micro-batch's payloads aside until the next flush."""
-    rows = payloads.select(F.col("payload_id").cast("string").alias("payload_id"), "body", "gzip", F.lit(time.time() if since is None else since).alias("since"))
-    write_dimension(rows, base, "_pending", batch)
+def keep(payloads: DataFrame, base: str, batch: str, since: float | None = None, stream: str = "-") -> None:
+    """Puts a micro-batch's payloads aside until the next flush, with the number of points of each; again in place of itself."""
+    own = payloads if "length" in payloads.columns else payloads.withColumn("length", F.octet_length("body"))
+    known = admit(own, carry=("body", "gzip", "length")).select(F.col("payload_id").cast("string").alias("payload_id"), "body", "gzip", F.col("length").cast("bigint").alias("length"), points_in("payload").alias("points"))
+    since = time.time() if since is None else since
+    _replace(known.select("*", F.lit(since).alias("since"), F.lit(stream).alias("stream"), F.lit(batch).alias("batch")), base, "_pending", "stream", "batch")
 
 
 def pending(spark: SparkSession, base: str) -> DataFrame:
-    """Payloads that wait for a flush."""
+    """Payloads that wait for a flush: those of micro-batches behind their stream's last flush."""
     path = f"{base}/_pending"
-    return spark.read.schema(_PENDING).parquet(path) if exists(spark, path) else spark.createDataFrame([], _PENDING)
+    if not exists(spark, path):
+        return spark.createDataFrame([], _PENDING)
+    log = commits.entries(spark, base).filter("kind = 'flushed'")
+    done = log.groupBy(F.col("token").alias("stream")).agg(F.max("batch").alias("_done"))
+    rows = spark.read.schema(_PENDING).parquet(path).join(done, "stream", "left")
+    return rows.filter(F.col("_done").isNull() | (F.col("batch") > F.col("_done"))).drop("_done")
 
 
 def pending_rows(spark: SparkSession, base: str) -> DataFrame:
@@ -126,30 +132,105 @@ def pending_rows(spark: SparkSession, base: str) -> DataFrame:
     return out
 
 
-def due(spark: SparkSession, base: str, rows: int = FLUSH_ROWS, seconds: float = FLUSH_SECONDS, now: float | None = None) -> bool:
-    """Whether a flush is due: enough data points wait, or some and for long enough."""
-    waiting = pending(spark, base)
-    oldest = waiting.agg(F.min("since")).first()[0]
-    if oldest is None:
-        return False
-    points = ingest_stats(admit(waiting)).agg(F.coalesce(F.sum("data_points"), F.lit(0))).first()[0]
-    return points >= rows or points > 0 and (time.time() if now is None else now) - oldest >= seconds
-
-
-def flush(spark: SparkSession, base: str, batch_time: datetime | None = None, log: bool = False) -> DataFrame:
-    """Writes all that is pending as one batch and forgets it once it is stored; returns its statistics."""
-    waiting = pending(spark, base)
-    batches = [r.batch for r in waiting.select("batch").distinct().orderBy("batch").collect()]  # one a micro-batch since the last flush
-    if not batches:
-        return ingest_stats(admit(waiting))
-    stats, admitted = _ingested(waiting.select("payload_id", "body", "gzip"), base, batches[0], batch_time, log=log)
-    out = stats.persist()
-    if out.filter(F.exists("errors", lambda e: e.startswith("Write error"))).isEmpty():
-        out.count()  # the statistics of all payloads are held before those go
-        for batch in batches:
-            delete_path(spark, f"{base}/_pending/batch={batch}")
-    admitted.unpersist()
-    return out
+def waiting(spark: SparkSession, base: str) -> DataFrame:
+    """points and since of all that is pending, from the columns kept beside the bodies."""
+    return pending(spark, base).agg(F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.min("since").alias("since"))
+
+
+def due(spark: SparkSession, base: str, rows: int | None = FLUSH_ROWS, seconds: float = FLUSH_SECONDS, now: float | None = None) -> str | None:
+    """Why a flush is due: enough data points wait (ROWS), or some and for long enough (TIMER); None if none is."""
+    found = waiting(spark, base).first()
+    if found.since is None or not found.points:
+        return None
+    if rows is not None and found.points >= rows:
+        return ROWS
+    return TIMER if (time.time() if now is None else now) - found.since >= seconds else None
+
+
+def flush(spark: SparkSession, base: str, batch_time: datetime | None = None, log: bool = False, reason: str = TIMER) -> DataFrame:
+    """Writes all that is pending as one batch, named after the oldest micro-batch in it; returns its statistics."""
+    held = pending(spark, base)
+    kept = [(r.stream, r.batch) for r in held.select("stream", "batch").distinct().orderBy("stream", "batch").collect()]  # one a micro-batch since the last flush
+    if not kept:
+        return ingest_stats(admit(held))
+    first, last = dict(reversed(kept)), dict(kept)
+    also = tuple({"kind": "flushed", "token": stream, "batch": batch} for stream, batch in last.items())
+    name = "+".join(f"{stream}-{batch}" for stream, batch in first.items())
+    stats = ingest(held.select("payload_id", "body", "gzip", "length"), base, name, batch_time, log=log, reason=reason, also=also)
+    if not _failed(stats):
+        for stream, batch in kept:  # pending no more since the commit
+            delete_path(spark, f"{base}/_pending/stream={stream}/batch={batch}")
+    return stats
+
+
+# --- streams ------------------------------------------------------------------------------------------------------
+
+
+def _failed(stats: DataFrame) -> list:
+    return stats.filter(F.exists("errors", lambda e: e.startswith("Write error"))).select("errors").limit(1).collect()
+
+
+def _checked(stats: DataFrame, batch: str) -> None:
+    if found := _failed(stats):
+        raise RuntimeError(f"batch {batch} was not written: {found[0].errors}")
+
+
+class IngestStream:
+    """A running stream of payloads; when it ends or is stopped, what still waits is written too."""
+
+    def __init__(self, query, spark: SparkSession, base: str, buffered: bool):
+        self.query, self._spark, self._base, self._buffered = query, spark, base, buffered
+
+    def _drain(self) -> None:
+        if self._buffered:
+            _checked(flush(self._spark, self._base, log=True, reason=DRAIN), "drained")
+
+    def awaitTermination(self, timeout: int | None = None) -> bool:  # noqa: N802  as Spark's queries have it
+        """Waits for the end; True if it came."""
+        ended = self.query.awaitTermination(timeout) if timeout is not None else (self.query.awaitTermination() or True)
+        if ended:
+            self._drain()
+        return bool(ended)
+
+    def stop(self) -> None:
+        """Ends the stream after the micro-batch at hand is done."""
+        self.query.stop()
+        self._drain()
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+
+def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS) -> IngestStream:
+    """A stream that ingests its micro-batches and logs them; with available_now it drains what is there and ends.
+
+    Without ``rows``, each micro-batch is written, one every ``seconds``. With ``rows``, payloads are looked for every ``poll``
+    seconds and written once that many data points wait or the oldest has waited ``seconds``: a clock beside the payloads makes
+    a micro-batch even where none arrives.
+    """
+    spark = payloads.sparkSession
+
+    def named(frame: DataFrame) -> str:
+        """The stream's own name, so that the batches of two streams to one lake are told apart."""
+        return frame.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "-"
+
+    def each(frame: DataFrame, number: int) -> None:
+        batch = f"{named(frame)}-{number:012d}"
+        _checked(ingest(frame, base, batch, log=True), batch)
+
+    def gathered(frame: DataFrame, number: int) -> None:
+        session = frame.sparkSession
+        if not frame.select("payload_id").isEmpty():
+            keep(frame, base, f"{number:012d}", stream=named(frame))
+        if reason := due(session, base, rows, seconds):
+            _checked(flush(session, base, log=True, reason=reason), str(number))
+
+    if rows is not None and not available_now:
+        clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter("value < 0")
+        payloads = payloads.unionByName(clock.select(*(F.lit(None).cast(t).alias(n) for n, t in payloads.dtypes)))
+    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each if rows is None else gathered)
+    query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds if rows is None else poll} seconds")).start()
+    return IngestStream(query, spark, base, rows is not None)
 
 
 def session(builder: SparkSession.Builder) -> SparkSession:
@@ -158,6 +239,7 @@ def session(builder: SparkSession.Builder) -> SparkSession:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    """Times in UTC, the last of equal keys, and times in files with statistics, which the default form has not."""
+    for name, value in (("session.timeZone", "UTC"), ("mapKeyDedupPolicy", "LAST_WIN"), ("parquet.outputTimestampType", "TIMESTAMP_MICROS")):
+        spark.conf.set(f"spark.sql.{name}", value)
     return spark
