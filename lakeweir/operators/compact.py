@@ -70,11 +70,14 @@ def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, dele
     """
     key, files = (day.year, day.month, day.day), list(day.files)
     version = commits.latest(spark, base) if version is None else version
+    own = spark.createDataFrame([(f,) for f in files], "path STRING")
+    clashes = lambda newer: not newer.filter("kind = 'source'").join(own, "path", "left_semi").isEmpty()
     try:
         rows = _read_files(spark, base, files, commits.entries(spark, base))
         before = rows.count()
     except Exception:
-        return (*key, "unreadable", len(files), len(files), None)
+        replaced = clashes(commits.entries(spark, base, after=version))
+        return (*key, "conflict" if replaced else "unreadable", len(files), len(files), None)
     if dry_run:
         return (*key, "dry run", len(files), len(files), before)
     folder = f"{base}/metric_data_daily/year={day.year}/month={day.month}/day={day.day}/part={uuid.uuid4().hex}"
@@ -87,8 +90,6 @@ def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, dele
         delete_path(spark, folder)
         return (*key, "count mismatch", len(files), len(files), before)
     targets = [r.f for r in made.select(file_name().alias("f")).distinct().collect()]
-    own = spark.createDataFrame([(f,) for f in files], "path STRING")
-    clashes = lambda newer: not newer.filter("kind = 'source'").join(own, "path", "left_semi").isEmpty()
     if before_commit is not None:
         before_commit()
     rows_of = [{"kind": "target", "path": t} for t in targets] + [{"kind": "source", "path": f} for f in files]

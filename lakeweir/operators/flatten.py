@@ -50,7 +50,7 @@ def json_tables(levels: dict[str, DataFrame]) -> DataFrame:
         "resources": ["resource_hash", "attributes"],
         "scopes": [F.col("scope_name").alias("name"), F.col("scope_version").alias("version")],
         "metrics": ["scope_name", "scope_version", F.col("metric_name").alias("name"), "unit", "metric_type", "description"],
-        "points": ["resource_hash", "scope_name", "scope_version", "metric_name", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), finite(F.col("value_double")).alias("value_double"), "value_int", "attributes"],
+        "points": ["resource_hash", "scope_name", "scope_version", "metric_name", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("timestamp"), finite(F.col("value_double")).alias("value_double"), "value_int", "attributes"],
     }
     names = {"metrics": "metric_definitions", "points": "metric_data"}
     parts = [levels[x].select("payload_id", F.lit(names.get(x, x)).alias("table_name"), F.array(*keys[x]).alias("at"), F.to_json(F.struct(*columns[x]), {"ignoreNullFields": "false"}).alias("row")) for x in keys]

@@ -32,7 +32,7 @@ def refresh(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Brings the snapshot of a dimension table up to date and returns it."""
     upto, log = commits.latest(spark, base), commits.entries(spark, base)
     held = stored(spark, base, table, log)
-    if held is not None and held[1] >= upto - 1 and log.filter(f"version > {held[1]} AND kind = 'batch'").isEmpty():
+    if held is not None and log.filter(f"kind = 'batch' AND version > {held[1]}").isEmpty():
         return read(spark, base, table)
     if held is not None and not commits.replaced(log).filter(f"version <= {held[1]} AND by > {held[1]}").isEmpty():
         held = None

@@ -86,6 +86,35 @@ def encode_cases(events: DataFrame) -> DataFrame:
     return rows.select("payload_id", body.alias("body"), case.isin(1, 2, 3, 4).alias("gzip"))
 
 
+NULL_CASES = 20
+
+
+def encode_nulls(events: DataFrame) -> DataFrame:
+    """payload_id, body and gzip: by payload_id modulo NULL_CASES, payloads with a null at each level and times given as numbers."""
+    case = F.col("payload_id") % NULL_CASES
+    pick = lambda usual, **odd: _cases(case, usual, {int(k[1:]): v for k, v in odd.items()})
+    time = pick("1700000000000001000", _13="null", _16="1.7e18", _17="1700000000000001000.0", _18='"1.7e18"')
+    value = pick("1.5", _14="null")
+    entries = pick('[{"key":"a","value":{"stringValue":"x"}}]', _19='[{"key":"a","value":null}]')
+    points = pick(None, _11="null", _12="[null]")
+    points = F.coalesce(points, F.concat(F.lit('[{"timeUnixNano":'), time, F.lit(',"asDouble":'), value, F.lit(',"attributes":'), entries, F.lit("}]")))
+    gauge = F.coalesce(pick(None, _10="null"), F.concat(F.lit('{"dataPoints":'), points, F.lit("}")))
+    metrics = F.coalesce(pick(None, _8="null", _9="[null]"), F.concat(F.lit('[{"name":"m","unit":'), pick('"u"', _15="null"), F.lit(',"gauge":'), gauge, F.lit("}]")))
+    scopes = F.coalesce(pick(None, _5="null", _6="[null]"), F.concat(F.lit('[{"scope":'), pick('{"name":"s"}', _7="null"), F.lit(',"metrics":'), metrics, F.lit("}]")))
+    resource = pick('{"attributes":[]}', _3="null", _4='{"attributes":null}')
+    resources = F.coalesce(pick(None, _1="null", _2="[null]"), F.concat(F.lit('[{"resource":'), resource, F.lit(',"scopeMetrics":'), scopes, F.lit("}]")))
+    body = F.concat(F.lit('{"resourceMetrics":'), resources, F.lit("}"))
+    ids = events.select(F.expr(f"event_id div {PER_PAYLOAD}").alias("payload_id")).distinct()
+    return ids.select("payload_id", body.cast("binary").alias("body"), F.lit(False).alias("gzip"))
+
+
+def _cases(case: Column, usual: str | None, odd: dict[int, str]) -> Column:
+    out = F.lit(usual)
+    for n, text in odd.items():
+        out = F.when(case == n, text).otherwise(out)
+    return out
+
+
 def encode_attributes(events: DataFrame) -> DataFrame:
     """payload_id and body: fifty resources a payload, with attributes of every kind, repeated and empty keys among them."""
     i = F.col("event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -9,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweir.operators import compact as compaction
+from lakeweir.operators import snapshots
 from lakeweir.operators.admit import admit
 from lakeweir.operators.dims import definition_dim, dim_snapshot, resource_dim, scope_dim, table_rows
-from lakeweir.operators.flatten import fact_rows, flatten
+from lakeweir.operators.flatten import fact_rows, flatten, json_tables
 from lakeweir.operators.stats import ingest_stats
 from lakeweir.operators.stats import rows_per_partition as count_partitions
-from lakeweir.plans.encode import BODY_CAP, INFLATED_CAP, encode, encode_attributes, encode_cases
+from lakeweir.plans.encode import BODY_CAP, INFLATED_CAP, encode, encode_attributes, encode_cases, encode_nulls
 from lakeweir.schemas import KINDS
-from lakeweir.sources import lake
+from lakeweir.sources import commits, lake
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_mixed_depth, scan_range, scan_table
 from lakeweir.sources.payloads import read_payloads, stream_payloads
 from lakeweir.sources.shared import new_folder
-from lakeweir.streaming.ingest import flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
+from lakeweir.streaming.ingest import TIMER, flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
 
 NOW = datetime(2024, 1, 1)
 
@@ -39,8 +42,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    base = new_folder(spark, "lake")
-    write_facts(fact_rows(_levels(spark, sf_dir)["points"], NOW), base, "000000000000")
+    base, token = new_folder(spark, "lake"), commits.new_token("0")
+    write_facts(fact_rows(_levels(spark, sf_dir)["points"], NOW), base, token)
+    commits.commit(spark, base, [{"kind": "batch", "batch": "0", "token": token, "reason": TIMER}])
     return base
 
 
@@ -209,7 +213,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     for b in (0, 1, 2, 2):
         ingest(payloads.filter(_third(b)), base, f"{b:012d}", NOW, log=True)
     payloads.unpersist()
-    return log_totals(spark, base)
+    return log_totals(spark, base).drop("threshold_flushes")
 
 
 def rows_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,6 +306,162 @@ def compaction_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compact(spark, base, threshold=1).select("year", "month", "day", "status", "rows")
 
 
+def replay_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of three batches that were compacted, played again, compacted with the sources kept, and played again."""
+    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    play = lambda b: ingest(payloads.filter(_third(b)), base, str(b), NOW)
+    for b in range(3):
+        play(b)
+    compaction.compact(spark, base, threshold=1)
+    play(1)
+    compaction.compact(spark, base, threshold=1, delete=False)
+    play(1)
+    play(2)
+    payloads.unpersist()
+    return _facts(scan_lake(spark, base))
+
+
+def _raced(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A lake that two compactions list before either commits, and what the one did that came second."""
+    base, lock, first = _written(spark, sf_dir), threading.Lock(), []
+
+    def other() -> None:
+        with lock:
+            if not first:
+                first.append(compaction.compact(spark, base, threshold=1))
+
+    return base, compaction.compact(spark, base, threshold=1, before_commit=other)
+
+
+def two_compactors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(scan_lake(spark, _raced(spark, sf_dir)[0]))
+
+
+def compaction_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the compaction that came second did with each day, and the files and rows that stand."""
+    base, second = _raced(spark, sf_dir)
+    return second.select("year", "month", "day", "status").join(lake.rows_per_day(spark, base), ["year", "month", "day"])
+
+
+def vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts after a vacuum that deleted replaced batches, sources of a compaction and what was never committed; files by kind of folder."""
+    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    for b in (0, 1, 2, 2):
+        ingest(payloads.filter(_third(b)), base, str(b), NOW)
+    write_facts(fact_rows(flatten(admit(payloads))["points"], NOW), base, commits.new_token("lost"))
+    payloads.unpersist()
+    compaction.compact(spark, base, threshold=1, delete=False)
+    lake.vacuum(spark, base, seconds=0)
+    left = lake.dated_files(spark, f"{base}/metric_data")
+    return _facts(scan_lake(spark, base)).withColumn("files_left", F.lit(left.count()))
+
+
+def failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that scans see of a batch whose third table can't be written, and after it was played again."""
+    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/scopes")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where).close()  # a file where the table's folder should be
+    tables = ("metric_data", "resources", "metric_definitions", "scopes")
+    seen = lambda t: (scan_lake(spark, base) if t == "metric_data" else scan_table(spark, base, t)).count()
+    ingest(payloads, base, "0", NOW)
+    before = {t: seen(t) for t in tables[:3]}
+    lake.delete_path(spark, f"{base}/scopes")
+    ingest(payloads, base, "0", NOW)
+    payloads.unpersist()
+    return spark.createDataFrame([(t, before.get(t, 0), seen(t)) for t in tables], "table_name STRING, failed BIGINT, played_again BIGINT")
+
+
+def oversize_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload files, some of which are above the cap: those are told from the listing and never read."""
+    folder = new_folder(spark, "payloads")
+    rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value")).repartition("payload_id")
+    padded = rows.withColumn("value", F.when(F.col("payload_id") % 40 == 4, F.concat("value", F.repeat(F.lit(" "), F.lit(BODY_CAP)))).otherwise(F.col("value")))
+    padded.write.partitionBy("payload_id").text(folder)
+    found = admit(read_payloads(spark, folder, "*.txt", body_cap=BODY_CAP), body_cap=BODY_CAP)
+    return ingest_stats(found).select(F.regexp_extract("payload_id", r"payload_id=(\d+)", 1).cast("bigint").alias("payload_id"), "status", "data_points")
+
+
+def admission_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null at each level of a payload, and times given as numbers: the outcome, and the time of the point."""
+    admitted = admit(encode_nulls(_events(prepared(spark), sf_dir))).persist()
+    points = flatten(admitted)["points"].select("payload_id", F.unix_micros("timestamp").alias("ts_us"))
+    found = admitted.select("payload_id", "status", "error").join(points, "payload_id", "left")
+    admitted.unpersist()
+    return found
+
+
+def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four relations as JSON objects, by their place in the payload."""
+    rows = json_tables(_levels(spark, sf_dir))
+    return rows.select("payload_id", "table_name", F.array_join(F.transform("at", lambda x: x.cast("string")), ",").alias("at"), "row")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, **how) -> str:
+    """A lake made by a stream over payload files."""
+    base, source = new_folder(spark, "lake"), _payload_files(spark, sf_dir)
+    start_stream(stream_payloads(spark, source, "*.txt*"), base, f"{base}/_checkpoint", available_now=True, **how).awaitTermination()
+    return base
+
+
+def stream_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a stream whose rows never reach its threshold: they are written when it ends."""
+    return _facts(scan_lake(spark, _streamed(spark, sf_dir, rows=10**12)))
+
+
+def stream_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the four tables after a stream of one batch, and of those that still wait."""
+    base = _streamed(spark, sf_dir, rows=10**12)
+    tables = {"metric_data": scan_lake(spark, base), **{t: scan_table(spark, base, t) for t in ("resources", "scopes", "metric_definitions")}}
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t, rows in tables.items()]
+    counted = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return counted.join(pending_rows(spark, base).withColumnRenamed("n", "waiting"), "table_name")
+
+
+def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a stream that flushes by rows; such flushes are told from those of the timer."""
+    totals_ = log_totals(spark, _streamed(spark, sf_dir, rows=1))
+    return totals_.select("requests_total", "requests_success", "requests_error", "points_ingested", "rows_written", "flushes", (F.col("threshold_flushes") > 0).alias("by_rows"))
+
+
+def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a stream wrote, and how many rows, where few wait and nothing more arrives: its time had come."""
+    base, source = new_folder(spark, "lake"), _payload_files(spark, sf_dir)
+    stream = start_stream(stream_payloads(spark, source, "*.txt*"), base, f"{base}/_checkpoint", rows=10**12, seconds=10, poll=1)
+    end = time.time() + 600
+    while not commits.latest(spark, base) and stream.isActive and time.time() < end:
+        time.sleep(0.5)
+    stream.stop()
+    return commits.live(commits.entries(spark, base)).select("reason", "rows")
+
+
+def _increments(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A stored snapshot that was brought up to date after the first of three batches and after the last."""
+    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    for b in range(3):
+        ingest(payloads.filter(_third(b)), base, str(b), datetime(2024, 1, 1 + b))
+        if b != 1:
+            snapshots.refresh(spark, base, table)
+    payloads.unpersist()
+    return snapshots.read(spark, base, table).withColumn("created_us", F.unix_micros("created_at"))
+
+
+def dim_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _increments(spark, sf_dir, "resources").select("resource_hash", "attributes", "created_us", (F.col("updated_at") == F.col("created_at")).alias("fresh"))
+
+
+def definition_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _increments(spark, sf_dir, "metric_definitions").select("scope_name", "scope_version", "name", "unit", "metric_type", "description", "created_us")
+
+
+def compacted_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time range out of compacted days."""
+    first = _events(spark, sf_dir).agg(F.min("ts").cast("date").alias("d")).first()
+    start = datetime.combine(first.d, datetime.min.time()) + timedelta(days=10, hours=5, minutes=30)
+    base = _written(spark, sf_dir)
+    compaction.compact(spark, base, threshold=1)
+    return _facts(scan_range(spark, base, start, start + timedelta(days=2)))
+
+
 def metric_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points and mean value per metric and hour."""
     facts = fact_rows(_levels(spark, sf_dir)["points"], NOW)
@@ -347,6 +507,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lake_roundtrip": lake_roundtrip,
     "compaction_roundtrip": compaction_roundtrip,
     "partition_inventory": inventory,
+    "replay_after_compaction": replay_after_compaction,
+    "two_compactors": two_compactors,
+    "compaction_conflict": compaction_conflict,
+    "vacuumed": vacuumed,
+    "failed_batch": failed_batch,
+    "oversize_payloads": oversize_payloads,
+    "admission_nulls": admission_nulls,
+    "flatten_json": flatten_json,
+    "stream_drained": stream_drained,
+    "stream_tables": stream_tables,
+    "stream_threshold": stream_threshold,
+    "stream_timer": stream_timer,
+    "dim_increments": dim_increments,
+    "definition_increments": definition_increments,
+    "compacted_range_scan": compacted_range_scan,
 }
 
 _EVENTS = """
@@ -389,6 +564,26 @@ _ODD = {
     "n": """'"n": {}'""",
 }
 _odd_text = lambda keys: "'{' || " + " || ', ' || ".join(_ODD[k] for k in keys) + " || '}'"
+_NULLS = """
+WITH c AS (SELECT DISTINCT event_id // 50 AS payload_id, (event_id // 50) % 20 AS k FROM events)
+SELECT payload_id, CAST(CASE WHEN k IN (0, 14, 15, 16, 17) THEN 200 ELSE 500 END AS INTEGER) AS status,
+  CASE WHEN k NOT IN (0, 14, 15, 16, 17) THEN 'Parse error: unreadable structure or number' END AS error,
+  CASE WHEN k = 16 THEN 1700000000000000 WHEN k IN (0, 14, 15, 17) THEN 1700000000000001 END AS ts_us FROM c
+"""
+_JSON = """, x AS (SELECT *, CAST(r_pos AS VARCHAR) AS p0, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso FROM g)
+SELECT payload_id, 'resources' AS table_name, p0 AS at, json_object('resource_hash', resource_hash, 'attributes', resource_attributes)::VARCHAR AS "row" FROM x
+UNION ALL SELECT payload_id, 'scopes', p0 || ',0', json_object('name', scope_name, 'version', scope_version)::VARCHAR FROM x
+UNION ALL SELECT payload_id, 'metric_definitions', p0 || ',0,0',
+  json_object('scope_name', scope_name, 'scope_version', scope_version, 'name', metric_name, 'unit', unit, 'metric_type', metric_type, 'description', NULL)::VARCHAR FROM x
+UNION ALL SELECT payload_id, 'metric_data', p0 || ',0,0,0', json_object('resource_hash', resource_hash, 'scope_name', scope_name, 'scope_version', scope_version, 'metric_name', metric_name,
+  'timestamp', iso, 'value_double', value_double, 'value_int', value_int, 'attributes', attributes)::VARCHAR FROM x WHERE metric_type <> 'unknown'
+"""
+_TABLE_COUNTS = """SELECT 'metric_data' AS table_name, count(*) FILTER (metric_type <> 'unknown') AS n FROM g
+UNION ALL SELECT 'resources', count(DISTINCT resource_hash) FROM g
+UNION ALL SELECT 'scopes', count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM g
+UNION ALL SELECT 'metric_definitions', count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM g"""
+_RANGE = f"""{_EVENTS}, b AS (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) + INTERVAL 10 DAY + INTERVAL 5 HOUR + INTERVAL 30 MINUTE AS t FROM events)
+{_FACTS}, b WHERE ts >= b.t AND ts < b.t + INTERVAL 2 DAY"""
 _DEFINITION = "SELECT scope_name, arg_min(struct_pack(v := scope_version), event_id).v AS scope_version, metric_name AS name, arg_min(struct_pack(v := unit), event_id).v AS unit, arg_min(metric_type, event_id) AS metric_type, CAST(NULL AS VARCHAR) AS description FROM g GROUP BY scope_name, coalesce(scope_version, '{0}'), metric_name"
 
 ORACLES: dict[str, str] = {
@@ -430,4 +625,22 @@ ORACLES: dict[str, str] = {
     "lake_roundtrip": f"{_EVENTS} {_FACTS}",
     "compaction_roundtrip": f"{_EVENTS} {_FACTS}",
     "partition_inventory": f"{_DAYS} SELECT year, month, day, 'year=' || year || '/month=' || month || '/day=' || day AS path, n AS file_count, true AS listed FROM d",
+    "replay_after_compaction": f"{_EVENTS} {_FACTS}",
+    "two_compactors": f"{_EVENTS} {_FACTS}",
+    "compaction_conflict": f"{_DAYS} SELECT year, month, day, 'conflict' AS status, CAST(1 AS BIGINT) AS files, k AS rows FROM d",
+    "vacuumed": f"{_EVENTS} {_FACTS.replace(' FROM p', ', CAST(0 AS BIGINT) AS files_left FROM p')}",
+    "failed_batch": f"{_EVENTS} SELECT table_name, CAST(0 AS BIGINT) AS failed, n AS played_again FROM ({_TABLE_COUNTS})",
+    "oversize_payloads": f"""{_STATS} SELECT payload_id, CAST(CASE WHEN payload_id % 40 = 4 THEN 413 ELSE status END AS INTEGER) AS status,
+        CASE WHEN payload_id % 40 = 4 THEN 0 ELSE data_points END AS data_points FROM s""",
+    "admission_nulls": _NULLS,
+    "flatten_json": f"{_EVENTS} {_JSON}",
+    "stream_drained": f"{_EVENTS} {_FACTS}",
+    "stream_tables": f"{_EVENTS} SELECT table_name, n, CAST(0 AS BIGINT) AS waiting FROM ({_TABLE_COUNTS})",
+    "stream_threshold": f"""{_STATS} SELECT count(*) FILTER (status IN (200, 500)) AS requests_total, count(*) FILTER (status = 200) AS requests_success,
+        count(*) FILTER (status = 500) AS requests_error, CAST(sum(data_points) AS BIGINT) AS points_ingested, CAST(sum(written) AS BIGINT) AS rows_written,
+        CAST(0 AS BIGINT) AS flushes, true AS by_rows FROM s""",
+    "stream_timer": f"{_EVENTS} SELECT 'timer' AS reason, count(*) AS rows FROM p",
+    "compacted_range_scan": _RANGE,
 }
+ORACLES["dim_increments"] = ORACLES["dim_snapshot"]
+ORACLES["definition_increments"] = ORACLES["definition_snapshot"]
