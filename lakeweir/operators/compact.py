@@ -19,7 +19,7 @@ from lakeweir.sources import commits
 from lakeweir.sources.commits import delete_path, exists
 from lakeweir.sources.lake import dated_files, file_name, without_replaced
 
-THRESHOLD, FILE_BYTES, DAYS_AT_ONCE = 10, 512 << 20, 4
+THRESHOLD, FILE_BYTES, DAYS_AT_ONCE, COMMIT_DAYS = 10, 512 << 20, 8, 32
 #: Bytes of a row group: a scan of an hour reads the groups that hold it, out of those of the day.
 GROUP_BYTES = 8 << 20
 RESULT = "year STRING, month STRING, day STRING, status STRING, files_before BIGINT, files_after BIGINT, rows BIGINT"
@@ -63,53 +63,74 @@ def _read_files(spark: SparkSession, base: str, files: list[str], log: DataFrame
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def compact_day(spark: SparkSession, base: str, day, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count, version: int | None = None, before_commit: Callable[[], object] | None = None) -> tuple:
-    """One day: write, verify the counts (count: of what was written), commit, delete. A day that can't be read is skipped.
-
-    ``version`` is the log's when the day was listed; ``before_commit`` is called once the targets are written and verified.
-    """
+def pack_day(spark: SparkSession, base: str, day, log: DataFrame, dry_run: bool = False, count: Callable[[DataFrame], int] | None = None) -> tuple[tuple, list[str]]:
+    """One day: write its rows and verify their number (count: of what was written). The result row, and the files made if it may be committed."""
     key, files = (day.year, day.month, day.day), list(day.files)
-    version = commits.latest(spark, base) if version is None else version
-    own = spark.createDataFrame([(f,) for f in files], "path STRING")
-    clashes = lambda newer: not newer.filter("kind = 'source'").join(own, "path", "left_semi").isEmpty()
     try:
-        rows = _read_files(spark, base, files, commits.entries(spark, base))
+        rows = _read_files(spark, base, files, log)
         before = rows.count()
     except Exception:
-        replaced = clashes(commits.entries(spark, base, after=version))
-        return (*key, "conflict" if replaced else "unreadable", len(files), len(files), None)
+        return (*key, "unreadable", len(files), len(files), None), []
     if dry_run:
-        return (*key, "dry run", len(files), len(files), before)
+        return (*key, "dry run", len(files), len(files), before), []
     folder = f"{base}/metric_data_daily/year={day.year}/month={day.month}/day={day.day}/part={uuid.uuid4().hex}"
     n = max(1, -(-int(day.bytes or 0) // FILE_BYTES))
     packed = rows.drop("year", "month", "day")
     packed = packed.coalesce(1) if n == 1 else packed.repartitionByRange(n, "timestamp")
     packed.sortWithinPartitions("timestamp").write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(folder)
-    made = spark.read.parquet(folder)
-    if count(made) != before:
-        delete_path(spark, folder)
-        return (*key, "count mismatch", len(files), len(files), before)
-    targets = [r.f for r in made.select(file_name().alias("f")).distinct().collect()]
-    if before_commit is not None:
-        before_commit()
-    rows_of = [{"kind": "target", "path": t} for t in targets] + [{"kind": "source", "path": f} for f in files]
-    if commits.commit(spark, base, rows_of, clashes, version) is None:
+    made = spark.read.schema(packed.schema).parquet(folder)
+    found = {r.path: r.n for r in made.groupBy(file_name().alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a file
+    if (sum(found.values()) if count is None else count(made)) != before:
         delete_path(spark, folder)
-        return (*key, "conflict", len(files), len(files), before)
-    if delete:
-        for file in files:
-            delete_path(spark, file)
-    return (*key, "compacted", len(files), len(targets), before)
+        return (*key, "count mismatch", len(files), len(files), before), []
+    return (*key, "compacted", len(files), len(found), before), list(found)
+
+
+def _replaced(spark: SparkSession, days: list[tuple], newer: DataFrame) -> set[tuple]:
+    """The keys of days (key, targets, sources) of which newer entries of the log have replaced a source."""
+    if not days:
+        return set()
+    own = spark.createDataFrame([(*key, f) for key, _, files in days for f in files], "year STRING, month STRING, day STRING, path STRING")
+    gone = newer.filter("kind = 'source'").select("path")
+    return {tuple(r) for r in own.join(gone, "path", "left_semi").select("year", "month", "day").distinct().collect()}
 
 
-def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] = DataFrame.count, before_commit: Callable[[], object] | None = None) -> DataFrame:
-    """Compacts each day with enough files, a few days at once, as they are independent; one result row per day found."""
-    version = commits.latest(spark, base)
-    listed = live_inventory(spark, base).withColumn("files", F.when(F.col("file_count") >= threshold, F.col("files")))
+def _commit(spark: SparkSession, base: str, packed: list[tuple], version: int) -> set[tuple]:
+    """Commits the days (key, targets, sources) that nobody else has compacted since the version; the keys of the others."""
+    lost: set[tuple] = set()
+    while packed:
+        made = [{"kind": "target", "path": t} for _, targets, _ in packed for t in targets] + [{"kind": "source", "path": f} for _, _, files in packed for f in files]
+        if commits.commit(spark, base, made, lambda newer, own=packed: bool(_replaced(spark, own, newer)), version) is not None:
+            break
+        lost |= _replaced(spark, packed, commits.entries(spark, base, after=version))
+        packed = [p for p in packed if p[0] not in lost]
+    return lost
+
+
+def compact(spark: SparkSession, base: str, threshold: int = THRESHOLD, dry_run: bool = False, delete: bool = True, count: Callable[[DataFrame], int] | None = None, before_commit: Callable[[], object] | None = None) -> DataFrame:
+    """Compacts each day with enough files; one result row per day found.
+
+    A few days are written at once, as they are independent, and COMMIT_DAYS at most are committed together. A day whose files
+    another compaction has replaced meanwhile is a conflict and keeps that one's. ``before_commit`` is called before each commit.
+    """
+    version, log = commits.latest(spark, base), commits.entries(spark, base)
+    listed = live_inventory(spark, base, log).withColumn("files", F.when(F.col("file_count") >= threshold, F.col("files")))
     days = listed.orderBy("year", "month", "day").collect()  # one row a day; paths of the days to compact only
-    found = [d for d in days if d.file_count >= threshold]
+    found, results = [d for d in days if d.file_count >= threshold], []
     with ThreadPoolExecutor(DAYS_AT_ONCE) as pool:
-        results = list(pool.map(lambda day: compact_day(spark, base, day, dry_run, delete, count, version, before_commit), found))
+        for start in range(0, len(found), COMMIT_DAYS):
+            own = found[start : start + COMMIT_DAYS]
+            done = list(pool.map(lambda day: pack_day(spark, base, day, log, dry_run, count), own))
+            if before_commit is not None:
+                before_commit()
+            packed = [(r[:3], targets, list(d.files)) for d, (r, targets) in zip(own, done, strict=True) if r[3] == "compacted"]
+            lost = _commit(spark, base, packed, version)
+            unread = [(r[:3], [], list(d.files)) for d, (r, _) in zip(own, done, strict=True) if r[3] == "unreadable"]
+            lost |= _replaced(spark, unread, commits.entries(spark, base, after=version))
+            list(pool.map(lambda p: delete_path(spark, p), [t for key, targets, _ in packed if key in lost for t in targets]))
+            if delete:
+                list(pool.map(lambda p: delete_path(spark, p), [f for key, _, files in packed if key not in lost for f in files]))
+            results += [(*r[:3], "conflict", r[4], r[4], r[6]) if r[:3] in lost else r for r, _ in done]
     results += [(d.year, d.month, d.day, "skipped", d.file_count, d.file_count, None) for d in days if d.file_count < threshold]
     return spark.createDataFrame(results, RESULT)
 

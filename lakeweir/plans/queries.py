@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import threading
 import time
 from collections.abc import Callable
 from datetime import datetime, timedelta
@@ -323,14 +322,8 @@ def replay_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raced(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """A lake that two compactions list before either commits, and what the one did that came second."""
-    base, lock, first = _written(spark, sf_dir), threading.Lock(), []
-
-    def other() -> None:
-        with lock:
-            if not first:
-                first.append(compaction.compact(spark, base, threshold=1))
-
-    return base, compaction.compact(spark, base, threshold=1, before_commit=other)
+    base = _written(spark, sf_dir)
+    return base, compaction.compact(spark, base, threshold=1, before_commit=lambda: compaction.compact(spark, base, threshold=1))
 
 
 def two_compactors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,16 +31,19 @@ LOG = "payload_id STRING, status INT, resources BIGINT, scopes BIGINT, metric_de
 #: Why a batch was written: its time had come, enough rows waited, or the stream ended.
 TIMER, ROWS, DRAIN = "timer", "rows", "drain"
 
+#: Tasks put their files in place themselves, as no scan sees them before the commit; else the driver moves them one by one.
+_ADDED = {"compression": "snappy", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
 
 def write_facts(facts: DataFrame, base: str, batch: str) -> None:
     """Adds facts under batch=<batch> folders; one file an hour, more where an hour is large."""
-    (facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")
-     .write.mode("append").option("compression", "snappy").partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data"))
+    spread = facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")
+    spread.write.mode("append").options(**_ADDED).partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data")
 
 
 def write_dimension(rows: DataFrame, base: str, table: str, batch: str) -> None:
     """Adds rows under a batch=<batch> folder."""
-    rows.withColumn("batch", F.lit(batch)).write.mode("append").option("compression", "snappy").partitionBy("batch").parquet(f"{base}/{table}")
+    rows.withColumn("batch", F.lit(batch)).write.mode("append").options(**_ADDED).partitionBy("batch").parquet(f"{base}/{table}")
 
 
 def _replace(rows: DataFrame, base: str, table: str, *keys: str) -> None:
@@ -239,7 +242,9 @@ def session(builder: SparkSession.Builder) -> SparkSession:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Times in UTC, the last of equal keys, and times in files with statistics, which the default form has not."""
-    for name, value in (("session.timeZone", "UTC"), ("mapKeyDedupPolicy", "LAST_WIN"), ("parquet.outputTimestampType", "TIMESTAMP_MICROS")):
+    """Times in UTC, the last of equal keys, times in files with statistics, which the default form has not, and small shuffles
+    that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files."""
+    settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)
     return spark
