@@ -1,14 +1,16 @@
 """HTML main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 A page is cut into leaf blocks (runs of text between block-level tags), each described by its ancestors' tags, class and id
-words and by its text (length, marks, share inside links, the words of short ones). The field has two labels, main text and
+words, by its text (length, marks, share inside links, the words of short ones) and by what holds it: that holder's share of
+the page's text and of links, and on which side of the holder with most text it stands. The field has two labels, main text and
 other, with weights for features and for neighbouring labels; it is fitted by gradient ascent on labelled pages and decoded
 by Viterbi. No feature and no weight is set by hand: what a container or a word means is learned.
 
 Training pages are a bounded sample (SAMPLE, by hash of the id) of the pages themselves, labelled where their own
 structure says what is main text, plus the same texts in made-up templates (other containers and tags; menus, notices,
-adverts, forms, sidebars and comments before, inside and after the text), whose labels are known as they are made, so that
-the weights don't hang on one template. Pages that say nothing of their structure give texts to made-up templates only.
+adverts, forms, sidebars and comments before, inside and after the text; lists of short entries inside it), whose labels are
+known as they are made, so that the weights don't hang on one template. In half of them class words are coined at random and
+say nothing, and most comments say nothing of themselves either, so that shares and sides must tell. Pages that say nothing of their structure give texts to made-up templates only.
 Decoding is a narrow pass over whole pages.
 
 Defined results: null and empty pages, and pages without main text, give an empty text; repeated rows are extracted each,
@@ -31,11 +33,14 @@ from pyspark.sql import types as T
 
 from lakeweir.llm.common import map_batches
 
-SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 120, 1 << 15, 100, 1e-5, 5
+SAMPLE, BUCKETS, ROUNDS, RIDGE, TEMPLATES = 120, 1 << 15, 100, 1e-5, 6
 #: Tags that don't end a block, tags whose content is never text, and tags without content. Fixed values.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 RAW, HIDDEN = "script|style", "noscript template svg iframe object canvas select textarea button title".replace(" ", "|")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that hold parts of a page. Fixed values.
+HOLDERS = frozenset("html body div section article main aside nav header footer form menu dialog td details".split())
+
 #: Containers that say what is main text and what is not. Fixed values.
 MAIN, OTHER = frozenset("article main".split()), frozenset("nav header footer aside form menu dialog".split())
 OTHER_WORDS = frozenset(
@@ -71,7 +76,7 @@ TEXT_WORDS, PAGE_WORDS = "content entry post body story text article main".split
 #: A hidden element goes with its content; a self-closed svg has none, and without an end tag only the start tag goes (but script and style reach to the end).
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|<svg(?=[\s/>])[^>]*/>|<({HIDDEN})(?=[\s/>])[^>]*>(?:.*?</\2\s*>)?|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<$|<(?=[a-zA-Z/!?])[^<>]*$", re.S | re.I)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS, _WHOLE = re.compile(r"[a-z]+"), re.compile(r"[a-z_-]+[0-9][\w-]*")
 _BLANK = re.compile(r"\s+")
 _SAID = re.compile(r"[^\W\d_]+|©")
 
@@ -86,7 +91,7 @@ class Block:
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...], str, float]]:
     """(ancestor tags, their class and id words, text, share inside links) of each leaf block, in page order."""
     stack: list[tuple[str, frozenset]] = []
-    out, at, link = [], 0, 0
+    out, at, link, parts = [], 0, 0, 0
     block = Block((), ())
 
     def say(raw: str) -> None:
@@ -124,8 +129,12 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
         else:
             if stack and stack[-1][0] == "p" or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stack.pop()
-            words = frozenset(w for v in _NAMES.findall(m.group(5)) for w in _WORDS.findall(v.lower()))
-            stack.append((tag, words))
+            named = [v.lower() for v in _NAMES.findall(m.group(5))]
+            words = {w for v in named for w in _WORDS.findall(v)} | {w for v in named for w in _WHOLE.findall(v)}
+            if len(stack) == 2 and tag in HOLDERS:  # parts of the page without names are told apart by number
+                parts += 1
+                words.add(f"#{parts}")
+            stack.append((tag, frozenset(words)))
         end()
     say(page[at:])
     end()
@@ -135,7 +144,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[frozenset, ...],
 def place_features(tags: tuple, names: tuple) -> list[str]:
     """Names of the features of where a block stands: its ancestors' tags, their order and class words."""
     out = {f"t:{t}" for t in tags}
-    inner = [(t, own) for t, own in zip(tags, names, strict=True) if t not in ("html", "body")]  # their class words speak of the page, not of the block
+    # the class words of html and body speak of the page, not of the block; numbers of parts say nothing
+    inner = [(t, [w for w in own if w[0] != "#"]) for t, own in zip(tags, names, strict=True) if t not in ("html", "body")]
     for i, (tag, own) in enumerate(inner):
         out.update(f"w:{w}" for w in own)
         out.update(f"in:{upper}>{tag}" for upper, _ in inner[:i])
@@ -172,12 +182,43 @@ def _hashed(names: list[str]) -> list[int]:
 _SEEN: dict[str, int] = {}
 
 
+def _holder(tags: tuple, names: tuple, named: bool) -> tuple:
+    """The path to the innermost holder of a block, or to the innermost with a name."""
+    depth = next((i for i in range(len(tags), 0, -1) if tags[i - 1] in HOLDERS and (names[i - 1] or not named)), 0)
+    return tags[:depth], names[:depth]
+
+
+def holder_features(blocks: list, named: bool) -> list[list[str]]:
+    """Names of the features of what holds a block: its share of the page's text and of links, and its side of the holder with most text."""
+    paths, size, linked, blocks_in, own = {}, {}, {}, {}, []
+    for tags, names, text, link in blocks:
+        if (path := paths.get((tags, names))) is None:
+            path = paths[tags, names] = _holder(tags, names, named)
+        own.append(path)
+        size[path] = size.get(path, 0) + len(text)
+        linked[path] = linked.get(path, 0) + link * len(text)
+        blocks_in[path] = blocks_in.get(path, 0) + 1
+    whole, lead, k = sum(size.values()), max(size, key=size.get), "n" if named else "h"
+    inside = [i for i, path in enumerate(own) if path == lead]
+    said, out = {}, []
+    for i, (path, (tags, _, text, _)) in enumerate(zip(own, blocks, strict=True)):
+        if path not in said:
+            within = path[0][: len(lead[0])] == lead[0] and path[1][: len(lead[1])] == lead[1]
+            mean = min(7, (size[path] // (6 * blocks_in[path])).bit_length())
+            said[path] = [f"{k}:share:{int(4.99 * size[path] / whole)}", f"{k}:lead:{path == lead}", f"{k}:under:{within}", f"{k}:links:{int(3.99 * linked[path] / size[path])}", f"{k}:mean:{mean}"]
+        side = f"{k}:side:{'before' if i < inside[0] else 'after' if i > inside[-1] else 'among'}"
+        out.append([*said[path], side, f"{side}:{path == lead}:{tags[-1] if tags else ''}", f"{side}:{path == lead}:{min(7, (text.count(' ') + 1).bit_length())}"])
+    return out
+
+
 def page_features(blocks: list) -> list[list[int]]:
     n, places, out = len(blocks), {}, []
-    for i, (tags, names, text, linked) in enumerate(blocks):
+    if not n:
+        return out
+    for i, ((tags, names, text, linked), held, named) in enumerate(zip(blocks, holder_features(blocks, False), holder_features(blocks, True), strict=True)):
         if (own := places.get((tags, names))) is None:
             own = places[tags, names] = _hashed(place_features(tags, names))
-        out.append(own + _hashed(text_features(text, linked, i / n)))
+        out.append(own + _hashed(text_features(text, linked, i / n)) + _hashed(held) + _hashed(named))
     return out
 
 
@@ -190,16 +231,26 @@ def structure_labels(blocks: list) -> list[int] | None:
 
 def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random) -> tuple[list, list[int]]:
     """The page's text in a made-up template, with blocks of several kinds that are not main text."""
-    none = frozenset()
+    none, neutral = frozenset(), rng.random() < 0.5
+    coined = lambda: frozenset({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 7)))})  # noqa: E731  a name that says nothing
     top = [("html", none), ("body", none)]
     if rng.random() < 0.4:
-        top.append(("div", frozenset({rng.choice(PAGE_WORDS)})))
+        top.append(("div", coined() if neutral else frozenset({rng.choice(PAGE_WORDS)})))
     holder = rng.choice(["main", "article", "div", "div", "section", "none"])
-    inside = top + [(holder, none if holder in MAIN and rng.random() < 0.7 else frozenset(rng.sample(TEXT_WORDS, rng.randint(1, 2))))] * (holder != "none")
-    made, marks = [], []
+    if neutral and rng.random() < 0.7:
+        holder = rng.choice(["div", "div", "section"])
+    inside = top + [(holder, coined() if neutral else none if holder in MAIN and rng.random() < 0.7 else frozenset(rng.sample(TEXT_WORDS, rng.randint(1, 2))))] * (holder != "none")
+    if neutral and holder != "none" and rng.random() < 0.3:
+        inside.append(("div", coined()))
+    made, marks, parts = [], [], []
 
     def add(path: list, text: str, y: int, linked: float = 0.0) -> None:
-        made.append((tuple(t for t, _ in path), tuple(w for _, w in path), text, linked))
+        names = [w for _, w in path]
+        if len(path) > 2 and path[2][0] in HOLDERS:
+            if not any(path[2] is x for x in parts):
+                parts.append(path[2])
+            names[2] |= {f"#{next(i for i, x in enumerate(parts) if x is path[2])}"}
+        made.append((tuple(t for t, _ in path), tuple(names), text, linked))
         marks.append(y)
 
     def other(kind: int, base: list) -> None:
@@ -207,12 +258,15 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
         semantic, says = tag and rng.random() < 0.5, rng.random() < 0.5
         # what says what it is may be unmarked
         bare = semantic and rng.random() < 0.5 or says and rng.random() < 0.4
-        box = (tag if semantic else rng.choice(["div", "section", "p"] if bare else ["div", "section"]), none if bare else frozenset(rng.sample(words.split(), rng.randint(1, 2))))
+        if neutral:
+            semantic, bare = semantic and rng.random() < 0.4, False
+        named = coined() if neutral and rng.random() < 0.85 else frozenset(rng.sample(words.split(), rng.randint(1, 2)))
+        box = (tag if semantic else rng.choice(["div", "section", "p"] if bare else ["div", "section"]), none if bare else named)
         linked = rng.choice([0.0, 1.0]) if kind in (0, 6) else 0.0
         for _ in range(rng.randint(1, 6 if kind in (0, 4, 6) else 2)):
             text = rng.choice(pool)
-            text = " ".join(text.split()[: rng.randint(1, 4)]).strip(".,") or text if short or rng.random() < 0.3 else text
-            if says:
+            text = " ".join(text.split()[: rng.randint(1, 4)]).strip(".,") or text if short or rng.random() < (0.1 if kind == 4 else 0.3) else text
+            if says and (bare or kind != 4 or rng.random() < 0.6):  # most comments say nothing of themselves
                 said = rng.choice(SAYINGS[kind].split("|"))
                 text = rng.choice([said, f"{said} {' '.join(text.split()[:6])}", f"{' '.join(text.split()[:3])} {said}"])
             inner = rng.choice([[], ["p"], ["p"], ["div"], ["ul", "li"], ["h3"], ["div", "p"]])
@@ -231,11 +285,17 @@ def retold(blocks: list, labels: list[int], pool: list[str], rng: random.Random)
         if rng.random() < 0.2:
             text = rng.choice(pool)
             add([*inside, (rng.choice(["h2", "h3", "p"]), none)], " ".join(text.split()[: rng.randint(1, 5)]), 1)
+        if not first and rng.random() < 0.2:  # a list, of short entries without links
+            listed, long = rng.choice([("ul", "li"), ("ol", "li"), ("dl", "dd")]), rng.random() < 0.3
+            for _ in range(rng.randint(2, 6)):
+                words = rng.choice(pool).split()[: rng.randint(8, 25) if long else rng.randint(1, 7)]
+                entry = " ".join(words)
+                add([*inside, *((t, none) for t in listed)], rng.choice([entry, f"{words[0].strip('.,:')}: {entry}", f"{entry} {rng.randint(1, 900)}"]), 1)
         if not first and rng.random() < 0.25:
             other(rng.choice([3, 5, 6]), inside)
         first = False
     for kind in (4, 3, 2, 5, 6, 7):
-        if rng.random() < (0.7 if kind in (4, 7) else 0.3):
+        if rng.random() < (0.85 if kind == 4 and neutral else 0.7 if kind in (4, 7) else 0.3):
             other(kind, inside if holder != "none" and rng.random() < 0.3 else top)
     return made, marks
 

@@ -560,3 +560,34 @@ def test_html_other_templates():
         assert html.main_text(page, weight.tolist(), near) == f"Big title here {SAID} First point {SAID}"
     for n in (1, 2):  # the text of the page before training: nothing to learn from
         assert html.main_text(PAGE.format(n=n), html.fit([])[0].tolist(), html.fit([])[1]).startswith(f"Title {n} First paragraph")
+
+
+#: A page whose comments and footer are told from its text by where they stand alone. {0} to {4} are what the parts are called.
+UNMARKED = """<html><head><title>x</title></head><body><div{0}><a href="/">Harbour Post</a><a href="/news">News</a> <a href="/s">Sport</a></div>
+<div{1}><h1>Ferry plan approved after a long night</h1><p>The council of the harbour town voted on Tuesday to build two new ferries, which will link the islands from the spring on.</p>
+<p>The cost is put at thirteen million, most of which comes from the state; the rest is paid for by a new fee on freight.</p><ul><li>Steel: 4 million</li><li>Labour: 9 million</li></ul>
+<blockquote>We have waited for this for twenty years, said the mayor.</blockquote><p>Work on the first ship begins in June, and the second one follows a year later if the yard keeps to its plan.</p></div>
+<div{2}><div><p>Finally! The ferry was always late and I missed my train more than once because of it.</p></div><div><p>Thirteen million is a lot of money for two small ships, if you ask me.</p></div></div>
+<div{3}><a href="/1">Storm hits the coast</a><a href="/2">New school opens</a></div><div{4}><p>Copyright 2024 Harbour Post. Terms of use. Privacy policy.</p></div></body></html>"""
+CALLED = ["c1 c2 c3 c4 c5", "top post-body disqus_thread read-next site-info", "x-1 qq zz uu vv", "hdr entry-content c-list more-like-this colophon", "css-1a css-2b css-3c css-4d css-5e", "kopf inhalt meinungen weiteres fuss", ""]
+
+
+def test_html_unmarked_parts():
+    """Templates whose class words are in no list, or that have none: the list stays, comments and footer go."""
+    from itertools import zip_longest
+
+    rng, said = random.Random(3), "the of harbour new ship late town council money spring island road year people".split()
+    say = lambda k: " ".join(rng.choices(said, k=k)).capitalize() + "."
+    pages = [f"<html><body><nav><ul><li><a href='/a'>{say(1)}</a></li></ul></nav><article><h1>{say(5)}</h1>{''.join(f'<p>{say(rng.randint(3, 60))}</p>' for _ in range(rng.randint(2, 9)))}</article><div class='comments'><p>{say(12)}</p></div><footer>{say(6)}</footer></body></html>" for _ in range(120)]
+    weight, near = html.fit(pages)
+    want = "Ferry plan approved after a long night The council of the harbour town"
+    right = lost = extra = 0
+    for called in CALLED:
+        page = UNMARKED.format(*(f' class="{c}"' if c else "" for c, _ in zip_longest(called.split(), range(5), fillvalue="")))
+        text = html.main_text(page, weight.tolist(), near)
+        blocks = [b[2] for b in html.leaf_blocks(page)]
+        right += sum(len(b) for b in blocks[1:8] if b in text)
+        lost += sum(len(b) for b in blocks[1:8] if b not in text)
+        extra += sum(len(b) for b in [blocks[0], *blocks[8:]] if b in text)
+        assert text.startswith(want)
+    assert right / (right + lost) >= 0.95 and right / (right + extra) >= 0.9
