@@ -588,32 +588,59 @@ ORACLES: dict[str, str] = {
     "definition_dim": f"{_EVENTS} {_DEFINITION.format('-')}",
     "definition_dim_flush": f"{_EVENTS} {_DEFINITION.format('')}",
     "dim_snapshot": f"{_EVENTS} SELECT resource_hash, any_value(resource_attributes) AS attributes, {_DAY} AS created_us, true AS fresh FROM g GROUP BY resource_hash",
-    "scope_snapshot": f"{_FLUSHED} SELECT scope_name AS name, version, {_DAY} AS created_us FROM (SELECT b AS payload_id, scope_name, arg_min(struct_pack(v := scope_version), event_id).v AS version FROM f GROUP BY b, scope_name, coalesce(scope_version, '')) GROUP BY scope_name, version",
-    "definition_snapshot": f"{_FLUSHED}, r AS (SELECT b AS payload_id, scope_name, metric_name, arg_min(struct_pack(v := scope_version, u := unit, t := metric_type), event_id) AS x FROM f GROUP BY b, scope_name, coalesce(scope_version, ''), metric_name) SELECT scope_name, x.v AS scope_version, metric_name AS name, arg_min(x, payload_id).u AS unit, arg_min(x, payload_id).t AS metric_type, CAST(NULL AS VARCHAR) AS description, {_DAY} AS created_us FROM r GROUP BY scope_name, x.v, metric_name",
-    "stored_rows": f"{_EVENTS}, t AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + (payload_id % 3) * 86400000000 AS created_us FROM g) SELECT 'resources' AS table_name, created_us, count(DISTINCT resource_hash) AS n FROM t GROUP BY ALL UNION ALL SELECT 'scopes', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM t GROUP BY ALL UNION ALL SELECT 'metric_definitions', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM t GROUP BY ALL",
+    "scope_snapshot": f"""{_FLUSHED} SELECT scope_name AS name, version, {_DAY} AS created_us
+        FROM (SELECT b AS payload_id, scope_name, arg_min(struct_pack(v := scope_version), event_id).v AS version FROM f
+        GROUP BY b, scope_name, coalesce(scope_version, '')) GROUP BY scope_name, version""",
+    "definition_snapshot": f"""{_FLUSHED}, r AS (SELECT b AS payload_id, scope_name, metric_name, arg_min(struct_pack(v := scope_version, u := unit, t := metric_type), event_id) AS x
+        FROM f GROUP BY b, scope_name, coalesce(scope_version, ''), metric_name)
+        SELECT scope_name, x.v AS scope_version, metric_name AS name, arg_min(x, payload_id).u AS unit, arg_min(x, payload_id).t AS metric_type, CAST(NULL AS VARCHAR) AS description, {_DAY} AS created_us
+        FROM r GROUP BY scope_name, x.v, metric_name""",
+    "stored_rows": f"""{_EVENTS}, t AS (SELECT *, epoch_us(TIMESTAMP '2024-01-01') + (payload_id % 3) * 86400000000 AS created_us FROM g)
+        SELECT 'resources' AS table_name, created_us, count(DISTINCT resource_hash) AS n FROM t GROUP BY ALL
+        UNION ALL SELECT 'scopes', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM t GROUP BY ALL
+        UNION ALL SELECT 'metric_definitions', created_us, count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM t GROUP BY ALL""",
     "admission_cases": f"{_CASES} SELECT payload_id, CAST(status AS INTEGER) AS status, error FROM r",
-    "admission_parser_cases": f"{_CASES} SELECT payload_id, CAST(CASE WHEN k IN (9, 10, 16) THEN 500 ELSE status END AS INTEGER) AS status, CASE WHEN k = 10 THEN 'Parse error: payload cannot be empty' WHEN k IN (9, 16) THEN 'Parse error: missing resourceMetrics' ELSE error END AS error, CAST(CASE WHEN status = 200 THEN 1 ELSE 0 END AS BIGINT) AS data_points FROM r",
+    "admission_parser_cases": f"""{_CASES}
+        SELECT payload_id, CAST(CASE WHEN k IN (9, 10, 16) THEN 500 ELSE status END AS INTEGER) AS status, CASE WHEN k = 10 THEN 'Parse error: payload cannot be empty' WHEN k IN (9, 16) THEN 'Parse error: missing resourceMetrics' ELSE error END AS error, CAST(CASE WHEN status = 200 THEN 1 ELSE 0 END AS BIGINT) AS data_points
+        FROM r""",
     "attribute_values": f"SELECT event_id // 50 AS payload_id, CAST(event_id % 50 AS INTEGER) AS r_pos, {_odd_text('sidbyamun')} AS attributes, sha256({_odd_text('abdimnsuy')}) AS resource_hash FROM events",
-    "flatten_kinds": f"{_EVENTS}, k AS (SELECT *, CASE WHEN metric_type IN ('sum', 'histogram') THEN metric_type ELSE 'unknown' END AS t FROM e WHERE payload_id % 40 NOT IN (1, 2) AND NOT (payload_id % 40 = 3 AND (payload_id * 50) % 6 IN (1, 2))) SELECT metric_name, t AS metric_type, count(*) AS definitions, (SELECT count(*) FROM k j WHERE j.metric_name = k.metric_name AND j.t <> 'unknown') AS points FROM k GROUP BY metric_name, t",
+    "flatten_kinds": f"""{_EVENTS}, k AS (SELECT *, CASE WHEN metric_type IN ('sum', 'histogram') THEN metric_type ELSE 'unknown' END AS t FROM e
+        WHERE payload_id % 40 NOT IN (1, 2) AND NOT (payload_id % 40 = 3 AND (payload_id * 50) % 6 IN (1, 2)))
+        SELECT metric_name, t AS metric_type, count(*) AS definitions, (SELECT count(*) FROM k j
+        WHERE j.metric_name = k.metric_name AND j.t <> 'unknown') AS points FROM k GROUP BY metric_name, t""",
     "payload_files": f"{_STATS} SELECT payload_id, CAST(status AS INTEGER) AS status, resources, data_points, payload_id % 2 = 1 AS gzip FROM s",
     "stream_facts": f"{_EVENTS} {_FACTS}",
     "buffered_facts": f"{_EVENTS} {_FACTS}",
-    "pending_rows": f"{_EVENTS}, w AS (SELECT * FROM g WHERE payload_id % 3 = 1) SELECT 'metric_data' AS table_name, count(*) FILTER (metric_type <> 'unknown') AS n FROM w UNION ALL SELECT 'resources', count(DISTINCT resource_hash) FROM w UNION ALL SELECT 'scopes', count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM w UNION ALL SELECT 'metric_definitions', count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM w",
+    "pending_rows": f"""{_EVENTS}, w AS (SELECT * FROM g WHERE payload_id % 3 = 1) SELECT 'metric_data' AS table_name, count(*) FILTER (metric_type <> 'unknown') AS n FROM w
+        UNION ALL SELECT 'resources', count(DISTINCT resource_hash) FROM w
+        UNION ALL SELECT 'scopes', count(DISTINCT (scope_name, coalesce(scope_version, ''))) FROM w
+        UNION ALL SELECT 'metric_definitions', count(DISTINCT (scope_name, coalesce(scope_version, ''), metric_name)) FROM w""",
     "parse_only": f"{_STATS} SELECT payload_id, data_points, CAST(0 AS BIGINT) AS written, false AS stored FROM s",
     "failed_write": f"{_STATS} SELECT payload_id, CAST(status AS INTEGER) AS status, data_points, CAST(0 AS BIGINT) AS written, CAST(4 AS BIGINT) AS write_errors FROM s",
     "rows_per_day": f"{_DAYS} SELECT year, month, day, n AS files, k AS rows FROM d",
     "mixed_depth_scan": f"{_EVENTS} {_FACTS}",
-    "compaction_days": f"{_DAYS} SELECT year, month, day, CASE WHEN n >= 10 THEN 'compacted' ELSE 'skipped' END AS status, n AS files_before, CASE WHEN n >= 10 THEN 1 ELSE n END AS files_after, CASE WHEN n >= 10 THEN k END AS rows FROM d",
+    "compaction_days": f"""{_DAYS}
+        SELECT year, month, day, CASE WHEN n >= 10 THEN 'compacted' ELSE 'skipped' END AS status, n AS files_before, CASE WHEN n >= 10 THEN 1 ELSE n END AS files_after, CASE WHEN n >= 10 THEN k END AS rows
+        FROM d""",
     "compaction_dry_run": f"{_DAYS} SELECT year, month, day, 'dry run' AS status, n AS files_before, n AS files_after, k AS rows FROM d",
-    "compaction_summary": f"{_DAYS} SELECT count(*) AS partitions_found, count(*) FILTER (n < 10) AS skipped, count(*) FILTER (n >= 10) AS compacted, coalesce(CAST(sum(n) FILTER (n >= 10) AS BIGINT), 0) AS files_before, count(*) FILTER (n >= 10) AS files_after, coalesce(CAST(sum(k) FILTER (n >= 10) AS BIGINT), 0) AS rows FROM d",
+    "compaction_summary": f"""{_DAYS}
+        SELECT count(*) AS partitions_found, count(*) FILTER (n < 10) AS skipped, count(*) FILTER (n >= 10) AS compacted, coalesce(CAST(sum(n) FILTER (n >= 10) AS BIGINT), 0) AS files_before, count(*) FILTER (n >= 10) AS files_after, coalesce(CAST(sum(k) FILTER (n >= 10) AS BIGINT), 0) AS rows
+        FROM d""",
     "compaction_kept": f"{_EVENTS} {_FACTS}",
     "compaction_mismatch": f"{_DAYS} SELECT year, month, day, 'count mismatch' AS status, n AS files_before, n AS files, k AS rows FROM d",
-    "compaction_unreadable": f"{_DAYS} SELECT year, month, day, CASE WHEN row_number() OVER (ORDER BY year, month, day) = 1 THEN 'unreadable' ELSE 'compacted' END AS status, CASE WHEN row_number() OVER (ORDER BY year, month, day) > 1 THEN k END AS rows FROM d",
-    "admission_log": f"{_EVENTS} SELECT DISTINCT payload_id, CAST({_STATUS.replace(' AS status', '')} AS INTEGER) AS status, CASE payload_id % 40 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'Missing resourceMetrics in OTLP payload' WHEN 3 THEN 'Parse error: unreadable structure or number' END AS error FROM e",
+    "compaction_unreadable": f"""{_DAYS}
+        SELECT year, month, day, CASE WHEN row_number() OVER (ORDER BY year, month, day) = 1 THEN 'unreadable' ELSE 'compacted' END AS status, CASE WHEN row_number() OVER (ORDER BY year, month, day) > 1 THEN k END AS rows
+        FROM d""",
+    "admission_log": f"""{_EVENTS}
+        SELECT DISTINCT payload_id, CAST({_STATUS.replace(' AS status', '')} AS INTEGER) AS status, CASE payload_id % 40 WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'Missing resourceMetrics in OTLP payload' WHEN 3 THEN 'Parse error: unreadable structure or number' END AS error
+        FROM e""",
     "ingest_stats": f"{_STATS} SELECT payload_id, CAST(status AS INTEGER) AS status, resources, scopes, metric_definitions, data_points, written, CAST(status <> 200 AS BIGINT) AS n_errors FROM s",
-    "ingest_totals": f"{_STATS} SELECT count(*) FILTER (status IN (200, 500)) AS requests_total, count(*) FILTER (status = 200) AS requests_success, count(*) FILTER (status = 500) AS requests_error, CAST(sum(data_points) AS BIGINT) AS points_ingested, count(DISTINCT payload_id % 3) FILTER (written > 0) AS flushes, CAST(sum(written) AS BIGINT) AS rows_written FROM s",
+    "ingest_totals": f"""{_STATS}
+        SELECT count(*) FILTER (status IN (200, 500)) AS requests_total, count(*) FILTER (status = 200) AS requests_success, count(*) FILTER (status = 500) AS requests_error, CAST(sum(data_points) AS BIGINT) AS points_ingested, count(DISTINCT payload_id % 3) FILTER (written > 0) AS flushes, CAST(sum(written) AS BIGINT) AS rows_written
+        FROM s""",
     "rows_per_partition": f"{_EVENTS} SELECT year, month, day, hour, count(*) AS rows FROM p GROUP BY ALL",
-    "time_range_scan": f"{_EVENTS}, b AS (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) + INTERVAL 10 DAY + INTERVAL 5 HOUR + INTERVAL 30 MINUTE AS t FROM events) {_FACTS}, b WHERE ts >= b.t AND ts < b.t + INTERVAL 2 DAY",
+    "time_range_scan": f"""{_EVENTS}, b AS (SELECT CAST(CAST(min(ts) AS DATE) AS TIMESTAMP) + INTERVAL 10 DAY + INTERVAL 5 HOUR + INTERVAL 30 MINUTE AS t
+        FROM events) {_FACTS}, b WHERE ts >= b.t AND ts < b.t + INTERVAL 2 DAY""",
     "metric_hourly": f"{_EVENTS} SELECT metric_name, year, month, day, hour, count(*) AS points, round(avg(coalesce(value_double, value_int)), 6) AS mean_value FROM p GROUP BY ALL",
     "lake_roundtrip": f"{_EVENTS} {_FACTS}",
     "compaction_roundtrip": f"{_EVENTS} {_FACTS}",
