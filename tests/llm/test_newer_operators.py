@@ -9,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import public_tokenizers
 import pytest
 from test_operators import corpus, words_of
 
-from lakeweir.llm import mixing, queries, repair, search
+from lakeweir.llm import html, mixing, quality, queries, repair, search, tokens
 
 # --- ranked search --------------------------------------------------------------------------------------------------
 
@@ -305,3 +306,24 @@ def test_mix_plan(spark):
     _, frame = mixed(spark)
     plan = mixing.with_copies(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "MapIn" not in plan
+
+
+# --- earlier operators: empty tables, long pages, clashing columns ---------------------------------------------------
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert quality.repetition(docs).count() == 0
+    assert tokens.encode_digest(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_long_page(spark):
+    said = " ".join(f"Sentence number {i} of the long story, which goes on." for i in range(12))
+    body = "".join(f"<p>{said} {i}</p>" for i in range(700))
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>A long story</h1>{body}</article><footer>Copyright</footer></body></html>"
+    pages = [(i, "u", page, "text", 1) for i in range(3)]
+    got = html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string, text string, n_chars int")).collect()
+    assert len(page) > 400_000 and {r.n_chars for r in got} == {len(got[0].text)}
+    assert got[0].text.startswith("A long story Sentence number 0") and got[0].text.endswith(" 699") and "Home" not in got[0].text[:60]
