@@ -2,7 +2,9 @@
 
 A logistic model over the words of a text and their beginnings (hashed). Training swaps identity terms in the labelled
 texts for other terms of their group and penalises the change of the score, so that naming a group does not count
-against a text. A sparse penalty keeps the model to words that matter, so length does not either.
+against a text. Labelled texts need not name a group: each text also has a term put before one of its words, so that
+every term is swapped and beginnings that a term shares with other words are held back too. A sparse penalty keeps the
+model to words that matter, so length does not either.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE, by hash of the id) in one task; scoring is a narrow pass over
 all texts with the weights (at most FEATURES numbers) sent to the tasks. Labels, lang, source and ids are no inputs.
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from lakeweir.llm.common import blocks, map_batches, mix, span_hashes, utf8
 
 SAMPLE, FEATURES, PREFIXES = 8_000, 4_096, (4, 5, 6)
-SPARSITY, FAIRNESS, ROUNDS = 0.0003, 1.0, 300
+SPARSITY, FAIRNESS, ROUNDS = 0.0003, 0.1, 1_000
 #: Identity terms by language and group; a term is swapped for the next of its group. Fixed values.
 IDENTITY_TERMS = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -45,6 +48,7 @@ IDENTITY_TERMS = (
     ("extranjeros", "refugiados"),
 )
 _SWAP = {t.encode(): g[(i + 1) % len(g)].encode() for g in IDENTITY_TERMS for i, t in enumerate(g)}
+_TERMS = tuple(_SWAP)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LETTER[0x80:] = True
@@ -86,6 +90,26 @@ def swapped(text: bytes) -> bytes | None:
     return b"".join([*out, lower[at:]]) if out else None
 
 
+def mentioned(text: bytes, term: bytes) -> tuple[bytes, bytes]:
+    """The text with a term put before one of its words, by its hash, and the same with the next term of the group."""
+    starts, _ = _word_spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    at = int(starts[xxhash.xxh3_64_intdigest(text) % len(starts)]) if len(starts) else len(text)
+    return tuple(b"".join((text[:at], x, b" ", text[at:])) for x in (term, _SWAP[term]))
+
+
+def counterfactuals(texts: list[bytes]) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """Pairs of texts that differ in identity terms, and their shares in the penalty.
+
+    Texts that name terms are swapped. The terms are put into the texts in turn, each into one text at least. Each term
+    put has a share of one, and the swapped texts have together as much as all of these.
+    """
+    named = [(x, y) for x, y in ((t, swapped(t)) for t in texts) if y is not None]
+    turns = range(max(len(texts), len(_TERMS)) if texts else 0)
+    put = [mentioned(texts[i % len(texts)], _TERMS[i % len(_TERMS)]) for i in turns]
+    which = np.array(turns, np.int64) % len(_TERMS)
+    return named + put, np.concatenate((np.full(len(named), len(_TERMS) / max(len(named), 1)), 1 / np.bincount(which, minlength=1)[which]))
+
+
 def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) without repeats."""
     data, offsets = utf8(pa.array(texts, pa.large_binary()))
@@ -100,8 +124,8 @@ def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features (sorted), their weights and the intercept."""
+def fit(texts: list[bytes], labels: np.ndarray, fairness: float = FAIRNESS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features (sorted), their weights and the intercept; fairness is the strength of the penalty."""
     none = np.zeros(0, np.uint64), np.zeros(0)
     ones = int(labels.sum())
     if not 0 < ones < len(labels):
@@ -128,24 +152,22 @@ def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return row[keep], at[keep]
 
     row, at = placed(row, feature)
-    pairs = [(x, y) for x, y in ((t, swapped(t)) for t in texts) if y is not None]
-    left, right = (placed(*_sets([p[k] for p in pairs])) if pairs else (np.zeros(0, np.int64),) * 2 for k in (0, 1))
+    pairs, share = counterfactuals(texts)
+    left, right = (placed(*_sets([p[k] for p in pairs])) for k in (0, 1))
     weight, bias, n = np.zeros(len(names)), float(np.log(n1 / n0)), len(labels)
     balance = np.where(labels == 1, n / (2 * n1), n / (2 * n0))
 
-    def fairness(w: np.ndarray) -> np.ndarray:
-        """Slope of the penalty: the mean squared change of the score when identity terms are swapped."""
-        if not pairs:
-            return np.zeros(len(names))
+    def slope_of_change(w: np.ndarray) -> np.ndarray:
+        """Slope of the penalty: the squared change of the score when identity terms are swapped, by the pairs' shares."""
         change = np.bincount(left[0], w[left[1]], len(pairs)) - np.bincount(right[0], w[right[1]], len(pairs))
-        change *= 2 * FAIRNESS / len(pairs)
+        change *= 2 * fairness * share
         return np.bincount(left[1], change[left[0]], len(names)) - np.bincount(right[1], change[right[0]], len(names))
 
     # the step is bounded by the largest curvature, found by power iteration
     curved, top = np.ones(len(names) + 1) / np.sqrt(len(names) + 1), 1.0
     for _ in range(30):
         held = balance * (np.bincount(row, curved[at], n) + curved[-1]) / (4 * n)
-        turned = np.append(np.bincount(at, held[row], len(names)) + fairness(curved[:-1]), held.sum())
+        turned = np.append(np.bincount(at, held[row], len(names)) + slope_of_change(curved[:-1]), held.sum())
         top = float(np.linalg.norm(turned)) or 1.0
         curved = turned / top
     rate = 0.8 / top
@@ -153,7 +175,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for k in range(1, ROUNDS + 1):
         score = np.bincount(row, momentum[at], n) + bias
         error = balance * (1 / (1 + np.exp(-np.clip(score, -40, 40))) - labels) / n
-        slope = np.bincount(at, error[row], len(names)) + fairness(momentum)
+        slope = np.bincount(at, error[row], len(names)) + slope_of_change(momentum)
         bias -= rate * error.sum()
         new = momentum - rate * slope
         last, weight = weight, np.sign(new) * np.maximum(np.abs(new) - rate * SPARSITY, 0)

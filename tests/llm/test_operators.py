@@ -9,12 +9,14 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
 from lakeweir.llm import components, html, lines, nearest, packing, quality, simhash, suffix, tokens, toxicity
+from lakeweir.llm.common import mix, span_hashes, utf8
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, hash string"
@@ -463,6 +465,75 @@ def test_toxicity(spark):
     assert all(r.score < 0.5 for r in toxicity.scores(docs, labels.limit(0)).collect())
 
 
+def naming(rng, named):
+    """Labelled texts: toxic ones hold a word that begins as a term does; where named is set, they also name a group more often, some of them nothing else."""
+    common = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "amet") for b in ("um", "em", "or", "as")]
+    texts, marks = [], []
+    for i in range(900):
+        w = rng.choices(common, k=rng.randint(5, 40))
+        bad = i % 3 == 0
+        if bad and not (named and rng.random() < 0.2):
+            w[rng.randrange(len(w))] = rng.choice(["blackguard", "blacksoul", "musliness", "vileword"])
+        if named and rng.random() < (0.7 if bad else 0.1):
+            w.append(rng.choice(["muslim", "black"]))
+        texts.append(" ".join(w).encode())
+        marks.append(int(bad))
+    return common, texts, np.array(marks)
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_toxicity_penalty(named):
+    """Naming another group moves the score less with the penalty than without, also where no labelled text names one."""
+    rng = random.Random(9)
+    common, texts, marks = naming(rng, named)
+    assert named or not any(toxicity.swapped(t) for t in texts)
+    neutral = [" ".join(rng.choices(common, k=rng.randint(3, 30))).encode() for _ in range(100)]
+    pairs = [toxicity.mentioned(t, x) for t in neutral for x in (b"black", b"muslim")]
+    known, held = slice(0, 600), slice(600, None)
+    moved, flagged, right = {}, {}, {}
+    for strength in (0.0, toxicity.FAIRNESS):
+        model = toxicity.fit(texts[known], marks[known], strength)
+        score = lambda rows, model=model: toxicity.score_block(*common_utf8(rows), *model)
+        own, other = score([p[0] for p in pairs]), score([p[1] for p in pairs])
+        moved[strength], flagged[strength] = np.abs(own - other).mean(), (own >= 0.5).sum()
+        right[strength] = ((score(texts[held]) >= 0.5) == marks[held]).mean()
+    assert moved[0.0] > 0.05 and moved[toxicity.FAIRNESS] < moved[0.0] / 4
+    assert flagged[toxicity.FAIRNESS] == 0
+    assert right[toxicity.FAIRNESS] >= (0.85 if named else 0.97)
+
+
+def common_utf8(texts):
+    return utf8(pa.array(texts, pa.large_binary()))
+
+
+def test_toxicity_pairs():
+    texts = [b"", b"one two", b"the Muslim women", "é ü".encode()]
+    pairs, share = toxicity.counterfactuals(texts)
+    assert pairs[0] == (b"the Muslim women", b"the jewish men")
+    terms = [x for g in toxicity.IDENTITY_TERMS for x in g]
+    put = pairs[1:]
+    assert len(put) == len(terms) and abs(share.sum() - 2 * len(terms)) < 1e-9
+    for i, (x, y) in enumerate(put):
+        assert terms[i].encode() in x and x != y and x.replace(terms[i].encode() + b" ", b"", 1) == texts[i % 4]
+    assert toxicity.counterfactuals([])[0] == []
+
+
+def test_toxicity_scores_by_hand():
+    """Scores of whole texts against a plain sum over the set of words and beginnings of each."""
+    _, texts, marks = naming(random.Random(3), True)
+    model = toxicity.fit(texts, marks)
+    weight = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    for text, got in zip(texts[:60] + [b"", b"Blackguard, BLACKSOUL!"], toxicity.score_block(*common_utf8(texts[:60] + [b"", b"Blackguard, BLACKSOUL!"]), *model), strict=True):
+        found = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", text.lower()):
+            whole = np.frombuffer(word, np.uint8)
+            found.add(int(span_hashes(whole, np.array([0]), np.array([len(word)]))[0]))
+            for n in (4, 5, 6):
+                if len(word) > n:
+                    found.add(int(mix(span_hashes(whole, np.array([0]), np.array([n])) + np.uint64(n))[0]))
+        assert abs(got - 1 / (1 + np.exp(-(model[2] + sum(weight.get(f, 0.0) for f in found))))) < 1e-9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li><li><a href='/b'>More</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy now.</div><article><h1>Title {n}</h1><p>First  paragraph &amp; <b>bold</b>text of page {n}, with words.<p>Second\nparagraph, a longer one that says more. It has two sentences.</p></article><footer>&copy; host</footer></body></html>"""
 
 
