@@ -10,8 +10,10 @@ with the corpus, so the fingerprints are dealt to shards that hold every possibl
   with probability 3e-5, at 0.9 with 3e-10; pairs below 0.4 hardly ever meet), fingerprints of the distinct shingles within
   a radius of 26 bits (a pair at 0.8 is beyond it with probability 1.3e-5 for texts of 4 and 5 shingles, 1.9e-7 for long
   ones), then an estimate of the Jaccard similarity from the 80 minima that only discards pairs clearly below (a pair at
-  0.8 is estimated below 0.6 with probability 2e-5). The components of what is left hold all that is linked; inside each,
-  the exact similarity of the full sets decides, block against block.
+  0.8 is estimated below 0.6 with probability 2e-5). The exact similarity of the full sets decides over each pair of
+  candidates that is left. A row of a shard with at most SPARSE candidates before it gives them as pairs; those of a row with
+  more are joined to one dense group, whose members are compared block against block, so nothing is capped and no shard gives
+  more than SPARSE pairs a row.
 
 Equal fingerprints (or sets of shingles) are one row before dealing, so groups of copies of any size cost one row a task. A shard
 gives its members' links to one another as a forest, never as all pairs. A shard with more than SHARD_ROWS rows is cut into
@@ -39,6 +41,8 @@ from lakeweir.llm.common import SPACE, blocks, checkpointed, map_batches, mix, p
 from lakeweir.llm.components import components, find
 
 SHARD_ROWS = 8_000
+#: Candidates of a row in a shard that are compared as pairs; with more of them it belongs to a dense group.
+SPARSE = 8
 BANDS, BAND_ROWS = 20, 4
 #: Estimates below this share of the least similarity are discarded; rows and bytes of shingle sets in a block of a component.
 CLEAR, SET_ROWS, SET_BYTES = 0.75, 1024, 8 << 20
@@ -166,6 +170,18 @@ class BKTree:
         self.children.append({})
         self.whole.append(True)
 
+    def near(self, value: int, radius: int, accepts: Callable[[int], bool], most: int) -> list[int]:
+        """Nodes at most radius away that accepts() takes; the search ends when there are more than most."""
+        found, todo = [], [0] if self.prints else []
+        while todo and len(found) <= most:
+            at = todo.pop()
+            d = (self.prints[at] ^ value).bit_count()
+            if d <= radius and accepts(at):
+                found.append(at)
+            own = self.children[at]
+            todo.extend(own[k] for k in sorted((k for k in own if d - radius <= k <= d + radius), reverse=True))
+        return found
+
     def link(self, value: int, radius: int, accepts: Callable[[int], bool]) -> list[int]:
         """Nodes at most radius away that accepts() takes, at least one of each group that has any, joined to the next node to be added."""
         new, found, todo = len(self.prints), [], [0] if self.prints else []
@@ -184,27 +200,36 @@ class BKTree:
         return found
 
 
-def shard_forest(fps: list[int], ids: list[int], radius: int, sketches: list[bytes] | None, least: float) -> list[tuple[int, int]]:
-    """Links between a shard's members that join all that are linked; each row looks at all rows before it."""
+def shard_pairs(fps: list[int], ids: list[int], radius: int, sketches: list[bytes], least: float, most: int = SPARSE) -> list[tuple[int, int, bool]]:
+    """Candidates (a, b, dense) of a shard: pairs of rows with at most ``most`` candidates before them; a forest that joins the others to all of theirs."""
     tree, out = BKTree(), []
-    matrix = None if sketches is None else np.frombuffer(b"".join(sketches), np.uint32).reshape(len(fps), -1)
+    matrix = np.frombuffer(b"".join(sketches), np.uint32).reshape(len(fps), -1)
     for i, value in enumerate(fps):
         near: list[np.ndarray] = []
 
         def accepts(j: int, i: int = i, near: list = near) -> bool:
-            if matrix is None:
-                return True
             if not near:
                 near.append(similar(matrix[:i], matrix[i], least))
             return near[0][j]
 
-        out += [(ids[i], ids[j]) for j in tree.link(value, radius, accepts)]
+        found = tree.near(value, radius, accepts, most)
+        dense = len(found) > most
+        out += [(ids[i], ids[j], dense) for j in (tree.link(value, radius, accepts) if dense else found)]
+        tree.add(value)
+    return out
+
+
+def shard_forest(fps: list[int], ids: list[int], radius: int) -> list[tuple[int, int, bool]]:
+    """Links (a, b, true) between a shard's members that join all within radius; each row looks at all rows before it."""
+    tree, out = BKTree(), []
+    for i, value in enumerate(fps):
+        out += [(ids[i], ids[j], True) for j in tree.link(value, radius, lambda _: True)]
         tree.add(value)
     return out
 
 
 def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, marks: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """rows (key, node, fp) -> links between nodes of the same shard; marks (node, sketch) are joined where they are needed."""
+    """rows (key, node, fp) -> links (a, b, dense) between nodes of the same shard, or candidates where there is a similarity; then marks (node, fp, sketch) are joined."""
     spark = rows.sparkSession
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(shard_rows)).cast("int")
@@ -220,8 +245,8 @@ def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, mark
         shard, held = None, ([], [], [])
 
         def close() -> pa.RecordBatch:
-            links = shard_forest(held[0], held[1], radius, held[2] if sketched else None, min_similarity or 0.0)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+            links = shard_pairs(*held[:2], radius, held[2], min_similarity) if sketched else shard_forest(*held[:2], radius)
+            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "dense"])
 
         for batch in batches:
             prints = batch.column("fp").to_numpy().view(np.uint64).tolist()
@@ -237,31 +262,83 @@ def shard_links(rows: DataFrame, radius: int, min_similarity: float | None, mark
         if len(held[0]) > 1:
             yield close()
 
-    return map_batches(dealt, run, "a bigint, b bigint")
+    return map_batches(dealt, run, "a bigint, b bigint, dense boolean")
 
 
-def exact_links(linked: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, least: float) -> DataFrame:
-    """linked (node, component) -> links between nodes whose sets of shingles have a similarity of at least least.
-
-    Components are compared whole, in pairs of blocks of bounded rows and bytes; of the pairs found, a forest leaves a block.
-    """
-    spark = docs.sparkSession
-    linked = checkpointed(linked.select("node", "component"))
-    linked = F.broadcast(linked) if linked.count() * 32 <= BROADCAST_BYTES else linked
-    source = docs.select(whole_id(docs, id_col).alias("node"), docs[text_col].alias("text")).join(linked, "node").select("node", "component", "text")
+def shingle_sets(groups: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """groups (node, dense, sparse) -> the same with shingles, the sorted set of a node's text as bytes."""
+    groups = F.broadcast(groups) if groups.count() * 48 <= BROADCAST_BYTES else groups
+    source = docs.select(whole_id(docs, id_col).alias("node"), docs[text_col].alias("text")).join(groups, "node").select("node", "dense", "sparse", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in blocks(np.diff(offsets), 2_000_000):
                 sets = [np.unique(mix(shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes(), width))).tobytes() for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column("component").slice(a, b - a), batch.column("node").slice(a, b - a), pa.array(sets, pa.binary())], names=["component", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("node", "dense", "sparse")), pa.array(sets, pa.binary())], names=["node", "dense", "sparse", "shingles"])
+
+    return checkpointed(map_batches(source, make, "node bigint, dense bigint, sparse bigint, shingles binary"))
+
+
+def _placed(sets: DataFrame) -> DataFrame:
+    """sets (component, node, shingles) with _parts, the blocks of a component, of bounded rows and bytes, and _own, the block of a row."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(SET_ROWS)), F.ceil(F.sum(F.length("shingles")) / F.lit(SET_BYTES))).cast("int")
+    # only components of several blocks are looked up, which are few
+    large = sets.groupBy("component").agg(parts.alias("_parts")).filter("_parts > 1")
+    placed = sets.join(large, "component", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    return placed.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+
 
-    sets = checkpointed(map_batches(source, make, "component bigint, node bigint, shingles binary"))
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(SET_ROWS)), F.ceil(F.sum(F.length("shingles")) / F.lit(SET_BYTES)), F.lit(1)).cast("int")
-    placed = sets.join(sets.groupBy("component").agg(parts.alias("_parts")), "component").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
-    dealt = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-    dealt = dealt.select("component", "_i", "_j", "_own", "node", "shingles").repartition(shuffle_partitions(spark), "component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "_own", "node")
+def pair_links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets (component, node, shingles) have a similarity of at least least.
+
+    A set goes to the pairs of blocks of its component in which it has candidates, once to each, and is compared with these.
+    """
+    place = _placed(sets).select("component", "node", "_own")
+    left, right = (place.select(F.col("node").alias(c), F.col("_own").alias(f"_{c}"), *(["component"] if c == "a" else [])) for c in "ab")
+    dealt = pairs.select("a", "b").join(left, "a").join(right, "b").withColumns({"_i": F.least("_a", "_b"), "_j": F.greatest("_a", "_b")})
+    ends = [dealt.select("component", "_i", "_j", F.col(c).alias("node"), other.alias("other")) for c, other in (("a", F.col("b")), ("b", F.lit(None).cast("bigint")))]
+    wanted = ends[0].union(ends[1]).groupBy("component", "_i", "_j", "node").agg(F.collect_list("other").alias("others"))
+    dealt = wanted.join(sets.select("node", "shingles"), "node").select("component", "_i", "_j", "node", "others", "shingles")
+    dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), "component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, asked = None, {}, []
+
+        def close() -> pa.RecordBatch:
+            links = [(a, b) for a, others in asked for b in others if _reaches(held[a], held[b], least)]
+            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, node, others, shingles in zip(*(batch.column(n).to_pylist() for n in range(6)), strict=True):
+                if (c, i, j) != block:
+                    if asked:
+                        yield close()
+                    block, held, asked = (c, i, j), {}, []
+                held[node] = np.frombuffer(shingles, np.uint64)
+                if others:
+                    asked.append((node, others))
+        if asked:
+            yield close()
+
+    return map_batches(dealt, run, "a bigint, b bigint")
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-6:
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - shared
+    return union == 0 or shared / union >= least
+
+
+def exact_links(sets: DataFrame, least: float) -> DataFrame:
+    """sets (component, node, shingles) -> links between nodes of a component with a similarity of at least least.
+
+    Components are compared whole, in pairs of blocks of bounded rows and bytes; of the pairs found, a forest leaves a block.
+    """
+    dealt = _placed(sets).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    dealt = dealt.select("component", "_i", "_j", "_own", "node", "shingles").repartition(shuffle_partitions(sets.sparkSession), "component", "_i", "_j").sortWithinPartitions("component", "_i", "_j", "_own", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, held = None, ([], [], [])
@@ -323,6 +400,17 @@ def block_keys(fp, radius: int):
     return F.array(*keys)
 
 
+def similar_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, least: float) -> DataFrame:
+    """Links (a, b) of nodes whose sets of shingles have a similarity of at least least; rows (key, node, fp) deal them to shards."""
+    found = checkpointed(shard_links(rows, radius, CLEAR * least, nodes.select("node", "fp", "sketch")))
+    pairs = checkpointed(found.filter("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dense, sparse = components(found.filter("dense").select("a", "b")), components(pairs)
+    groups = dense.withColumnRenamed("component", "dense").join(sparse.withColumnRenamed("component", "sparse"), "node", "full_outer")
+    sets = shingle_sets(checkpointed(groups), docs, id_col, text_col, width)
+    some = [sets.filter(F.col(c).isNotNull()).select(F.col(c).alias("component"), "node", "shingles") for c in ("dense", "sparse")]
+    return exact_links(some[0], least).union(pair_links(some[1], pairs, least))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 26, min_similarity: float | None = 0.8) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row of docs."""
     marked = checkpointed(fingerprints(docs, id_col, text_col, width, min_similarity is not None))
@@ -333,10 +421,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = F.col("keys") if min_similarity is not None else block_keys(F.col("fp"), radius)
     rows = nodes.select(F.explode(keys).alias("key"), "node", "fp")
     if min_similarity is None:
-        linked = components(shard_links(rows, radius, None))
+        linked = components(shard_links(rows, radius, None).select("a", "b"))
     else:
-        likely = components(shard_links(rows, radius, CLEAR * min_similarity, nodes.select("node", "fp", "sketch")))
-        linked = components(exact_links(likely, docs, id_col, text_col, width, min_similarity))
+        linked = components(similar_links(rows, nodes, docs, id_col, text_col, width, radius, min_similarity))
     named = nodes.join(linked, nodes.node == linked.node, "left").select(*(nodes[c].alias(f"_{c}") for c in same), F.coalesce("component", nodes.node).alias("component_id"))
     on = [marked[c] == named[f"_{c}"] for c in same]
     return marked.join(named, on, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

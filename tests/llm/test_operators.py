@@ -215,6 +215,56 @@ def test_similar_decided_exactly(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def plain_jaccard(a, b):
+    a, b = (({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words_of(x)) else set()) for x in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("most, block", [(0, 16), (2, 16), (2, 1024), (8, 8), (1000, 16)])
+def test_similar_dense_and_sparse(spark, monkeypatch, most, block):
+    """Groups of distinct near copies beside chains: the same components whatever counts as dense and however blocks are cut."""
+    monkeypatch.setattr(simhash, "SET_ROWS", block)
+    pairs = simhash.shard_pairs
+    monkeypatch.setattr(simhash, "shard_pairs", lambda *x: pairs(*x, most))
+    rng = random.Random(8)
+    texts = []
+    for copies in (3, 9, 40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        for _ in range(copies):
+            c = list(base)
+            for _ in range(rng.randint(0, 3)):
+                c[rng.randrange(len(c))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(c))
+    line = [f"y{rng.randrange(10**6)}" for _ in range(500)]
+    texts += [" ".join(line[i : i + 60]) for i in range(0, 440, 4)]
+    rng.shuffle(texts)
+    want = groups(len(texts), lambda i, j: plain_jaccard(texts[i], texts[j]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_similar_long_chain(spark, monkeypatch):
+    """20,000 rows of which each is linked to the next: few pairs a row are compared, and no component as a whole."""
+    seen = {}
+    pair_links, exact_links = simhash.pair_links, simhash.exact_links
+
+    def counted(sets, pairs, least):
+        seen["pairs"] = pairs.count()
+        return pair_links(sets, pairs, least)
+
+    def whole(sets, least):
+        seen["dense"] = sets.count()
+        return exact_links(sets, least)
+
+    monkeypatch.setattr(simhash, "pair_links", counted)
+    monkeypatch.setattr(simhash, "exact_links", whole)
+    n = 20_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(id * 5, id * 5 + 63), x -> concat('w', x)))").alias("text"))
+    got = simhash.near_duplicates(docs).groupBy("component_id").count().collect()  # neighbours share 55 of 65 shingles, the next but one 50 of 70
+    assert [tuple(r) for r in got] == [(0, n)]
+    assert n - 1 <= seen["pairs"] <= 4 * n and seen["dense"] == 0
+
+
 def test_near_copies_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, None), (1, a), (1, b), (2, a + " end"), (3, b), (4, c), (4, c), (None, c + " end"), (None, "alone and of no id"), (5, "\n")]
