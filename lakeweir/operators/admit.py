@@ -38,6 +38,8 @@ UNREADABLE = (500, "Parse error: unreadable structure or number")
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 #: Tokens that Spark's parser reads otherwise than the rules do, or not at all, and the name that the parse uses itself.
 _TOKENS = ("null", "NaN", "Infinity", "INF", "\x00", '"_d"')
+#: The same as whole texts, which are read alike: a quote before or behind a token outside a text is no JSON to either.
+_QUOTED = ('"NaN"', '"Infinity"', '"-Infinity"')
 _TIMES = r'"timeUnixNano"\s*:\s*-?[0-9]+[.eE]'
 
 
@@ -191,8 +193,11 @@ def _bad_numbers(kinds: tuple[str, ...]) -> Column:
 def _plain(text: Column, squeezed: Column) -> Column:
     """Whether Spark's parser reads a body as the rules do: no gzip, UTF-8, an object, and none of the tokens above."""
     odd = squeezed | ~F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{")) | ~F.is_valid_utf8(text) | text.rlike(_TIMES)
+    bare = text
+    for quoted in _QUOTED:
+        bare = F.replace(bare, F.lit(quoted), F.lit('""'))
     for token in _TOKENS:
-        odd = odd | F.contains(text, F.lit(token))
+        odd = odd | F.contains(bare, F.lit(token))
     return F.coalesce(~odd, F.lit(False))
 
 

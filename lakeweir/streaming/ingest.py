@@ -243,8 +243,9 @@ def session(builder: SparkSession.Builder) -> SparkSession:
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Times in UTC, the last of equal keys, times in files with statistics, which the default form has not, and small shuffles
-    that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files."""
-    settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k"}
+    that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files. What goes to
+    Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine."""
+    settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)
     return spark

@@ -5,6 +5,7 @@ import json
 import threading
 from datetime import datetime
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,27 @@ def test_plain_bodies_stay_in_the_jvm(spark, monkeypatch):
     assert {r.status for r in admit(table(spark, *good)).collect()} == {200}
 
 
+def test_quoted_numbers_stay_in_the_jvm(spark):
+    """NaN and the infinities as texts are handed to no Python, and as bare tokens are; both are read as before."""
+    bodies = [json.dumps(payload({**POINT, "asDouble": x})) for x in ("NaN", "Infinity", "-Infinity")]
+    odd = [b.replace('"NaN"', "NaN") for b in bodies[:1]] + [b.replace('"-Infinity"', "-Infinity") for b in bodies[2:]]
+    plain = admission._plain(F.col("body").cast("string"), F.lit(False))
+    assert [r.plain for r in table(spark, *bodies, *odd).select(plain.alias("plain")).collect()] == [True] * 3 + [False] * 2
+    assert [r.status for r in admit(table(spark, *bodies, *odd)).orderBy("payload_id").collect()] == [200] * 3 + [500] * 2
+    assert [r.status for r in admit(table(spark, '{"resourceMetrics": [], "x": "a"NaN"b"}', '{"resourceMetrics": [], "x": ""NaN""}')).collect()] == [400, 400]
+
+
+def test_bytes_that_go_to_python_at_once_are_bounded(spark):
+    """Large bodies go to Python a few at a time, however many a task has."""
+    prepared(spark)
+
+    def sizes(body: pa.Array) -> pa.Array:
+        return pa.array([len(body)] * len(body), pa.int64())
+
+    bodies = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).cast("binary").alias("body"))
+    assert bodies.select(F.arrow_udf(sizes, "bigint")("body").alias("n")).agg(F.max("n")).first()[0] <= 40
+
+
 @pytest.mark.parametrize(("body", "status"), [
     ('{"resourceMetrics": []}],"y":[{}', 400), ('{"resourceMetrics": []},"z":{}', 400), ('{"resourceMetrics": []}],"_d":[{"resourceMetrics": []}', 400),
     ('{"resourceMetrics": []} ', 200), ("﻿" + '{"resourceMetrics": []}', 200), ('{"resourceMetrics": {}}', 500), ('{"x": 1}', 400),
