@@ -35,13 +35,13 @@ def file_name() -> Column:
 def _committed(rows: DataFrame, log: DataFrame, since: int | None = None) -> DataFrame:
     """rows (with batch) of the last token of each batch; those of lakes without a log bear no mark and are all kept.
 
-    With ``since``, only rows of batches that were committed after that version.
+    Tokens, one a batch, are broadcast: joined by shuffle, the rows of a batch would be one key, and so one task's. With ``since``, only rows of batches that were committed after that version.
     """
     if since is not None:
         newer = commits.live(log).filter(F.col("version") > since).select(F.col("token").alias("batch"))
-        return rows.join(newer, "batch", "left_semi")
+        return rows.join(F.broadcast(newer), "batch", "left_semi")
     tokens = commits.live(log).select(F.col("token").alias("_token"), F.lit(True).alias("_live"))
-    known = rows.join(tokens, F.col("batch") == F.col("_token"), "left")
+    known = rows.join(F.broadcast(tokens), F.col("batch") == F.col("_token"), "left")
     return known.filter(F.col("_live") | F.col("batch").isNull() | ~F.contains("batch", F.lit(commits.MARK))).drop("_token", "_live")
 
 

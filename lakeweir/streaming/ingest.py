@@ -120,7 +120,7 @@ def pending(spark: SparkSession, base: str) -> DataFrame:
         return spark.createDataFrame([], _PENDING)
     log = commits.entries(spark, base).filter("kind = 'flushed'")
     done = log.groupBy(F.col("token").alias("stream")).agg(F.max("batch").alias("_done"))
-    rows = spark.read.schema(_PENDING).parquet(path).join(done, "stream", "left")
+    rows = spark.read.schema(_PENDING).parquet(path).join(F.broadcast(done), "stream", "left")  # one row a stream; else all its bodies are one key
     return rows.filter(F.col("_done").isNull() | (F.col("batch") > F.col("_done"))).drop("_done")
 
 

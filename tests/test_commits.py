@@ -182,6 +182,21 @@ def test_a_stream_that_ends_leaves_nothing(spark, tmp_path, files):
     assert {r.reason for r in commits.live(commits.entries(spark, base)).collect()} == {"rows", "drain"}
 
 
+def test_pending_payloads_of_a_stream_are_spread(spark, tmp_path):
+    """What waits is joined to the log by broadcast, whatever the sizes: by shuffle, a stream's bodies would all be one task's."""
+    base = str(tmp_path / "lake")
+    keep(table(spark, payload(POINT)), base, "000", stream="s")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for _ in range(2):  # before the first commit and after it
+            assert "SortMergeJoin" not in plan(pending(spark, base))
+            assert "SortMergeJoin" not in plan(scan_table(spark, base, "scopes"))
+            flush(spark, base)
+            keep(table(spark, payload(POINT)), base, "001", stream="s")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_snapshots(spark, tmp_path):
     base = str(tmp_path / "lake")
     hosts = lambda: {r.attributes for r in snapshots.read(spark, base, "resources").collect()}
