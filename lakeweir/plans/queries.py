@@ -22,7 +22,7 @@ from lakeweir.sources import commits, lake
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_mixed_depth, scan_range, scan_table
 from lakeweir.sources.payloads import read_payloads, stream_payloads
 from lakeweir.sources.shared import new_folder
-from lakeweir.streaming.ingest import TIMER, flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
+from lakeweir.streaming.ingest import ADDED, TIMER, flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
 
 NOW = datetime(2024, 1, 1)
 
@@ -149,7 +149,7 @@ def _payload_files(spark: SparkSession, sf_dir: str) -> str:
     folder = new_folder(spark, "payloads")
     rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value")).repartition("payload_id").persist()
     for odd, kind in ((0, "none"), (1, "gzip")):
-        rows.filter(F.col("payload_id") % 2 == odd).write.mode("append").option("compression", kind).partitionBy("payload_id").text(folder)
+        rows.filter(F.col("payload_id") % 2 == odd).write.mode("append").options(**ADDED).option("compression", kind).partitionBy("payload_id").text(folder)
     rows.unpersist()
     return folder
 
@@ -369,7 +369,7 @@ def oversize_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "payloads")
     rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value")).repartition("payload_id")
     padded = rows.withColumn("value", F.when(F.col("payload_id") % 40 == 4, F.concat("value", F.repeat(F.lit(" "), F.lit(BODY_CAP)))).otherwise(F.col("value")))
-    padded.write.partitionBy("payload_id").text(folder)
+    padded.write.options(**ADDED).option("compression", "none").partitionBy("payload_id").text(folder)
     found = admit(read_payloads(spark, folder, "*.txt", body_cap=BODY_CAP), body_cap=BODY_CAP)
     return ingest_stats(found).select(F.regexp_extract("payload_id", r"payload_id=(\d+)", 1).cast("bigint").alias("payload_id"), "status", "data_points")
 

@@ -12,9 +12,10 @@ flush also says up to which micro-batch of the stream it goes, so payloads are p
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweir.operators.admit import admit
@@ -32,18 +33,18 @@ LOG = "payload_id STRING, status INT, resources BIGINT, scopes BIGINT, metric_de
 TIMER, ROWS, DRAIN = "timer", "rows", "drain"
 
 #: Tasks put their files in place themselves, as no scan sees them before the commit; else the driver moves them one by one.
-_ADDED = {"compression": "snappy", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+ADDED = {"compression": "snappy", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def write_facts(facts: DataFrame, base: str, batch: str) -> None:
     """Adds facts under batch=<batch> folders; one file an hour, more where an hour is large."""
     spread = facts.withColumn("batch", F.lit(batch)).hint("rebalance", "year", "month", "day", "hour")
-    spread.write.mode("append").options(**_ADDED).partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data")
+    spread.write.mode("append").options(**ADDED).partitionBy("year", "month", "day", "hour", "batch").parquet(f"{base}/metric_data")
 
 
 def write_dimension(rows: DataFrame, base: str, table: str, batch: str) -> None:
     """Adds rows under a batch=<batch> folder."""
-    rows.withColumn("batch", F.lit(batch)).write.mode("append").options(**_ADDED).partitionBy("batch").parquet(f"{base}/{table}")
+    rows.withColumn("batch", F.lit(batch)).write.mode("append").options(**ADDED).partitionBy("batch").parquet(f"{base}/{table}")
 
 
 def _replace(rows: DataFrame, base: str, table: str, *keys: str) -> None:
@@ -60,7 +61,7 @@ def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | No
     spark, now, token = payloads.sparkSession, batch_time or datetime.now(timezone.utc), new_token(batch)
     admitted = admit(payloads, kinds=kinds, **caps).persist()
     try:
-        failures = _written(flatten(admitted, kinds), base, batch, token, now, reason, also) if write else []
+        failures = _written(admitted, kinds, base, batch, token, now, reason, also) if write else []
         stats = ingest_stats(admitted, written=write and not failures, kinds=kinds)
         if failures:
             stats = stats.withColumn("errors", F.concat("errors", F.array(*map(F.lit, failures))))
@@ -74,20 +75,27 @@ def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | No
         admitted.unpersist()
 
 
-def _written(levels: dict[str, DataFrame], base: str, batch: str, token: str, now: datetime, reason: str, also: tuple[dict, ...]) -> list[str]:
-    """Writes the four tables and, if all are written, commits them; the errors of those that are not."""
-    seen = Observation()
-    facts = fact_rows(levels["points"], now).observe(seen, F.count(F.lit(1)).alias("rows"))
-    jobs = [lambda: write_facts(facts, base, token)]
+def _written(admitted: DataFrame, kinds: tuple[str, ...], base: str, batch: str, token: str, now: datetime, reason: str, also: tuple[dict, ...]) -> list[str]:
+    """Writes the four tables at once and, if all are written, commits them; the errors of those that are not.
+
+    The number of rows is summed over the payloads: Spark leaves out an observed part of a plan that turns out empty.
+    """
+    levels, spark = flatten(admitted, kinds), admitted.sparkSession
+    jobs = [lambda: write_facts(fact_rows(levels["points"], now), base, token)]
     jobs += [lambda t=t, rows=rows: write_dimension(rows, base, t, token) for t, rows in table_rows(levels, now).items()]
-    failures = []
-    for job in jobs:
+
+    def failure(job) -> str | None:
         try:
             job()
         except Exception as error:  # reported to the caller, who decides whether to play the batch again
-            failures.append(f"Write error: {type(error).__name__}")
+            return f"Write error: {type(error).__name__}"
+        return None
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        failures = list(filter(None, pool.map(failure, jobs)))
     if not failures:
-        commits.commit(facts.sparkSession, base, [{"kind": "batch", "batch": batch, "token": token, "reason": reason, "rows": seen.get["rows"]}, *also])
+        rows = admitted.agg(F.coalesce(F.sum(points_in("payload", kinds)), F.lit(0))).first()[0]
+        commits.commit(spark, base, [{"kind": "batch", "batch": batch, "token": token, "reason": reason, "rows": rows}, *also])
     return failures
 
 
@@ -244,8 +252,10 @@ def session(builder: SparkSession.Builder) -> SparkSession:
 def prepared(spark: SparkSession) -> SparkSession:
     """Times in UTC, the last of equal keys, times in files with statistics, which the default form has not, and small shuffles
     that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files. What goes to
-    Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine."""
+    Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine. Payload files are
+    small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing."""
     settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m"}
+    settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)
     return spark

@@ -197,6 +197,32 @@ def test_pending_payloads_of_a_stream_are_spread(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_batch_without_rows_is_committed(spark, tmp_path):
+    """A batch of which no payload is admitted is written and committed, with no rows."""
+    base = str(tmp_path / "lake")
+    payloads = table(spark, "{", payload(POINT)).cache()
+    ingest(payloads.filter("payload_id < 1"), base, "0")
+    ingest(payloads, base, "1")
+    assert {r.batch: r.rows for r in commits.live(commits.entries(spark, base)).collect()} == {"0": 0, "1": 1}
+    payloads.unpersist()
+
+
+def test_listing_payload_files_takes_few_tasks(spark, tmp_path):
+    """However many folders there are, a listing has no task for each of them."""
+    for i in range(150):
+        (tmp_path / f"payload_id={i}").mkdir()
+        (tmp_path / f"payload_id={i}" / "x.json").write_text(json.dumps(payload(POINT)))
+    prepared(spark).sparkContext.setJobGroup("listing", "listing")
+    try:
+        read = read_payloads(spark, str(tmp_path))
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        assert stages and max(s.numTasks for s in stages) <= 96
+        assert read.count() == 150
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_snapshots(spark, tmp_path):
     base = str(tmp_path / "lake")
     hosts = lambda: {r.attributes for r in snapshots.read(spark, base, "resources").collect()}
