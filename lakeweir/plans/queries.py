@@ -20,7 +20,7 @@ from lakeweir.plans.encode import BODY_CAP, INFLATED_CAP, encode, encode_attribu
 from lakeweir.schemas import KINDS
 from lakeweir.sources import commits, lake
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_mixed_depth, scan_range, scan_table
-from lakeweir.sources.payloads import read_payloads, stream_payloads
+from lakeweir.sources.payloads import read_payloads, stream_payloads, write_payloads
 from lakeweir.sources.shared import new_folder
 from lakeweir.streaming.ingest import ADDED, TIMER, flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
 
@@ -147,10 +147,8 @@ def flatten_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _payload_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a file for each payload, those of odd numbers gzipped."""
     folder = new_folder(spark, "payloads")
-    rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value")).repartition("payload_id").persist()
-    for odd, kind in ((0, "none"), (1, "gzip")):
-        rows.filter(F.col("payload_id") % 2 == odd).write.mode("append").options(**ADDED).option("compression", kind).partitionBy("payload_id").text(folder)
-    rows.unpersist()
+    rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value"), (F.col("payload_id") % 2 == 1).alias("gzip"))
+    write_payloads(rows, folder, **ADDED)
     return folder
 
 
@@ -367,9 +365,9 @@ def failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oversize_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload files, some of which are above the cap: those are told from the listing and never read."""
     folder = new_folder(spark, "payloads")
-    rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value")).repartition("payload_id")
+    rows = encode(_events(prepared(spark), sf_dir)).select("payload_id", F.col("body").cast("string").alias("value"), F.lit(False).alias("gzip"))
     padded = rows.withColumn("value", F.when(F.col("payload_id") % 40 == 4, F.concat("value", F.repeat(F.lit(" "), F.lit(BODY_CAP)))).otherwise(F.col("value")))
-    padded.write.options(**ADDED).option("compression", "none").partitionBy("payload_id").text(folder)
+    write_payloads(padded, folder, **ADDED)
     found = admit(read_payloads(spark, folder, "*.txt", body_cap=BODY_CAP), body_cap=BODY_CAP)
     return ingest_stats(found).select(F.regexp_extract("payload_id", r"payload_id=(\d+)", 1).cast("bigint").alias("payload_id"), "status", "data_points")
 

@@ -49,6 +49,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as files on disk have it; None in other file systems."""
+    where, files = _at(spark, path)
+    return files.makeQualified(where).toUri().getPath() if files.getUri().getScheme() == "file" else None
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Deletes a file or folder; False if that fails, as nothing reads what is left behind."""
     where, files = _at(spark, path)

@@ -7,11 +7,15 @@ import re
 import shutil
 from datetime import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from lakeweir.operators.admit import admit
 from lakeweir.operators.compact import compact, summary
 from lakeweir.operators.dims import definition_dim, scope_dim
 from lakeweir.operators.flatten import flatten
 from lakeweir.operators.stats import ingest_stats
+from lakeweir.sources import payloads as payload_source
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_range
 from lakeweir.sources.payloads import read_payloads, stream_payloads
 from lakeweir.sources.shared import shared_folder
@@ -166,3 +170,19 @@ def test_stream_with_rows(spark, tmp_path):
 
 def test_shared_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+@pytest.mark.parametrize("on_disk", [True, False])
+def test_payload_files_are_written_and_read_whole(spark, tmp_path, monkeypatch, on_disk):
+    """On disk, folders don't grow with the payloads; elsewhere Spark's writer gives the same payloads."""
+    if not on_disk:
+        monkeypatch.setattr(payload_source, "local_path", lambda spark, path: None)
+    rows = spark.range(0, 300).select(F.col("id").alias("payload_id"), F.concat(F.lit("é"), F.col("id")).alias("value"), (F.col("id") % 2 == 1).alias("gzip"))
+    payload_source.write_payloads(rows, str(tmp_path / "p"))
+    if on_disk:
+        payload_source.write_payloads(rows, str(tmp_path / "p"))  # as a task that is run again
+        assert len([p for p in (tmp_path / "p").rglob("*") if p.is_dir()]) <= payload_source.GROUPS
+    found = payload_source.read_payloads(spark, str(tmp_path / "p"), "*.txt*").collect()
+    bodies = {int(re.search(r"payload_id=(\d+)", r.payload_id)[1]): gzip.decompress(r.body) if r.gzip else r.body for r in found}
+    assert len(found) == 300 and bodies == {i: f"é{i}\n".encode() for i in range(300)}
+    assert {r.gzip for r in found if "payload_id=7." in r.payload_id or "payload_id=7/" in r.payload_id} == {True}
