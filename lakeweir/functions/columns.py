@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -98,30 +98,23 @@ def nested_values(attributes: str) -> str:
 _PLAIN, _KEY = r'^\{"(?:stringValue":"[ !#-\[\]-~]*"|intValue":(?:"-?[0-9]{1,18}"|-?[0-9]{1,18}))\}$', r"^[ !#-\[\]-~]*$"
 
 
-def attribute_texts(attributes: str) -> Column:
-    """stored and hashed: JSON text of an attribute list (named by SQL), in its order and with keys sorted; null if a value is malformed.
+def with_attribute_texts(rows: DataFrame, attributes: str, **kinds: str) -> DataFrame:
+    """rows with columns, given as stored=<name> and hashed=<name>: JSON text of an attribute list (named by SQL), in its order and
+    with keys sorted; null if a value is malformed.
 
     The last value of a key wins at the first one's place. Lists of plain strings and integers stay in the JVM; others go
-    through Arrow. Needs spark.sql.mapKeyDedupPolicy=LAST_WIN.
+    through Arrow. The plain pairs are a column of their own, so that they are made once for all that reads them. Needs
+    spark.sql.mapKeyDedupPolicy=LAST_WIN.
     """
     listed = f"coalesce({attributes}, array())"
     plain = f"forall({listed}, e -> coalesce(e.key RLIKE r'{_KEY}' AND e.value RLIKE r'{_PLAIN}', false))"
     value = "substr(e.value, instr(e.value, ':') + 1, length(e.value) - instr(e.value, ':') - 1)"
     pairs = f"map_from_entries(transform(filter({listed}, e -> coalesce(e.key, '') <> ''), e -> struct(e.key AS key, {value} AS value)))"
-    entries = f"map_entries(CASE WHEN {plain} THEN {pairs} END)"
-    text = lambda of: F.expr(f"concat('{{', array_join(transform({of}, e -> concat('\"', e.key, '\": ', e.value)), ', '), '}}')")
-    odd = _texts(F.expr(f"CASE WHEN NOT {plain} THEN {listed} END").cast(_LIST))
-    return F.struct(F.coalesce(text(entries), odd["stored"]).alias("stored"), F.coalesce(text(f"array_sort({entries})"), odd["hashed"]).alias("hashed"))
-
-
-def resource_hash(attributes: str) -> Column:
-    return F.sha2(attribute_texts(attributes)["hashed"], 256)
-
-
-def point_attributes(attributes: str) -> Column:
-    """Attribute text of a point; null when it has none."""
-    text = attribute_texts(attributes)["stored"]
-    return F.when(F.expr(attributes).isNotNull() & (text != "{}"), text)
+    held = rows.withColumn("_pairs", F.expr(f"CASE WHEN {plain} THEN {pairs} END"))
+    odd = _texts(F.expr(f"CASE WHEN _pairs IS NULL THEN {listed} END").cast(_LIST))
+    of = {"stored": "map_entries(_pairs)", "hashed": "sort_array(map_entries(_pairs))"}
+    text = lambda kind: F.expr(f"concat('{{', array_join(transform({of[kind]}, e -> concat('\"', e.key, '\": ', e.value)), ', '), '}}')")
+    return held.withColumns({name: F.coalesce(text(kind), odd[kind]) for kind, name in kinds.items()}).drop("_pairs")
 
 
 def nanos_to_timestamp(nanos: Column) -> Column:

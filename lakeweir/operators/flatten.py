@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.functions.columns import attribute_texts, finite, nanos_to_timestamp, partition_columns, point_attributes
+from lakeweir.functions.columns import finite, nanos_to_timestamp, partition_columns, with_attribute_texts
 from lakeweir.operators.admit import points_sql
 from lakeweir.schemas import KINDS
 
 
 def explode_resources(admitted: DataFrame) -> DataFrame:
     rows = admitted.filter("status = 200").select("payload_id", F.posexplode("payload.resourceMetrics").alias("r_pos", "_r"))
-    rows = rows.withColumn("_texts", attribute_texts("_r.resource.attributes"))
-    return rows.select("payload_id", "r_pos", F.sha2("_texts.hashed", 256).alias("resource_hash"), F.col("_texts.stored").alias("attributes"), F.col("_r.scopeMetrics").alias("_scopes"))
+    rows = with_attribute_texts(rows, "_r.resource.attributes", stored="_stored", hashed="_hashed")
+    return rows.select("payload_id", "r_pos", F.sha2("_hashed", 256).alias("resource_hash"), F.col("_stored").alias("attributes"), F.col("_r.scopeMetrics").alias("_scopes"))
 
 
 def explode_scopes(resources: DataFrame) -> DataFrame:
@@ -31,8 +31,9 @@ def explode_metrics(scopes: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFr
 
 def explode_points(metrics: DataFrame) -> DataFrame:
     keep = ("payload_id", "r_pos", "s_pos", "m_pos", "resource_hash", "scope_name", "scope_version", "metric_name")
-    rows = metrics.select(*keep, F.posexplode("_points").alias("p_pos", "_p"))
-    return rows.select(*keep[:4], "p_pos", *keep[4:], nanos_to_timestamp(F.col("_p.timeUnixNano")).alias("timestamp"), F.col("_p.asDouble").try_cast("double").alias("value_double"), F.col("_p.asInt").try_cast("bigint").alias("value_int"), point_attributes("_p.attributes").alias("attributes"))
+    rows = with_attribute_texts(metrics.select(*keep, F.posexplode("_points").alias("p_pos", "_p")), "_p.attributes", stored="_stored")
+    attributes = F.when(F.col("_p.attributes").isNotNull() & (F.col("_stored") != "{}"), F.col("_stored"))
+    return rows.select(*keep[:4], "p_pos", *keep[4:], nanos_to_timestamp(F.col("_p.timeUnixNano")).alias("timestamp"), F.col("_p.asDouble").try_cast("double").alias("value_double"), F.col("_p.asInt").try_cast("bigint").alias("value_int"), attributes.alias("attributes"))
 
 
 def flatten(admitted: DataFrame, kinds: tuple[str, ...] = KINDS) -> dict[str, DataFrame]:

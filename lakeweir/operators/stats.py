@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweir.functions.columns import resource_hash
+from lakeweir.functions.columns import with_attribute_texts
 from lakeweir.operators.admit import points_sql
 from lakeweir.schemas import KINDS
 
@@ -28,11 +28,12 @@ def ingest_stats(admitted: DataFrame, written: bool = True, kinds: tuple[str, ..
     payload's rows are in one task.
     """
     rows = admitted.select("payload_id", "status", "error", F.explode_outer("payload.resourceMetrics").alias("_r"))
+    rows = with_attribute_texts(rows, "_r.resource.attributes", hashed="_hashed")
     name, listed = "coalesce(s.scope.name, 'unknown')", "filter(_r.scopeMetrics, s -> s IS NOT NULL)"
     definitions = f"flatten(transform(filter({listed}, s -> s.metrics IS NOT NULL), s -> transform(s.metrics, m -> struct({name} AS scope, s.scope.version AS version, coalesce(m.name, 'unknown') AS name))))"
     found = rows.select(
         "payload_id", "status", "error",
-        F.when(F.col("_r").isNotNull(), resource_hash("_r.resource.attributes")).alias("hash"),
+        F.when(F.col("_r").isNotNull(), F.sha2("_hashed", 256)).alias("hash"),
         F.expr(f"array_distinct(transform({listed}, s -> struct({name} AS name, s.scope.version AS version)))").alias("scopes"),
         F.expr(f"array_distinct({definitions})").alias("definitions"),
         F.expr(_points(listed, kinds)).alias("points"),

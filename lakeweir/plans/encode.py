@@ -39,7 +39,7 @@ def encode(events: DataFrame) -> DataFrame:
     version = F.when((F.col("user_id") % 3 == 0) & (i % 4 == 0), F.lit(',"version":""')).when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(',"version":"1.'), (F.col("user_id") % 3).cast("string"), F.lit('"')))
     host = F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string"))
     entry = F.concat(F.lit('{"resource":{"attributes":['), _said("service.name", F.col("event_type")), F.lit(","), _said("host.name", host), F.lit(']},"scopeMetrics":[{"scope":{"name":"scope-'), F.col("event_type"), F.lit('"'), version, F.lit('},"metrics":[{"name":"'), F.col("event_type"), F.lit('.value"'), unit, kind, F.lit("}]}]}"))
-    listed = events.select(payload.alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))
+    listed = events.select(payload.alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))
     entries = F.array_join(F.transform("_all", lambda x: x["_entry"]), ",")
     name = F.when(F.col("payload_id") % BAD_EVERY == 2, "other").otherwise("resourceMetrics")
     body = F.concat(F.lit('{"'), name, F.lit('":['), entries, F.when(F.col("payload_id") % BAD_EVERY == 1, "").otherwise("]}"))
@@ -135,6 +135,6 @@ def encode_attributes(events: DataFrame) -> DataFrame:
     ]
     kept = F.array_join(F.filter(F.array(*said), lambda x: x.isNotNull()), ",")
     entry = F.concat(F.lit('{"resource":{"attributes":['), kept, F.lit("]}}"))
-    listed = events.select(F.expr(f"event_id div {PER_PAYLOAD}").alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))
+    listed = events.select(F.expr(f"event_id div {PER_PAYLOAD}").alias("payload_id"), i.alias("_i"), entry.alias("_entry")).groupBy("payload_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_entry"))).alias("_all"))
     body = F.concat(F.lit('{"resourceMetrics":['), F.array_join(F.transform("_all", lambda x: x["_entry"]), ","), F.lit("]}"))
     return listed.select("payload_id", body.cast("binary").alias("body"), F.lit(False).alias("gzip"))

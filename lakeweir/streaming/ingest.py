@@ -252,9 +252,9 @@ def session(builder: SparkSession.Builder) -> SparkSession:
 def prepared(spark: SparkSession) -> SparkSession:
     """Times in UTC, the last of equal keys, times in files with statistics, which the default form has not, and small shuffles
     that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files. What goes to
-    Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine. Payload files are
-    small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing."""
-    settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m"}
+    Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine. It is bounded by rows
+    too, as the bytes are added up anew at each row: lists that are null cost the square of the batch. Payload files are small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing."""
+    settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m", "execution.arrow.maxRecordsPerBatch": "500"}
     settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)

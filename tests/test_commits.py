@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from test_lake import POINT, payload, table
 
+from lakeweir.functions.columns import with_attribute_texts
 from lakeweir.operators import admit as admission
 from lakeweir.operators import compact as compaction
 from lakeweir.operators import snapshots
@@ -117,6 +118,25 @@ def test_bytes_that_go_to_python_at_once_are_bounded(spark):
     assert bodies.select(F.arrow_udf(sizes, "bigint")("body").alias("n")).agg(F.max("n")).first()[0] <= 40
 
 
+def test_rows_that_go_to_python_at_once_are_bounded(spark):
+    """Small rows too: to add up the bytes of a batch of null lists at each row costs the square of its rows."""
+    prepared(spark)
+
+    def sizes(number: pa.Array) -> pa.Array:
+        return pa.array([len(number)] * len(number), pa.int64())
+
+    assert spark.range(0, 20_000, 1, 1).select(F.arrow_udf(sizes, "bigint")("id").alias("n")).agg(F.max("n")).first()[0] <= 500
+
+
+def test_plain_attributes_are_paired_once(spark):
+    """The plain pairs of an attribute list are made by one column, whatever reads them; the texts are those of before."""
+    prepared(spark)
+    rows = spark.createDataFrame([([("b", '{"intValue":1}'), ("a", '{"stringValue":"x"}'), ("b", '{"intValue":2}')],), ([("a", '{"doubleValue":0.5}')],), ([],), (None,)], "attributes array<struct<key:string,value:string>>")
+    found = with_attribute_texts(rows, "attributes", stored="s", hashed="h")
+    assert [(r.s, r.h) for r in found.collect()] == [('{"b": 2, "a": "x"}', '{"a": "x", "b": 2}'), ('{"a": 0.5}', '{"a": 0.5}'), ("{}", "{}"), ("{}", "{}")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("map_from_entries") == 1
+
+
 @pytest.mark.parametrize(("body", "status"), [
     ('{"resourceMetrics": []}],"y":[{}', 400), ('{"resourceMetrics": []},"z":{}', 400), ('{"resourceMetrics": []}],"_d":[{"resourceMetrics": []}', 400),
     ('{"resourceMetrics": []} ', 200), ("﻿" + '{"resourceMetrics": []}', 200), ('{"resourceMetrics": {}}', 500), ('{"x": 1}', 400),
