@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from lakeweir.operators import admit as admission
 
 BOUNDS = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
-QUERIES = ["compaction_kept", "compaction_unreadable", "stored_rows", "scope_snapshot", "compaction_conflict", "compacted_range_scan"]
+QUERIES = ["compaction_kept", "compaction_unreadable", "stored_rows", "scope_snapshot", "compaction_conflict", "compacted_range_scan", "two_compactors"]
 
 
 @pytest.fixture(scope="module")
