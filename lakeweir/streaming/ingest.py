@@ -6,7 +6,8 @@ go to their own hour.
 
 A stream with a row threshold keeps the payloads of its micro-batches in ``_pending`` until enough rows wait or enough time has
 passed. They are kept with their number of points, so whether a flush is due is seen without their bodies. The commit of a
-flush also says up to which micro-batch of the stream it goes, so payloads are pending or committed, never both.
+flush also says up to which micro-batch of the stream it goes, so payloads are pending or committed, never both. Micro-batches
+are bounded, so one that is full is a part of what had arrived: the timer waits for its last part, the row threshold doesn't.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from lakeweir.operators.flatten import fact_rows, flatten
 from lakeweir.operators.stats import ingest_stats, ingest_totals, points_in
 from lakeweir.schemas import KINDS
 from lakeweir.sources import commits
+from lakeweir.sources import payloads as payload_source
 from lakeweir.sources.commits import delete_path, exists, new_token
 from lakeweir.sources.shared import new_folder
 
@@ -212,12 +214,13 @@ class IngestStream:
         return getattr(self.query, name)
 
 
-def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS) -> IngestStream:
+def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS, full: int | None = None) -> IngestStream:
     """A stream that ingests its micro-batches and logs them; with available_now it drains what is there and ends.
 
     Without ``rows``, each micro-batch is written, one every ``seconds``. With ``rows``, payloads are looked for every ``poll``
     seconds and written once that many data points wait or the oldest has waited ``seconds``: a clock beside the payloads makes
-    a micro-batch even where none arrives.
+    a micro-batch even where none arrives. A micro-batch of ``full`` payloads (MAX_FILES) has more behind it, which are read before the
+    timer counts.
     """
     spark = payloads.sparkSession
 
@@ -230,10 +233,13 @@ def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now:
         _checked(ingest(frame, base, batch, log=True), batch)
 
     def gathered(frame: DataFrame, number: int) -> None:
-        session = frame.sparkSession
+        session, batch, stream = frame.sparkSession, f"{number:012d}", named(frame)
         if not frame.select("payload_id").isEmpty():
-            keep(frame, base, f"{number:012d}", stream=named(frame))
-        if reason := due(session, base, rows, seconds):
+            keep(frame, base, batch, stream=stream)
+        reason = due(session, base, rows, seconds)
+        if reason == TIMER and pending(session, base).filter((F.col("stream") == stream) & (F.col("batch") == batch)).count() >= (full or payload_source.MAX_FILES):
+            return  # a part of what had arrived; the rest is read first
+        if reason:
             _checked(flush(session, base, log=True, reason=reason), str(number))
 
     if rows is not None and not available_now:
@@ -253,9 +259,10 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Times in UTC, the last of equal keys, times in files with statistics, which the default form has not, and small shuffles
     that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files. What goes to
     Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine. It is bounded by rows
-    too, as the bytes are added up anew at each row: lists that are null cost the square of the batch. Payload files are small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing."""
+    too, as the bytes are added up anew at each row: lists that are null cost the square of the batch. Payload files are small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing. A stream's log of
+    files isn't rewritten every ten micro-batches, which costs the square of their number."""
     settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m", "execution.arrow.maxRecordsPerBatch": "500"}
-    settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k"}
+    settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k", "streaming.fileSource.log.compactInterval": "1000", "hive.filesourcePartitionFileCacheSize": "0"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)
     return spark

@@ -5,6 +5,7 @@ import hashlib
 import json
 import re
 import shutil
+import time
 from datetime import datetime
 
 import pytest
@@ -15,10 +16,12 @@ from lakeweir.operators.compact import compact, summary
 from lakeweir.operators.dims import definition_dim, scope_dim
 from lakeweir.operators.flatten import flatten
 from lakeweir.operators.stats import ingest_stats
+from lakeweir.sources import commits
 from lakeweir.sources import payloads as payload_source
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_range
 from lakeweir.sources.payloads import read_payloads, stream_payloads
 from lakeweir.sources.shared import shared_folder
+from lakeweir.streaming import ingest as streaming
 from lakeweir.streaming.ingest import due, flush, ingest, keep, pending_rows, prepared, start_stream
 
 
@@ -186,3 +189,26 @@ def test_payload_files_are_written_and_read_whole(spark, tmp_path, monkeypatch,
     bodies = {int(re.search(r"payload_id=(\d+)", r.payload_id)[1]): gzip.decompress(r.body) if r.gzip else r.body for r in found}
     assert len(found) == 300 and bodies == {i: f"é{i}\n".encode() for i in range(300)}
     assert {r.gzip for r in found if "payload_id=7." in r.payload_id or "payload_id=7/" in r.payload_id} == {True}
+
+
+def test_micro_batches_are_bounded_and_timed_as_one(spark, tmp_path, monkeypatch):
+    """Without a limit of its own a stream reads a bounded number of files at once; the timer waits for the last part of what had arrived."""
+    monkeypatch.setattr(payload_source, "MAX_FILES", 2, raising=False)
+    sizes = []
+
+    def kept(payloads, *args, **how):
+        sizes.append(payloads.count())
+        return keep(payloads, *args, **how)
+
+    monkeypatch.setattr(streaming, "keep", kept)
+    source, base = tmp_path / "in", str(tmp_path / "lake")
+    source.mkdir()
+    for i in range(5):
+        (source / f"{i}.json").write_text(json.dumps(payload(POINT, POINT)))
+    stream = start_stream(stream_payloads(prepared(spark), str(source)), base, str(tmp_path / "check"), rows=10**12, seconds=0, poll=1)
+    end = time.time() + 120
+    while not commits.latest(spark, base) and stream.isActive and time.time() < end:
+        time.sleep(0.2)
+    stream.stop()
+    assert sizes == [2, 2, 1]
+    assert [(r.reason, r.rows) for r in commits.live(commits.entries(spark, base)).collect()] == [("timer", 10)]
