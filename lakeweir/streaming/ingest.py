@@ -115,10 +115,12 @@ def log_totals(spark: SparkSession, base: str) -> DataFrame:
 _PENDING = "payload_id STRING, body BINARY, gzip BOOLEAN, length BIGINT, points BIGINT, since DOUBLE, stream STRING, batch STRING"
 
 
-def keep(payloads: DataFrame, base: str, batch: str, since: float | None = None, stream: str = "-") -> None:
-    """Puts a micro-batch's payloads aside until the next flush, with the number of points of each; again in place of itself."""
+def keep(payloads: DataFrame, base: str, batch: str, since: float | None = None, stream: str = "-", counted: bool = True) -> None:
+    """Puts a micro-batch's payloads aside until the next flush, with the number of points of each (null where they needn't be ``counted``,
+    which takes a parse); again in place of itself."""
     own = payloads if "length" in payloads.columns else payloads.withColumn("length", F.octet_length("body"))
-    known = admit(own, carry=("body", "gzip", "length")).select(F.col("payload_id").cast("string").alias("payload_id"), "body", "gzip", F.col("length").cast("bigint").alias("length"), points_in("payload").alias("points"))
+    own, points = (admit(own, carry=("body", "gzip", "length")), points_in("payload")) if counted else (own, F.lit(None).cast("bigint"))
+    known = own.select(F.col("payload_id").cast("string").alias("payload_id"), "body", "gzip", F.col("length").cast("bigint").alias("length"), points.alias("points"))
     since = time.time() if since is None else since
     _replace(known.select("*", F.lit(since).alias("since"), F.lit(stream).alias("stream"), F.lit(batch).alias("batch")), base, "_pending", "stream", "batch")
 
@@ -146,8 +148,8 @@ def pending_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def waiting(spark: SparkSession, base: str) -> DataFrame:
-    """points and since of all that is pending, from the columns kept beside the bodies."""
-    return pending(spark, base).agg(F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.min("since").alias("since"))
+    """points and since of all that is pending, from the columns kept beside the bodies; a payload that wasn't counted has one."""
+    return pending(spark, base).agg(F.coalesce(F.sum(F.coalesce("points", F.lit(1))), F.lit(0)).alias("points"), F.min("since").alias("since"))
 
 
 def due(spark: SparkSession, base: str, rows: int | None = FLUSH_ROWS, seconds: float = FLUSH_SECONDS, now: float | None = None) -> str | None:
@@ -217,7 +219,8 @@ class IngestStream:
 def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now: bool = False, seconds: int = FLUSH_SECONDS, rows: int | None = None, poll: int = POLL_SECONDS, full: int | None = None) -> IngestStream:
     """A stream that ingests its micro-batches and logs them; with available_now it drains what is there and ends.
 
-    Without ``rows``, each micro-batch is written, one every ``seconds``. With ``rows``, payloads are looked for every ``poll``
+    Without ``rows``, each micro-batch is written, one every ``seconds``; a drain, whose micro-batches come one upon the other, puts
+    them aside and writes every ``seconds`` and at its end. With ``rows``, payloads are looked for every ``poll``
     seconds and written once that many data points wait or the oldest has waited ``seconds``: a clock beside the payloads makes
     a micro-batch even where none arrives. A micro-batch of ``full`` payloads (MAX_FILES) has more behind it, which are read before the
     timer counts.
@@ -232,6 +235,15 @@ def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now:
         batch = f"{named(frame)}-{number:012d}"
         _checked(ingest(frame, base, batch, log=True), batch)
 
+    oldest: list[float] = []  # when a drain put the first payloads aside that it hasn't written
+
+    def drained(frame: DataFrame, number: int) -> None:
+        keep(frame, base, f"{number:012d}", stream=named(frame), counted=False)
+        oldest.append(time.time())
+        if oldest[-1] - oldest[0] >= seconds:
+            _checked(flush(frame.sparkSession, base, log=True, reason=TIMER), str(number))
+            oldest.clear()
+
     def gathered(frame: DataFrame, number: int) -> None:
         session, batch, stream = frame.sparkSession, f"{number:012d}", named(frame)
         if not frame.select("payload_id").isEmpty():
@@ -245,9 +257,9 @@ def start_stream(payloads: DataFrame, base: str, checkpoint: str, available_now:
     if rows is not None and not available_now:
         clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter("value < 0")
         payloads = payloads.unionByName(clock.select(*(F.lit(None).cast(t).alias(n) for n, t in payloads.dtypes)))
-    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each if rows is None else gathered)
+    writer = payloads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(gathered if rows is not None else drained if available_now else each)
     query = (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds if rows is None else poll} seconds")).start()
-    return IngestStream(query, spark, base, rows is not None)
+    return IngestStream(query, spark, base, rows is not None or available_now)
 
 
 def session(builder: SparkSession.Builder) -> SparkSession:

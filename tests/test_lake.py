@@ -212,3 +212,17 @@ def test_micro_batches_are_bounded_and_timed_as_one(spark, tmp_path, monkeypatch
     stream.stop()
     assert sizes == [2, 2, 1]
     assert [(r.reason, r.rows) for r in commits.live(commits.entries(spark, base)).collect()] == [("timer", 10)]
+
+
+def test_a_drain_writes_its_micro_batches_together(spark, tmp_path):
+    """Micro-batches that come one upon the other are one batch of the lake: each by itself would make files in all its hours."""
+    source, base = tmp_path / "in", str(tmp_path / "lake")
+    source.mkdir()
+    for i in range(5):
+        (source / f"{i}.json").write_text(json.dumps(payload(POINT, POINT)) if i else "{broken")
+    keep(table(spark, payload(POINT)), base, "0", since=100.0, stream="died", counted=False)
+    assert due(spark, base, rows=None, seconds=60, now=160.0) == "timer" and due(spark, base, rows=None, seconds=60, now=159.0) is None
+    start_stream(stream_payloads(prepared(spark), str(source), max_files=2), base, str(tmp_path / "check"), available_now=True).awaitTermination()
+    assert [(r.reason, r.rows) for r in commits.live(commits.entries(spark, base)).collect()] == [("drain", 9)]
+    assert scan_lake(spark, base).count() == 9 and due(spark, base, rows=None, seconds=0) is None
+    assert sorted(r.status for r in spark.read.parquet(f"{base}/_log").collect()) == [200] * 5 + [400]
