@@ -21,7 +21,7 @@ from lakeweir.schemas import KINDS
 from lakeweir.sources import commits, lake
 from lakeweir.sources.lake import partition_inventory, scan_lake, scan_mixed_depth, scan_range, scan_table
 from lakeweir.sources.payloads import read_payloads, stream_payloads, write_payloads
-from lakeweir.sources.shared import new_folder
+from lakeweir.sources.shared import new_folder, stored
 from lakeweir.streaming.ingest import ADDED, TIMER, flush, ingest, keep, log_totals, pending_rows, prepared, start_stream, write_dimension, write_facts
 
 NOW = datetime(2024, 1, 1)
@@ -40,6 +40,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that several batches are taken from, stored: persisted, they are all on the executors' heaps."""
+    return stored(encode(_events(prepared(spark), sf_dir)), new_folder(spark, "encoded"))
+
+
 def _written(spark: SparkSession, sf_dir: str) -> str:
     base, token = new_folder(spark, "lake"), commits.new_token("0")
     write_facts(fact_rows(_levels(spark, sf_dir)["points"], NOW), base, token)
@@ -168,13 +173,12 @@ def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def buffered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads in micro-batches that wait for a number of rows, the rest flushed at the end; a batch is played twice."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     for b in (0, 1, 1):
         keep(payloads.filter(_third(b)), base, f"{b:012d}", since=0.0)
     flush(spark, base, NOW)
     keep(payloads.filter(_third(2)), base, f"{2:012d}", since=0.0)
     flush(spark, base, NOW)
-    payloads.unpersist()
     return _facts(scan_lake(spark, base))
 
 
@@ -206,10 +210,9 @@ def failed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters over three batches that were written and logged, one of them played twice."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     for b in (0, 1, 2, 2):
         ingest(payloads.filter(_third(b)), base, f"{b:012d}", NOW, log=True)
-    payloads.unpersist()
     return log_totals(spark, base).drop("threshold_flushes")
 
 
@@ -305,7 +308,7 @@ def compaction_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of three batches that were compacted, played again, compacted with the sources kept, and played again."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     play = lambda b: ingest(payloads.filter(_third(b)), base, str(b), NOW)
     for b in range(3):
         play(b)
@@ -314,7 +317,6 @@ def replay_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     compaction.compact(spark, base, threshold=1, delete=False)
     play(1)
     play(2)
-    payloads.unpersist()
     return _facts(scan_lake(spark, base))
 
 
@@ -336,11 +338,10 @@ def compaction_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts after a vacuum that deleted replaced batches, sources of a compaction and what was never committed; files by kind of folder."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     for b in (0, 1, 2, 2):
         ingest(payloads.filter(_third(b)), base, str(b), NOW)
     write_facts(fact_rows(flatten(admit(payloads))["points"], NOW), base, commits.new_token("lost"))
-    payloads.unpersist()
     compaction.compact(spark, base, threshold=1, delete=False)
     lake.vacuum(spark, base, seconds=0)
     left = lake.dated_files(spark, f"{base}/metric_data")
@@ -349,7 +350,7 @@ def vacuumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that scans see of a batch whose third table can't be written, and after it was played again."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/scopes")
     where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where).close()  # a file where the table's folder should be
     tables = ("metric_data", "resources", "metric_definitions", "scopes")
@@ -358,7 +359,6 @@ def failed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = {t: seen(t) for t in tables[:3]}
     lake.delete_path(spark, f"{base}/scopes")
     ingest(payloads, base, "0", NOW)
-    payloads.unpersist()
     return spark.createDataFrame([(t, before.get(t, 0), seen(t)) for t in tables], "table_name STRING, failed BIGINT, played_again BIGINT")
 
 
@@ -427,12 +427,11 @@ def stream_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _increments(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A stored snapshot that was brought up to date after the first of three batches and after the last."""
-    base, payloads = new_folder(spark, "lake"), encode(_events(prepared(spark), sf_dir)).persist()
+    base, payloads = new_folder(spark, "lake"), _encoded(spark, sf_dir)
     for b in range(3):
         ingest(payloads.filter(_third(b)), base, str(b), datetime(2024, 1, 1 + b))
         if b != 1:
             snapshots.refresh(spark, base, table)
-    payloads.unpersist()
     return snapshots.read(spark, base, table).withColumn("created_us", F.unix_micros("created_at"))
 
 

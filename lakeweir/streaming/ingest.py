@@ -27,7 +27,7 @@ from lakeweir.schemas import KINDS
 from lakeweir.sources import commits
 from lakeweir.sources import payloads as payload_source
 from lakeweir.sources.commits import delete_path, exists, new_token
-from lakeweir.sources.shared import new_folder
+from lakeweir.sources.shared import new_folder, stored
 
 FLUSH_SECONDS, FLUSH_ROWS, POLL_SECONDS = 600, 50_000, 10
 LOG = "payload_id STRING, status INT, resources BIGINT, scopes BIGINT, metric_definitions BIGINT, data_points BIGINT, written BIGINT, errors ARRAY<STRING>, batch STRING"
@@ -58,23 +58,23 @@ def ingest(payloads: DataFrame, base: str, batch: str, batch_time: datetime | No
     """Ingests a batch and returns its statistics per payload; a failed write is reported in them, counts kept.
 
     With ``write`` off, payloads are parsed and counted only. Statistics are stored: with ``log`` on in the ingest log, else in
-    the shared folder; so nothing stays persisted. ``also`` are further entries of the batch's commit.
+    the shared folder; so nothing stays persisted. ``also`` are further entries of the batch's commit. The parsed payloads, which all
+    tables and the statistics are made from, are stored too until these are written.
     """
     spark, now, token = payloads.sparkSession, batch_time or datetime.now(timezone.utc), new_token(batch)
-    admitted = admit(payloads, kinds=kinds, **caps).persist()
+    place = f"{base}/_admitted/{token}" if log else new_folder(spark, "admitted")
     try:
+        admitted = stored(admit(payloads, kinds=kinds, **caps), place)
         failures = _written(admitted, kinds, base, batch, token, now, reason, also) if write else []
         stats = ingest_stats(admitted, written=write and not failures, kinds=kinds)
         if failures:
             stats = stats.withColumn("errors", F.concat("errors", F.array(*map(F.lit, failures))))
         if not log:
-            place = new_folder(spark, "stats")
-            stats.write.parquet(place)
-            return spark.read.schema(stats.schema).parquet(place)
+            return stored(stats, new_folder(spark, "stats"))
         _replace(stats.withColumn("payload_id", F.col("payload_id").cast("string")).withColumn("batch", F.lit(batch)), base, "_log", "batch")
         return spark.read.schema(LOG).parquet(f"{base}/_log").filter(F.col("batch") == batch).drop("batch")
     finally:
-        admitted.unpersist()
+        delete_path(spark, place)
 
 
 def _written(admitted: DataFrame, kinds: tuple[str, ...], base: str, batch: str, token: str, now: datetime, reason: str, also: tuple[dict, ...]) -> list[str]:
@@ -272,9 +272,10 @@ def prepared(spark: SparkSession) -> SparkSession:
     that stay spread: a batch has few bytes for each of many hour files, and what takes long is to make the files. What goes to
     Python at once is bounded by bytes, as bodies are large: 10,000 of them would be the memory of a machine. It is bounded by rows
     too, as the bytes are added up anew at each row: lists that are null cost the square of the batch. Payload files are small and many: a task lists and reads many of them, where Spark's defaults make 10,000 tasks of a listing. A stream's log of
-    files isn't rewritten every ten micro-batches, which costs the square of their number."""
+    files isn't rewritten every ten micro-batches, which costs the square of their number. Rows of files are read 1,024 at once, as parsed
+    payloads are large."""
     settings = {"session.timeZone": "UTC", "mapKeyDedupPolicy": "LAST_WIN", "parquet.outputTimestampType": "TIMESTAMP_MICROS", "adaptive.coalescePartitions.minPartitionSize": "16k", "execution.arrow.maxBytesPerBatch": "1m", "execution.arrow.maxRecordsPerBatch": "500"}
-    settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k", "streaming.fileSource.log.compactInterval": "1000", "hive.filesourcePartitionFileCacheSize": "0"}
+    settings |= {"sources.parallelPartitionDiscovery.parallelism": "96", "files.openCostInBytes": "256k", "streaming.fileSource.log.compactInterval": "1000", "hive.filesourcePartitionFileCacheSize": "0", "parquet.columnarReaderBatchSize": "1024"}
     for name, value in settings.items():
         spark.conf.set(f"spark.sql.{name}", value)
     return spark

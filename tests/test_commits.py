@@ -227,6 +227,17 @@ def test_a_batch_without_rows_is_committed(spark, tmp_path):
     payloads.unpersist()
 
 
+def test_parsed_payloads_are_not_persisted(spark, tmp_path, monkeypatch):
+    """What all tables are made from is stored while they are written, in row groups that are bounded, and not kept on the executors' heaps."""
+    base, payloads = str(tmp_path / "lake"), table(spark, "{", payload(POINT, POINT), payload(POINT))
+    monkeypatch.setattr(type(payloads), "persist", lambda *args: pytest.fail("persisted"))
+    for log in (False, True):
+        found = ingest(payloads, base, str(log), log=log)
+        assert sorted((r.status, r.data_points, r.written) for r in found.collect()) == [(200, 1, 1), (200, 2, 2), (400, 0, 0)]
+    assert scan_lake(spark, base).count() == 6 and not glob.glob(f"{base}/_admitted/*")
+    assert {r.status for r in ingest(payloads, "nofs://nowhere/lake", "0").collect()} == {200, 400}
+
+
 def test_listing_payload_files_takes_few_tasks(spark, tmp_path):
     """However many folders there are, a listing has no task for each of them."""
     for i in range(150):
